@@ -196,14 +196,17 @@ def lift_off(df: DataFrame) -> DataFrame:
     return df.drop(BLOCK)
 
 
-def spread(df: DataFrame, keys, min_rows: int | None = None, **aggs: Column) -> DataFrame:
+def spread(df: DataFrame, keys, min_rows: int | None = None, sized_by: DataFrame | None = None,
+           **aggs: Column) -> DataFrame:
     """Put group aggregates on every row of the group.
 
+    ``sized_by`` is an earlier, narrower form of ``df`` with the same rows per key to count on.
+
     A window (one exchange) while groups are ordinary; the rows of large groups skip the
     window and take their aggregate from a broadcast table with one row per large group.
     """
     keys = list(keys)
-    hot, rows, _ = large_keys(df, keys, min_rows)
+    hot, rows, _ = large_keys(df if sized_by is None else sized_by, keys, min_rows)
     w = W.partitionBy(*keys)
     windowed = {n: a.over(w) for n, a in aggs.items()}
     if rows == 0:

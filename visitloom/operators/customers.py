@@ -118,7 +118,7 @@ def second_order_labels(features: DataFrame, as_of: str, cutoffs=(15, 30, 90, 18
     A missing second sale counts as ``as_of`` + 365 days for the waiting time only;
     ``has_second_purchase`` keeps the truth. Rows with any other missing value are dropped.
     """
-    date = lambda c: F.try_to_date(F.col(c), F.lit("yyyyMMdd"))
+    date = lambda c: F.try_to_date(c, "yyyyMMdd")
     need = [c for c in features.columns if c != "second_sale_date"]
     clean = features.na.drop(subset=need)
     first, second = date("first_sale_date"), date("second_sale_date")

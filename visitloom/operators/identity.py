@@ -33,6 +33,8 @@ def stitch_global(t: DataFrame, dim: DataFrame, min_rows=None) -> DataFrame:
     ids = (t.withColumn("hash_id", extract_valid("cd8", HASH_RE))
            .withColumn("sfc", extract_valid("cd8", NUMBER_RE))
            .withColumn("device_id", extract_valid("device_id", DEVICE_RE)))
+    visitor = F.concat_ws(":", "datasource", "fvid")
+    ids = ids.withColumn("_device", F.coalesce(F.col("device_id"), visitor))
     profile = lambda: F.struct("gender", "birthday", "cust_created_year")
     # one row per key, so that a duplicated dimension row cannot multiply visits
     by_number = (dim.groupBy(F.col("src_fk_customer").cast("string").alias("_number"))
@@ -49,9 +51,7 @@ def stitch_global(t: DataFrame, dim: DataFrame, min_rows=None) -> DataFrame:
              .withColumn("cust_created_year",
                          F.coalesce("_c1.cust_created_year", "_c2.cust_created_year", F.lit(-1)))
              .drop("_number", "_hash1", "_c1", "_hash", "_number2", "_c2"))
-    visitor = F.concat_ws(":", "datasource", "fvid")
-    known = known.withColumn("_device", F.coalesce(F.col("device_id"), visitor))
-    known = spread(known, ["_device"], min_rows,
+    known = spread(known, ["_device"], min_rows, sized_by=ids,
                    other_session_id=F.min(F.coalesce(F.col("sfc"), F.col("hash_id"))))
     return known.withColumn("gid", F.coalesce(F.col("sfc"), F.col("hash_id"), F.col("other_session_id"),
                                               F.col("device_id"), visitor)).drop("_device")

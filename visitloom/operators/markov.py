@@ -43,6 +43,7 @@ def prune_channels(edges: DataFrame, pct: float = 1.0, refill: bool = True) -> D
 
     ``refill`` gives END and CONVERSION their edge into END, which the chain computations use.
     """
+    edges = settle(edges)  # read three times below; the touches behind it only once
     out = (edges.filter(~F.col("from_state").isin(*TERMINAL))
            .groupBy("from_state").agg(F.sum("cnt").alias("n")))
     total = out.agg(F.sum("n").alias("t"))
@@ -98,6 +99,7 @@ def last_touch_matrix(edges: DataFrame) -> DataFrame:
 
 def first_touch_matrix(edges: DataFrame) -> DataFrame:
     """Share of starts times share of conversions, normalised."""
+    edges = settle(edges)
     starts = _share(edges.filter(F.col("from_state") == START)
                     .select(F.col("to_state").alias("channel"), "cnt"), "cnt", "start")
     convs = _share(edges.filter((F.col("to_state") == CONVERSION) & ~F.col("from_state").isin(*TERMINAL))
@@ -127,6 +129,7 @@ def removal_effect(edges: DataFrame, mode: str = "drop", n: int = 0, digits: int
     loss relative to the base rate, normalised. ``absorbing``: total conversion mass of the chain
     without the channel, normalised.
     """
+    edges = settle(edges)
     if mode == "absorbing":
         return _absorbing(edges, tol, max_doublings)
     keyed, removed = _removals(edges, include_start=mode == "drop")
@@ -205,6 +208,7 @@ def _absorbing(edges: DataFrame, tol: float, max_doublings: int) -> DataFrame:
 def eventual_conversion(edges: DataFrame, digits: int = 3, tol: float = 1e-9,
                         max_doublings: int = 30) -> DataFrame:
     """Probability to convert sooner or later from each channel, normalised over the channels."""
+    edges = settle(edges)
     chain = (transition_probs(edges)
              .filter(~F.col("from_state").isin(*TERMINAL) & (F.col("to_state") != END)))
     reach = _square_until_absorbed(chain, [], tol, max_doublings)
@@ -214,7 +218,8 @@ def eventual_conversion(edges: DataFrame, digits: int = 3, tol: float = 1e-9,
 
 def ppr_contribution(edges: DataFrame, alpha: float = 0.05, steps: int = 10, digits: int = 3) -> DataFrame:
     """Personalised-PageRank contribution of each state to conversion (only that row is computed)."""
-    m = transition_probs(edges).select("from_state", F.col("to_state").alias("state"), "p")
+    edges = settle(edges)
+    m = settle(transition_probs(edges).select("from_state", F.col("to_state").alias("state"), "p"))
     # one row per edge target keeps the seed a function of the data
     seed = m.select(F.lit(CONVERSION).alias("state"), F.lit(1.0).alias("r")).distinct()
     r = seed
@@ -228,6 +233,7 @@ def ppr_contribution(edges: DataFrame, alpha: float = 0.05, steps: int = 10, dig
 
 def visit_pass(edges: DataFrame, digits: int = 3, **kw) -> DataFrame:
     """``visit`` (one step from START) and ``pass_through`` = visit x eventual, normalised."""
+    edges = settle(edges)
     visit = (transition_probs(edges).filter(F.col("from_state") == START)
              .select(F.col("to_state").alias("channel"), F.bround("p", digits).alias("visit")))
     both = (eventual_conversion(edges, digits, **kw).join(visit, "channel", "left").na.fill(0.0, ["visit"])

@@ -72,7 +72,7 @@ def read_study(spark: SparkSession, path: str, columns: list[str], flag: str) ->
 
 def latest_run(runs: DataFrame, name: str) -> DataFrame:
     """The run whose name carries the newest ``YYYY-MM-DD-HH-MM-SS`` stamp."""
-    stamp = F.try_to_timestamp(F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2}-\d{2}-\d{2}-\d{2})", 1), F.lit("")),
+    stamp = F.try_to_timestamp(F.nullif(F.regexp_extract(F.col(name), r"(\d{4}-\d{2}-\d{2}-\d{2}-\d{2}-\d{2})", 1), F.lit("")),
                                F.lit("yyyy-MM-dd-HH-mm-ss"))
     return runs.select(F.col(name).alias("run"), stamp.alias("at")).agg(
         F.max_by("run", "at").alias("run"), F.max("at").alias("at"))

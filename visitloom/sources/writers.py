@@ -125,10 +125,12 @@ def save_artifacts(model, metrics: dict[str, float], tables: dict[str, DataFrame
 
 
 def image_url(c: str):
-    """Give a bare URL its scheme, dropping its first empty segment; four views from the first."""
-    bare = F.regexp_replace(F.col(c), "^/|(?<=/)/", "")
-    url = F.when(F.col(c).startswith("http"), F.col(c)).otherwise(F.concat(F.lit("http://"), bare))
-    return url
+    """Give a bare URL its scheme, dropping its first empty path segment."""
+    u = F.col(c)
+    bare = (F.when(u.startswith("/"), F.substring(u, 2, 1 << 30))
+            .when(u.contains("//"), F.regexp_replace(u, "^(.*?)//", "$1/"))
+            .when(u.endswith("/"), F.regexp_replace(u, "/$", "")).otherwise(u))
+    return F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("http://"), bare))
 
 
 def image_views(df: DataFrame, c: str, views: int = 4) -> DataFrame:
