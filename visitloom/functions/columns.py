@@ -44,6 +44,13 @@ def capitalise(c) -> Column:
     return F.concat(F.upper(F.left(col(c), F.lit(1))), F.lower(F.substring(col(c), 2, 1 << 30)))
 
 
+def title_words(c) -> Column:
+    """Every blank-separated word capitalised; a leading sharp s becomes ``Ss``."""
+    word = lambda w: F.concat(F.when(F.left(w, F.lit(1)) == "ß", "Ss").otherwise(F.upper(F.left(w, F.lit(1)))),
+                              F.lower(F.substring(w, 2, 1 << 30)))
+    return F.array_join(F.transform(F.split(col(c), " "), word), " ")
+
+
 # Accented letters and their plain forms, position by position.
 ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnyAAAAAAEEEEIIIIOOOOOUUUUCNY"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.functions.columns import snap_price
+from visitloom.functions.columns import snap_price, title_words
 from visitloom.functions.ordered import lay_track, lift_off, quantiles, scan, split_rank
 
 # Share of missing values put into each box measure.
@@ -20,7 +20,7 @@ def salted_id(c: str, salt: str, pepper: str, width: int = 7):
 
 def brand_names(df: DataFrame, brand: str, special: list[str]) -> DataFrame:
     """New name of each brand: supplied names for the most frequent, numbered ones for the rest."""
-    counts = (df.filter(F.col(brand).isNotNull()).groupBy(F.initcap(brand).alias("_brand"))
+    counts = (df.filter(F.col(brand).isNotNull()).groupBy(title_words(brand).alias("_brand"))
               .agg(F.count(F.lit(1)).alias("n")))
     ranked = split_rank(counts, [], ["n", "_brand"], descending=["n"])
     names = F.array(*[F.lit(s) for s in special])
@@ -37,7 +37,7 @@ def pseudonymise(df: DataFrame, salt: str, pepper: str, special: list[str], text
     Renaming is a join on the brand name, however many brands there are. Each text only has its own
     row's brand and category masked, as title-cased words.
     """
-    named = df.withColumn("_brand", F.initcap("brand"))
+    named = df.withColumn("_brand", title_words("brand"))
     out = named.join(brand_names(df, "brand", special), "_brand", "left")
     cols = {"product_id": salted_id("product_id", salt, pepper)}
     for p in prices:
@@ -45,9 +45,9 @@ def pseudonymise(df: DataFrame, salt: str, pepper: str, special: list[str], text
     for b in boxes:
         cols[b] = F.bround(F.col(b) * 7.43 + 1.2, 1)
     for t in texts:
-        titled = F.initcap(F.coalesce(F.col(t), F.lit("")))
+        titled = title_words(F.coalesce(F.col(t), F.lit("")))
         hidden = F.coalesce(F.replace(titled, F.col("_brand"), F.col("_new")), titled)
-        cols[t] = F.coalesce(F.replace(hidden, F.initcap("category"), F.lit(mask)), hidden)
+        cols[t] = F.coalesce(F.replace(hidden, title_words("category"), F.lit(mask)), hidden)
     return out.withColumns(cols).withColumn("brand", F.col("_new")).drop("_brand", "_new")
 
 

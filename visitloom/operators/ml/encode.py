@@ -67,6 +67,16 @@ def quantile_transform(train: DataFrame, df: DataFrame, c: str, out: str | None
     return df.join(table, F.col(c).cast("double") == F.col("_key"), "left").drop("_key")
 
 
+def standardise(train: DataFrame, df: DataFrame, cols) -> DataFrame:
+    """(x - mean) / population deviation of the training data."""
+    stats = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols])
+    out = {}
+    for c in cols:
+        st = stats.select(c).scalar()
+        out[f"{c}_z"] = F.try_divide(F.col(c) - st["m"], st["s"])
+    return df.withColumns(out)
+
+
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Row weight (1/n_class) * N/2."""
     sizes = df.groupBy(F.col(label).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
