@@ -10,13 +10,13 @@ carry that comes from one summary row per block, a table whose size is bounded b
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from visitloom.session import settle
+from visitloom.session import settle, store
 
 BLOCK = "_block"
 MIN_ROWS = 2_000_000     # a key below this many rows is never split
@@ -29,6 +29,7 @@ class Track:
     order: tuple[str, ...]
     descending: tuple[str, ...] = ()
     blocked: bool = False
+    laid: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def sort(self) -> list[Column]:
         # Nulls sort last in both directions, the same in every engine we compare with.
@@ -42,32 +43,38 @@ class Track:
         return W.partitionBy(*keys).orderBy(*self.sort())
 
 
-def large_keys(df: DataFrame, keys, min_rows: int | None = None) -> tuple[DataFrame, int, int]:
+def large_keys(df: DataFrame, keys, min_rows: int | None = None) -> tuple[DataFrame | None, int, int]:
     """Keys too large for one task as (key table, rows they hold, rows per block).
 
     At most ``MAX_BLOCKS`` keys can exceed the limit, so the table is safe to broadcast.
     """
-    floor_rows = MIN_ROWS if min_rows is None else min_rows
+    # The row count reads no column of a stored table, and a table no larger than one block has
+    # no large key at all.
+    total = df.count()
+    limit = max(MIN_ROWS if min_rows is None else min_rows, math.ceil(total / MAX_BLOCKS))
+    if total <= limit:
+        return None, 0, limit
+    if not keys:
+        return None, total, limit
     per_key = df.groupBy(*[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = per_key.agg(F.sum("_n"), F.max("_n")).first()
-    limit = max(floor_rows, math.ceil((total or 0) / MAX_BLOCKS))
-    if (largest or 0) <= limit:
-        return per_key.limit(0), 0, limit
     hot = settle(per_key.filter(F.col("_n") > limit))
-    rows = hot.agg(F.sum("_n")).first()[0]
+    rows = hot.agg(F.sum("_n")).first()[0] or 0
     return hot.drop("_n"), rows, limit
 
 
 def lay_track(
-    df: DataFrame, keys, order, descending=(), min_rows: int | None = None
+    df: DataFrame, keys, order, descending=(), min_rows: int | None = None, sized_by: DataFrame | None = None
 ) -> tuple[DataFrame, Track]:
-    """Prepare ``df`` for scans per ``keys`` in ``order`` (the order must be total per key)."""
+    """Prepare ``df`` for scans per ``keys`` in ``order`` (the order must be total per key).
+
+    ``sized_by`` is a cheaper table with at least as many rows per key to count on. Pass inputs
+    that are stored or one scan away; anything deeper is best stored first.
+    """
     keys, order, descending = tuple(keys), tuple(order), tuple(descending)
-    hot, rows, limit = large_keys(df, keys, min_rows)
+    hot, rows, limit = large_keys(df if sized_by is None else sized_by, keys, min_rows)
     if rows == 0:
         return df, Track(keys, order, descending)
     pieces = min(MAX_BLOCKS, max(2, math.ceil(rows / limit)))
-    track = Track(keys, order, descending, blocked=True)
     hot = F.broadcast(hot.toDF(*[f"_hot_{k}" for k in keys])) if keys else None
     if keys:
         cond = F.lit(True)
@@ -77,10 +84,12 @@ def lay_track(
         rest = df.join(hot, cond, "left_anti").withColumn(BLOCK, F.lit(0))
     else:
         big, rest = df, None
-    big = big.repartitionByRange(pieces, *[F.col(k) for k in keys], *track.sort())
+    sort = Track(keys, order, descending).sort()
+    big = big.repartitionByRange(pieces, *[F.col(k) for k in keys], *sort)
     big = big.withColumn(BLOCK, F.spark_partition_id() + 1)
     # The block of a row must be the same for every later reader, so the layout is written once.
-    return settle(big if rest is None else big.unionByName(rest)), track
+    laid = store(big if rest is None else big.unionByName(rest))
+    return laid, Track(keys, order, descending, blocked=True, laid=laid)
 
 
 def scan(df: DataFrame, track: Track, **outputs: tuple[str, str | Column | None]) -> DataFrame:
@@ -117,7 +126,8 @@ def scan(df: DataFrame, track: Track, **outputs: tuple[str, str | Column | None]
 
 
 def _blocked_scan(df, track, outputs, w, upto, before, onward):
-    df = settle(df)
+    if df is not track.laid:
+        df = store(df)  # read by the block summaries and by the scan itself
     keys = list(track.keys)
     sources = {
         f"_in_{n}": (F.lit(1) if s is None else F.col(s) if isinstance(s, str) else s)
@@ -211,7 +221,7 @@ def spread(df: DataFrame, keys, min_rows: int | None = None, sized_by: DataFrame
     windowed = {n: a.over(w) for n, a in aggs.items()}
     if rows == 0:
         return df.withColumns(windowed)
-    df = settle(df)
+    df = store(df)
     hot = F.broadcast(hot.toDF(*[f"_hot_{k}" for k in keys]))
     cond = F.lit(True)
     for k in keys:

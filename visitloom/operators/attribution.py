@@ -12,13 +12,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.functions.ordered import lay_track, lift_off, quantiles, scan, spread
+from visitloom.session import settle
 
 PATH = ("gid", "conv_group")
 
 
 def _normalise(df: DataFrame, value: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.try_divide(F.col(value), F.sum(value).over(W.partitionBy()))).drop(
-        *([value] if value != name else []))
+    """Share of the column total. There may be very many media, so the total is an aggregate of the
+    settled scores and not a window that would bring all of them into one task."""
+    df = settle(df)
+    total = df.agg(F.sum(value).alias("t")).scalar()
+    return df.withColumn(name, F.try_divide(F.col(value), total)).drop(*([value] if value != name else []))
 
 
 def _score(touches: DataFrame, medium: str, weight, name: str, converting=None) -> DataFrame:
@@ -114,7 +118,7 @@ def lost_paths(touches: DataFrame, coverage: DataFrame, vocab_size: int, medium:
     per = (touches.join(known, touches[medium] == known["_known"], "left")
            .groupBy(*PATH).agg(F.max(F.col("_known").isNotNull()).alias("seen")))
     return per.agg(F.count(F.lit(1)).alias("paths"), F.count_if(~F.col("seen")).alias("lost"),
-                   (F.count_if(~F.col("seen")) / F.count(F.lit(1))).alias("lost_share"))
+                   F.try_divide(F.count_if(~F.col("seen")), F.count(F.lit(1))).alias("lost_share"))
 
 
 def compare_runs(runs: dict[str, DataFrame], value: str, key: str = "medium") -> DataFrame:
@@ -135,9 +139,7 @@ def class_token_share(touches: DataFrame, medium: str = "medium") -> DataFrame:
     """Share of each token among the touches of converting and of other paths."""
     c = lambda v: F.count_if(F.col("cv_marker") == v)
     per = touches.groupBy(F.col(medium).alias("medium")).agg(c(1).alias("_y"), c(0).alias("_n"))
-    w = W.partitionBy()
-    return per.select("medium", F.try_divide(F.col("_y"), F.sum("_y").over(w)).alias("share_converted"),
-                      F.try_divide(F.col("_n"), F.sum("_n").over(w)).alias("share_other"))
+    return _normalise(_normalise(per, "_y", "share_converted"), "_n", "share_other")
 
 
 def model_removal_effect(paths: DataFrame, model, min_occ: int = 20, by=(), tokens: str = "utm_hash",

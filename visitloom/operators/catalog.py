@@ -121,7 +121,8 @@ def impute_clip(train: DataFrame, df: DataFrame, medians=(), modes=(), clips=(),
         out = out.withColumn(c, F.coalesce(F.col(c), mode_of(train, c).scalar()))
     for c in clips:
         q = quantiles(train, c, [low, high])
-        lo, hi = q.select("q0").scalar(), q.select("q1").scalar()
+        edge = q.select(F.struct("q0", "q1").alias("e")).scalar()
+        lo, hi = edge["q0"], edge["q1"]
         v = F.col(c).cast("double")
         out = out.withColumn(c, F.when(v > hi, hi).when(v < lo, lo).otherwise(v))
     return out

@@ -48,14 +48,16 @@ def allocate_costs(costs: DataFrame, fx: DataFrame) -> DataFrame:
     days = F.when(daily, F.array("cost_date")).otherwise(F.sequence(month_start, F.last_day("cost_date")))
     value = F.when(daily, F.col("value").cast("double")).otherwise(
         F.col("value").cast("double") / F.dayofmonth(F.last_day("cost_date")))
-    return rated.select(
-        "id_cost", F.explode(days).alias("id_date"), "id_company", "id_store", "id_currency",
+    # everything is computed on the ledger row; the explode only copies it to its days
+    priced = rated.select(
+        "id_cost", days.alias("_days"), "id_company", "id_store", "id_currency",
         digest("supplier_name", "account_name", "short_description", "channel_name",
                "id_device_platform").alias("utm_hash"),
         "supplier_name", "channel_name",
         F.when(daily, "DAILY").otherwise("MONTHLY").alias("cost_allocation"),
         (value * F.coalesce("rate", F.lit(1.0))).alias("exchanged_value"),
         value.alias("original_value"))
+    return priced.withColumn("id_date", F.explode("_days")).drop("_days")
 
 
 def cost_by_utm(allocated: DataFrame, utms: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.functions.columns import cut, days_since_black_friday, slug_state, year_gap
-from visitloom.functions.ordered import lay_track, lift_off, quantiles, scan
+from visitloom.functions.ordered import lay_track, lift_off, scan
+from visitloom.session import store
 
 HOURS_PER_YEAR = 8766
 
@@ -78,20 +79,23 @@ def first_order_features(items: DataFrame, since: str, as_of: str, by_order: boo
     ``by_order=False`` takes the second distinct joined row as the second sale, which can belong to
     the same order; ``by_order=True`` takes the second order.
     """
+    attrs = ["channel", "brand_partner", "device", "birth_year", "gender", "state", "expected_delivery_date",
+             "delivered_date"]
+    # read four times below; the joins behind it run once
+    items = store(items.select("fk_customer", "sale_date", "sale_order_store_number", *attrs, "is_paid", "is_market_place",
+                               "is_crossdocking", "is_private_label", "is_brand", "gmv"))
     paid = items.filter(F.col("is_paid") == 1)
     first = (paid.groupBy("fk_customer")
              .agg(F.min(F.struct("sale_date", "sale_order_store_number")).alias("f"))
              .filter(F.col("f.sale_date") >= F.to_date(F.lit(since)))
              .select("fk_customer", F.col("f.sale_date").alias("first_sale_date"),
                      F.col("f.sale_order_store_number").alias("first_sale_number")))
-    attrs = ["channel", "brand_partner", "device", "birth_year", "gender", "state", "expected_delivery_date",
-             "delivered_date"]
     rows = paid.join(first, "fk_customer", "left_semi")
     if by_order:
         rows = rows.groupBy("fk_customer", "sale_date", "sale_order_store_number").agg(*[F.min(a).alias(a) for a in attrs])
     else:
         rows = rows.select("fk_customer", "sale_date", "sale_order_store_number", *attrs).distinct()
-    laid, track = lay_track(rows, ["fk_customer"], ["sale_date", "sale_order_store_number", *attrs])
+    laid, track = lay_track(rows, ["fk_customer"], ["sale_date", "sale_order_store_number", *attrs], sized_by=paid)
     ranked = lift_off(scan(laid, track, rn=("row_number", None)))
     per = ranked.groupBy("fk_customer").agg(
         F.min("channel").alias("channel"), F.min("brand_partner").alias("partner"), F.min("device").alias("device"),

@@ -66,8 +66,8 @@ def conversion_rate(edges: DataFrame) -> DataFrame:
     s = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("cnt"))), F.lit(0))
     return edges.agg(
         s(real & conv).alias("total_cv"),
-        (s(real & conv) / F.countDistinct(F.when(real, F.col("from_state")))).alias("average_cv"),
-        (s(live & conv) / (s(live & conv) + s(live & exit_))).alias("cv_rate"))
+        F.try_divide(s(real & conv), F.countDistinct(F.when(real, F.col("from_state")))).alias("average_cv"),
+        F.try_divide(s(live & conv), s(live & conv) + s(live & exit_)).alias("cv_rate"))
 
 
 def channel_rates(edges: DataFrame) -> DataFrame:
@@ -78,8 +78,8 @@ def channel_rates(edges: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("to_state") == END, F.col("cnt"))).alias("exits")).na.fill(0)
     done = F.sum(F.col("conv") + F.col("exits")).over(W.partitionBy())
     return per.select(F.col("from_state").alias("channel"),
-                      (F.col("conv") / done).alias("cv_rate"),
-                      (F.col("exits") / done).alias("exit_rate"),
+                      F.try_divide(F.col("conv"), done).alias("cv_rate"),
+                      F.try_divide(F.col("exits"), done).alias("exit_rate"),
                       F.try_divide(F.col("conv"), F.col("exits")).alias("cv_exit_rate"))
 
 

@@ -54,7 +54,7 @@ def quantile_transform(train: DataFrame, df: DataFrame, c: str, out: str | None
     laid, track = lay_track(counts, [], ["_v"])
     ranked = lift_off(scan(laid, track, _to=("running_sum", "_n")))
     # mean rank of equal values, from 0 to 1
-    known = ranked.select("_v", ((F.col("_to") - (F.col("_n") + 1) / 2) / (total.scalar() - 1)).alias("_q"))
+    known = ranked.select("_v", F.coalesce(F.try_divide(F.col("_to") - (F.col("_n") + 1) / 2, total.scalar() - 1), F.lit(0.0)).alias("_q"))
     asked = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("_v")).distinct()
     merged = asked.join(known, "_v", "full")
     laid, track = lay_track(merged, [], ["_v"])

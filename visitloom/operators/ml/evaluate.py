@@ -62,10 +62,10 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> Data
     counts = _score_counts(df, label, score, [])
     laid, track = lay_track(counts, [], ["_s"], descending=["_s"])
     cum = lift_off(scan(laid, track, _tp=("running_sum", "_pos"), _fp=("running_sum", "_neg")))
-    tot = counts.agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"))
+    tot = counts.agg(F.struct(F.sum("_pos").alias("p"), F.sum("_neg").alias("n")).alias("t")).scalar()
     return cum.select(F.col("_s").alias("threshold"),
-                      (F.col("_fp") / tot.select("n").scalar()).alias("fpr"),
-                      (F.col("_tp") / tot.select("p").scalar()).alias("tpr"))
+                      F.try_divide(F.col("_fp"), tot["n"]).alias("fpr"),
+                      F.try_divide(F.col("_tp"), tot["p"]).alias("tpr"))
 
 
 def multiclass_auc(df: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:
@@ -85,11 +85,11 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score", n
     Scores fall into the n buckets between thresholds; running sums over the buckets, from the top,
     give every threshold at once.
     """
-    edges = df.agg(F.min(score).alias("lo"), (F.max(score) * 0.999).alias("hi"))
-    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
+    edges = df.agg(F.struct(F.min(score).alias("lo"), (F.max(score) * 0.999).alias("hi")).alias("e")).scalar()
+    lo, hi = edges["lo"], edges["hi"]
     step = (hi - lo) / (n - 1)
     # highest threshold index not above the score; corrected for the division's rounding
-    k = F.floor((F.col(score) - lo) / step)
+    k = F.floor(F.try_divide(F.col(score) - lo, step))
     k = F.when(lo + (k + 1) * step <= F.col(score), k + 1).when(lo + k * step > F.col(score), k - 1).otherwise(k)
     k = F.least(F.greatest(k, F.lit(0)), F.lit(n - 1))
     hist = (df.groupBy(F.coalesce(k, F.lit(0)).alias("k"))
@@ -128,11 +128,11 @@ def hazard_scores(df: DataFrame, scores: list[str]) -> DataFrame:
 def gain_curve(df: DataFrame, truth: str, rank_by: str, id_col: str) -> DataFrame:
     """Cumulative share of truth when rows are taken from the highest ``rank_by`` down."""
     base = df.select(F.col(id_col).alias("_id"), F.col(truth).alias("_y"), F.col(rank_by).alias("_s"))
-    total = base.agg(F.sum("_y").cast("double").alias("t"), F.count(F.lit(1)).alias("n"))
+    total = base.agg(F.struct(F.sum("_y").cast("double").alias("t"), F.count(F.lit(1)).alias("n")).alias("x")).scalar()
     laid, track = lay_track(base, [], ["_s", "_id"], descending=["_s"])
     cum = lift_off(scan(laid, track, _cum=("running_sum", "_y"), _rn=("row_number", None)))
-    return cum.select(F.col("_id").alias(id_col), (F.col("_rn") / total.select("n").scalar()).alias("cum_customers"),
-                      (F.col("_cum").cast("double") / total.select("t").scalar()).alias("gain"))
+    return cum.select(F.col("_id").alias(id_col), (F.col("_rn") / total["n"]).alias("cum_customers"),
+                      F.try_divide(F.col("_cum").cast("double"), total["t"]).alias("gain"))
 
 
 def gain_gini(df: DataFrame, truth: str, pred: str, base: str, id_col: str) -> DataFrame:
@@ -147,9 +147,10 @@ def gain_gini(df: DataFrame, truth: str, pred: str, base: str, id_col: str) -> D
 def quantile_bins(df: DataFrame, c: str, q: int, out: str = "bin") -> DataFrame:
     """Equal-frequency bins with interpolated, right-closed edges; a value on an edge goes below."""
     edges = quantiles(df, c, [i / q for i in range(1, q)])
+    edge = edges.select(F.struct(*[f"q{i}" for i in range(q - 1)]).alias("e")).scalar()
     above = F.lit(0)
     for i in range(q - 1):
-        above = above + F.when(F.col(c).cast("double") > edges.select(f"q{i}").scalar(), 1).otherwise(0)
+        above = above + F.when(F.col(c).cast("double") > edge[f"q{i}"], 1).otherwise(0)
     return df.withColumn(out, F.when(F.col(c).isNotNull(), above))
 
 
@@ -169,8 +170,8 @@ def mutual_info(df: DataFrame, score: str, label: str, bins: int = 20) -> DataFr
 
     Counts per (bin, label) first, so the marginal windows see a fixed number of rows.
     """
-    edges = df.agg(F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi"))
-    lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
+    edges = df.agg(F.struct(F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi")).alias("e")).scalar()
+    lo, hi = edges["lo"], edges["hi"]
     b = F.coalesce(F.least(F.floor(F.try_divide(F.col(score) - lo, hi - lo) * bins), F.lit(bins - 1)), F.lit(0))
     cells = df.groupBy(b.alias("_b"), F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
     n = F.sum("_n").over(W.partitionBy())

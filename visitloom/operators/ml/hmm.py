@@ -129,7 +129,17 @@ def _with_carry(parts: DataFrame, keys: list[str], p: HmmParams) -> DataFrame:
             .withColumns({"alpha_in": F.coalesce("alpha_in", uniform), "beta_out": F.coalesce("beta_out", ones)}))
 
 
-def to_parts(df: DataFrame, keys, pos: str, obs: str, part_len: int = 10_000) -> DataFrame:
+PART_LEN, MAX_PARTS = 10_000, 20_000
+
+
+def part_length(df: DataFrame, pos: str) -> int:
+    """Visits per part: grows with the longest path, so that no path has more than MAX_PARTS parts."""
+    longest = df.agg(F.max(pos)).first()[0] or 1
+    return max(PART_LEN, -(-longest // MAX_PARTS))
+
+
+def to_parts(df: DataFrame, keys, pos: str, obs: str, part_len: int | None = None) -> DataFrame:
+    part_len = part_len or part_length(df, pos)
     part = F.floor((F.col(pos) - 1) / part_len)
     rows = df.groupBy(*keys, part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(obs).cast("double").alias("o")))).alias("v"))
@@ -137,7 +147,7 @@ def to_parts(df: DataFrame, keys, pos: str, obs: str, part_len: int = 10_000) ->
 
 
 def hmm_fit(df: DataFrame, keys, pos: str = "pos", obs: str = "n_views", states: int = 4, iters: int = 5,
-            part_len: int = 10_000) -> tuple[HmmParams, list[float]]:
+            part_len: int | None = None) -> tuple[HmmParams, list[float]]:
     """Expectation-maximisation; returns the parameters and the log-likelihood (up to a constant)
     seen by each iteration. Each round brings a few dozen sums to the driver."""
     keys = list(keys)
@@ -176,7 +186,7 @@ def hmm_fit(df: DataFrame, keys, pos: str = "pos", obs: str = "n_views", states:
 
 
 def hmm_decode(df: DataFrame, params: HmmParams, keys, pos: str = "pos", obs: str = "n_views",
-               part_len: int = 10_000) -> DataFrame:
+               part_len: int | None = None) -> DataFrame:
     """Most probable state and its posterior for every visit."""
     keys = list(keys)
     parts = to_parts(df, keys, pos, obs, part_len)

@@ -103,7 +103,7 @@ def crop_report(parsed: DataFrame, max_seq_len: int = 15) -> DataFrame:
     """How many paths the length limit leaves out, of the unlimited parse."""
     cropped = F.count_if(F.size("utm_hash") > max_seq_len)
     return parsed.agg(F.count(F.lit(1)).alias("paths"), cropped.alias("cropped"),
-                      (cropped * 100 / F.count(F.lit(1))).alias("pct_cropped"))
+                      F.try_divide(cropped * 100, F.count(F.lit(1))).alias("pct_cropped"))
 
 
 def identified_only(parsed: DataFrame, key: str = "gid") -> DataFrame:

@@ -22,14 +22,14 @@ def hourly_event_share(sales: DataFrame, as_of_year: int, years: int = 4, days=(
                .agg(F.round(F.sum("gtv_after"), 2).alias("after"), F.round(F.sum("gtv_before"), 2).alias("before"),
                     F.sum((F.col("gtv_before") != 0).cast("int")).alias("p")))
     per_year = W.partitionBy("y")
-    share = lambda c: F.col(c).cast("double") / F.sum(c).over(per_year).cast("double")
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.sum(c).over(per_year).cast("double"))
     norm = grouped.select("d", "h", share("after").alias("after"), share("before").alias("before"),
                           share("p").alias("p"))
     past = norm.groupBy("d", "h").agg(
         *[F.sum(c).alias(f"x_{c}") for c in ("after", "before", "p")],
         *[F.stddev_samp(c).alias(f"s_{c}") for c in ("after", "before", "p")])
     whole = W.partitionBy()
-    out = lambda c: F.col(f"x_{c}") / F.sum(f"x_{c}").over(whole)
+    out = lambda c: F.try_divide(F.col(f"x_{c}"), F.sum(f"x_{c}").over(whole))
     start = black_friday(F.lit(as_of_year)).cast("timestamp")
     return past.select(
         (start + F.make_dt_interval(hours=24 * F.col("d") + F.col("h"))).alias("dtt"),
@@ -46,7 +46,7 @@ def hourly_share_by_year(sales: DataFrame, first_year: int, days=(-1, 5)) -> Dat
          .groupBy(year.alias("y"), d.alias("d"), F.col("sale_hour").alias("h"))
          .agg(F.round(F.sum("gtv_after"), 2).alias("gtv"), F.sum((F.col("gtv_after") != 0).cast("int")).alias("p")))
     total = F.sum("gtv").over(W.partitionBy("y")).cast("double")
-    return g.withColumns({"n_gtv": F.col("gtv").cast("double") / total,
+    return g.withColumns({"n_gtv": F.try_divide(F.col("gtv").cast("double"), total),
                           "x": F.col("d") + F.col("h") / 24})
 
 

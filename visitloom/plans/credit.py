@@ -11,7 +11,7 @@ from visitloom.operators import paths as P
 from visitloom.plans import inputs as N
 from visitloom.plans.journeys import LONG, MEDIUM_EDGES, MEDIUM_KEPT, medium_edges, medium_kept, path_rows
 from visitloom.plans.registry import as_int, as_text, query, rounded
-from visitloom.session import settle
+from visitloom.session import store
 
 # ------------------------------------------------------------------ D13-D22
 PRUNED = f"""{MEDIUM_EDGES}, outn AS (SELECT from_state AS s, sum(cnt) AS n FROM edges WHERE from_state NOT IN ('END','CONVERSION') GROUP BY 1),
@@ -213,7 +213,7 @@ def d30(t):
 @query("d30_rollup", f"""WITH {WEIGHTS}, {UTM_MAP}, s AS (SELECT medium, sum(nw) AS v FROM nw GROUP BY 1), sc AS (SELECT medium, v / sum(v) OVER () AS a FROM s)
 SELECT trinomial, round(sum(a), 6) AS norm_att FROM um JOIN sc ON medium = utm_hash GROUP BY 1""")
 def d30_rollup(t):
-    rows = settle(path_rows(t))
+    rows = store(path_rows(t))
     scores = A.weighted_attribution(A.time_decay_weights(rows, LAMBDA))
     return rounded(A.rollup(scores, A.utm_map(rows), "norm_att"), "norm_att")
 
@@ -231,7 +231,7 @@ def d33(t):
 @query("d33_lost_paths", f"""WITH {LONG}, {COVER}, pp AS (SELECT gid, conv_group, max(CASE WHEN rank <= 20 THEN 1 ELSE 0 END) AS seen FROM long JOIN cr ON cr.medium = utm_hash GROUP BY 1, 2)
 SELECT count(*) AS paths, CAST(sum(1 - seen) AS BIGINT) AS lost, round(sum(1 - seen) / count(*), 6) AS lost_share FROM pp""")
 def d33_lost(t):
-    rows = settle(path_rows(t))
+    rows = store(path_rows(t))
     return rounded(A.lost_paths(rows, A.vocab_coverage(rows), 20), "lost_share")
 
 
@@ -240,7 +240,7 @@ b AS (SELECT medium, v / sum(v) OVER () AS v FROM (SELECT trin AS medium, sum(CA
 j AS (SELECT medium, coalesce(a.v, 0) AS ft, coalesce(b.v, 0) AS lt FROM a FULL JOIN b USING (medium)), x AS (SELECT regexp_replace(medium, '_[01]$', '') AS medium, ft + lt AS total FROM j)
 SELECT medium, round(avg(total), 6) AS total FROM x GROUP BY 1""")
 def d34(t):
-    rows = settle(path_rows(t))
+    rows = store(path_rows(t))
     runs = {"ft": A.first_touch(rows, "trin").withColumnRenamed("first_touch", "v"),
             "lt": A.last_touch(rows, "trin").withColumnRenamed("last_touch", "v")}
     return rounded(A.average_without_suffix(A.compare_runs(runs, "v"), "_[01]", "total"), "total")
@@ -290,11 +290,11 @@ def allocated(t):
     return C.allocate_costs(N.costs_in(t), fx_rates(t))
 
 
-@query("d35_allocate_costs", f"""WITH {ALLOC} SELECT CAST(id_date AS VARCHAR) AS id_date, id_company, id_store, id_currency, cost_allocation, count(*) AS n, min(utm_hash) AS first_hash,
+@query("d35_allocate_costs", f"""WITH {ALLOC} SELECT CAST(id_date AS VARCHAR) AS id_date, id_company, id_store, id_currency, cost_allocation, count(*) AS n,
   CAST(sum(CAST(original_value AS DECIMAL(18,6))) AS DOUBLE) AS original_value, CAST(sum(CAST(exchanged_value AS DECIMAL(18,6))) AS DOUBLE) AS exchanged_value FROM alloc GROUP BY 1, 2, 3, 4, 5""")
 def d35(t):
     out = allocated(t).groupBy("id_date", "id_company", "id_store", "id_currency", "cost_allocation").agg(
-        F.count(F.lit(1)).alias("n"), F.min("utm_hash").alias("first_hash"),
+        F.count(F.lit(1)).alias("n"),
         exact("original_value"), exact("exchanged_value"))
     return as_text(out, "id_date")
 
@@ -362,7 +362,7 @@ UTMS = """utms AS (SELECT utm_hash, min(supplier_name) AS source, min(channel_na
 @query("d38_cost_by_utm", f"""WITH {ALLOC}, {UTMS}, c AS (SELECT utm_hash, count(*) AS cnt, sum(CAST(exchanged_value AS DECIMAL(18,6))) AS a, sum(CAST(original_value AS DECIMAL(18,6))) AS o FROM alloc GROUP BY 1)
 SELECT utm_hash, cnt, CAST(a AS DOUBLE) AS avg_cost_times_cnt, CAST(o AS DOUBLE) AS avg_original_cost_times_cnt, source, channel FROM c JOIN utms USING (utm_hash)""")
 def d38(t):
-    rows = settle(allocated(t))
+    rows = store(allocated(t))
     utms = rows.filter(F.col("id_store") > 0).groupBy("utm_hash").agg(
         F.min("supplier_name").alias("source"), F.min("channel_name").alias("channel"))
     fixed = rows.withColumns({c: F.col(c).cast("decimal(18,6)") for c in ("exchanged_value", "original_value")})

@@ -10,7 +10,7 @@ from visitloom.operators import paths as P
 from visitloom.operators import sessions as S
 from visitloom.plans.inputs import BRAND, CUSTOMERS, SESSIONS_FLAT, TOUCHES, Tables, customers_in, sessions_in, touches_in
 from visitloom.plans.registry import as_int, query, rounded
-from visitloom.session import settle
+from visitloom.session import store
 
 VISIT_ORDER = ["sess", "visit_id"]
 EVENT_ORDER = ["sess", "event_id"]
@@ -26,7 +26,7 @@ def stitched(t: Tables):
 
 def kept(t: Tables):
     """The stitched touches are written once: counting per id and the scans both read them."""
-    return S.collapse_sequential(settle(stitched(t)), "gid", VISIT_ORDER)
+    return S.collapse_sequential(store(stitched(t)), "gid", VISIT_ORDER)
 
 
 def path_rows(t: Tables):

@@ -17,7 +17,7 @@ from visitloom.plans import inputs as N
 from visitloom.plans.journeys import LONG, MEDIUM_KEPT, medium_kept, path_rows
 from visitloom.plans.registry import as_int, as_text, query, rounded
 from visitloom.plans.retail import AS_OF, LABELS, first_orders, labelled
-from visitloom.session import settle
+from visitloom.session import store
 
 NUM, CAT = ["age", "gmv", "days_since_last_bf"], ["channel", "device", "gender"]
 TRAIN, HELD = "fk_customer % 4 <> 0", "fk_customer % 4 = 0"
@@ -25,7 +25,7 @@ TRAIN, HELD = "fk_customer % 4 <> 0", "fk_customer % 4 = 0"
 
 def training(t):
     """Labelled customers, written once; every fit and score below reads this table."""
-    return settle(labelled(t).withColumn("label", F.col("label_180").cast("double")))
+    return store(labelled(t).withColumn("label", F.col("label_180").cast("double")))
 
 
 LW = f"{LABELS}, lab AS (SELECT *, CAST(CASE WHEN waiting_time < 180 THEN 1 ELSE 0 END AS DOUBLE) AS label FROM lw), tr AS (SELECT * FROM lab WHERE fk_customer % 4 <> 0)"
@@ -339,7 +339,7 @@ def m22_aft(t):
 # ------------------------------------------------------------------ model-based attribution, hidden states
 def _path_arrays(t):
     rows = path_rows(t).filter(F.col("n_touches") <= 15)
-    return settle(rows.groupBy("gid", "conv_group", F.col("cv_marker").cast("double").alias("label")).agg(
+    return store(rows.groupBy("gid", "conv_group", F.col("cv_marker").cast("double").alias("label")).agg(
         F.min("datasource").alias("os"), F.array_sort(F.collect_list(F.struct("pos", "trin"))).getField("trin").alias("trins")))
 
 
@@ -361,7 +361,7 @@ def d32(t):
 
 
 def _views(t):
-    return settle(path_rows(t).select("gid", "conv_group", "pos", "medium", "n_views", "is_to_cart", F.col("value").cast("double").alias("value")))
+    return store(path_rows(t).select("gid", "conv_group", "pos", "medium", "n_views", "is_to_cart", F.col("value").cast("double").alias("value")))
 
 
 @query("m23_hmm_decode")

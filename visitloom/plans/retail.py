@@ -9,9 +9,10 @@ from visitloom.functions.columns import cut
 from visitloom.operators import customers as C
 from visitloom.operators import timeseries as S
 from visitloom.plans import inputs as N
-from visitloom.plans.journeys import LONG, _groups_sql, path_rows, settle
+from visitloom.plans.journeys import LONG, _groups_sql, path_rows
 from visitloom.operators import paths as P
 from visitloom.plans.registry import as_int, as_text, query, rounded
+from visitloom.session import store
 
 AS_OF = "2002-01-01"
 ITEMS = f"items AS ({N.ITEMS})"
@@ -192,7 +193,7 @@ def d45_monthly(t):
 m AS (SELECT partner, CASE WHEN sum(counts) OVER (ORDER BY counts DESC, partner) * 100.0 / sum(counts) OVER () < 90 THEN partner ELSE 'OTHER' END AS partner_new FROM c)
 SELECT fk_customer, partner_new FROM fo JOIN m USING (partner)""")
 def d46(t):
-    fo = settle(first_orders(t, True))
+    fo = store(first_orders(t, True))
     return C.pareto_bucket(fo, "partner", counted=F.col("second_sale_date").isNotNull()).select("fk_customer", "partner_new")
 
 
@@ -326,7 +327,7 @@ HOURLY = f"""hs AS (SELECT CAST(o_orderdate AS DATE) AS sd, CAST(o_orderkey % 24
 
 @query("d51_hourly_event_share", f"""WITH {HOURLY}, gd AS (SELECT y, d, h, CAST(sum(ga) AS DOUBLE) AS ga, CAST(sum(gb) AS DOUBLE) AS gb, sum(CASE WHEN gb <> 0 THEN 1 ELSE 0 END) AS p
   FROM hd WHERE d BETWEEN -1 AND 5 AND y BETWEEN 1997 AND 2000 GROUP BY 1, 2, 3),
-nq AS (SELECT d, h, ga / sum(ga) OVER (PARTITION BY y) AS a, gb / sum(gb) OVER (PARTITION BY y) AS b, p / sum(p) OVER (PARTITION BY y) AS p FROM gd),
+nq AS (SELECT d, h, ga / nullif(sum(ga) OVER (PARTITION BY y), 0) AS a, gb / nullif(sum(gb) OVER (PARTITION BY y), 0) AS b, p / nullif(sum(p) OVER (PARTITION BY y), 0) AS p FROM gd),
 sy AS (SELECT d, h, sum(a) AS xa, sum(b) AS xb, sum(p) AS xp, stddev_samp(a) AS sa, stddev_samp(b) AS sb, stddev_samp(p) AS sp FROM nq GROUP BY 1, 2)
 SELECT CAST(CAST({bf_sql('2001')} AS TIMESTAMP) + to_hours(CAST(24 * d + h AS INTEGER)) AS VARCHAR) AS dtt, round(xa / sum(xa) OVER (), 6) AS norm_gtv_after, round(sa, 6) AS std_gtv_after,
   round(xb / sum(xb) OVER (), 6) AS norm_gtv_before, round(sb, 6) AS std_gtv_before, round(xp / sum(xp) OVER (), 6) AS norm_purchases, round(sp, 6) AS std_purchases FROM sy""")
@@ -336,7 +337,7 @@ def d51(t):
 
 
 @query("d51_share_by_year", f"""WITH {HOURLY}, gd AS (SELECT y, d, h, sum(ga) AS gtv, CAST(sum(CASE WHEN ga <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS p FROM hd WHERE d BETWEEN -1 AND 5 AND y >= 1996 GROUP BY 1, 2, 3)
-SELECT y, d, h, CAST(gtv AS DOUBLE) AS gtv, p, round(CAST(gtv AS DOUBLE) / CAST(sum(gtv) OVER (PARTITION BY y) AS DOUBLE), 6) AS n_gtv, round(d + h / 24, 6) AS x FROM gd""")
+SELECT y, d, h, CAST(gtv AS DOUBLE) AS gtv, p, round(CAST(gtv AS DOUBLE) / nullif(CAST(sum(gtv) OVER (PARTITION BY y) AS DOUBLE), 0), 6) AS n_gtv, round(d + h / 24, 6) AS x FROM gd""")
 def d51_year(t):
     return rounded(S.hourly_share_by_year(hourly_sales(t), 1996), "gtv", "n_gtv", "x")
 

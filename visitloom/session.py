@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +34,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a wide intermediate table once, as Parquet next to the checkpoints, and read it back.
+
+    Later readers prune columns and know its size, which a checkpoint does not offer.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/visitloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy."""
+    """Checkpoint a narrow or iterated table and continue from the checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
