@@ -117,5 +117,5 @@ def test_assert_unique(spark):
 
 def test_perturb_rates(spark):
     df = spark.range(20000).select("id", F.lit(1.0).alias("price"), F.lit(1.0).alias("box_width"))
-    out = K.perturb(df, 5, missing={"box_width": 0.12}).agg(F.avg((F.col("price") > 1).cast("int")), F.avg(F.col("box_width").isNull().cast("int"))).first()
+    out = K.perturb(df, 5, "id", missing={"box_width": 0.12}).agg(F.avg((F.col("price") > 1).cast("int")), F.avg(F.col("box_width").isNull().cast("int"))).first()
     assert abs(out[0] - 0.05) < 0.01 and abs(out[1] - 0.12) < 0.01

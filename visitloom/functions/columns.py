@@ -34,6 +34,12 @@ def count_where(array, predicate) -> Column:
     return F.size(F.filter(F.coalesce(col(array), F.array()), predicate))
 
 
+def uniform(seed, *ids) -> Column:
+    """A number in [0, 1) that depends on the row's id only, so a recomputed task draws it again."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(i).cast("string") for i in ids])
+    return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+
+
 def snap_price(c) -> Column:
     """Nearest multiple of five (half to even) minus one cent."""
     return F.bround(col(c) / 5) * 5 - 0.01

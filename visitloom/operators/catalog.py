@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.functions.columns import snap_price, title_words
+from visitloom.functions.columns import snap_price, title_words, uniform
 from visitloom.functions.ordered import lay_track, lift_off, quantiles, scan, split_rank
 
 # Share of missing values put into each box measure.
@@ -51,22 +51,28 @@ def pseudonymise(df: DataFrame, salt: str, pepper: str, special: list[str], text
     return out.withColumns(cols).withColumn("brand", F.col("_new")).drop("_brand", "_new")
 
 
-def jitter_price(df: DataFrame, price: str, low: float, high: float, seed: int) -> DataFrame:
+def jitter_price(df: DataFrame, price: str, low: float, high: float, seed: int, id_col: str) -> DataFrame:
     """Random factor in [low, high) per row, then the price snap."""
-    factor = F.rand(seed) * (high - low) + low
+    factor = uniform(f"{seed}/{price}", id_col) * (high - low) + low
     return df.withColumn(price, snap_price(F.bround(F.col(price) * factor, 2)))
 
 
-def perturb(df: DataFrame, seed: int, prices=("price",), missing: dict[str, float] | None = None,
+def sample_rows(df: DataFrame, fraction: float, seed: int, id_col: str) -> DataFrame:
+    """Random share of the rows, the same rows every time for one seed."""
+    return df.filter(uniform(seed, id_col) < fraction)
+
+
+def perturb(df: DataFrame, seed: int, id_col: str, prices=("price",), missing: dict[str, float] | None = None,
             sectors: int = 0) -> DataFrame:
     """Outliers in prices, missing values by column rate and an optional random sector."""
     cols = {}
-    for i, p in enumerate(prices):
-        cols[p] = F.when(F.rand(seed + i) < OUTLIER_RATE, F.col(p) * OUTLIER_FACTOR).otherwise(F.col(p))
-    for i, (c, rate) in enumerate((MISSING_RATES if missing is None else missing).items()):
-        cols[c] = F.when(F.rand(seed + 100 + i) >= rate, F.col(c))
+    draw = lambda what: uniform(f"{seed}/{what}", id_col)
+    for p in prices:
+        cols[p] = F.when(draw(p) < OUTLIER_RATE, F.col(p) * OUTLIER_FACTOR).otherwise(F.col(p))
+    for c, rate in (MISSING_RATES if missing is None else missing).items():
+        cols[c] = F.when(draw(c) >= rate, F.col(c))
     if sectors:
-        cols["sector"] = F.floor(F.rand(seed + 200) * sectors)
+        cols["sector"] = F.floor(draw("sector") * sectors)
     return df.withColumns(cols)
 
 

@@ -132,6 +132,16 @@ def removal_effect(edges: DataFrame, mode: str = "drop", n: int = 0, digits: int
     edges = settle(edges)
     if mode == "absorbing":
         return _absorbing(edges, tol, max_doublings)
+    keyed, removed, reach = _first_reach(edges, mode)
+    for step in range(n):
+        reach = _one_step_back(reach, keyed)
+        if (step + 1) % cut_every == 0:
+            reach = settle(reach)
+    return _removal_weight(edges, removed, reach, mode, digits)
+
+
+def _first_reach(edges: DataFrame, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rewritten edges per removed channel, the removed channels, and one-step reach of the terminals."""
     keyed, removed = _removals(edges, include_start=mode == "drop")
     gone = F.col("removed")
     if mode == "drop":
@@ -144,12 +154,16 @@ def removal_effect(edges: DataFrame, mode: str = "drop", n: int = 0, digits: int
         raise ValueError(f"unknown mode {mode}")
     reach = keyed.filter(F.col("to_state").isin(*TERMINAL)).select(
         "removed", F.col("to_state").alias("target"), F.col("from_state").alias("state"), F.col("p").alias("r"))
-    for step in range(n):
-        reach = (reach.join(keyed.withColumnRenamed("to_state", "state"), ["removed", "state"])
-                 .groupBy("removed", "target", F.col("from_state").alias("state"))
-                 .agg(F.sum(F.col("r") * F.col("p")).alias("r")))
-        if (step + 1) % cut_every == 0:
-            reach = settle(reach)
+    return keyed, removed, reach
+
+
+def _one_step_back(reach: DataFrame, keyed: DataFrame) -> DataFrame:
+    return (reach.join(keyed.withColumnRenamed("to_state", "state"), ["removed", "state"])
+            .groupBy("removed", "target", F.col("from_state").alias("state"))
+            .agg(F.sum(F.col("r") * F.col("p")).alias("r")))
+
+
+def _removal_weight(edges: DataFrame, removed: DataFrame, reach: DataFrame, mode: str, digits: int) -> DataFrame:
     if mode == "drop":
         reach = reach.filter(~F.col("state").isin(*TERMINAL))
     rate = conversion_rate(edges).select("cv_rate")
@@ -167,10 +181,13 @@ def removal_effect(edges: DataFrame, mode: str = "drop", n: int = 0, digits: int
 def removal_sweep(edges: DataFrame, steps: int = 15, mode: str = "drop", digits: int = 3) -> DataFrame:
     """``removal_effect`` for 1..steps applications of the matrix: ``channel, step, weight``."""
     edges = settle(edges)
-    parts = [removal_effect(edges, mode, n, digits).withColumn("step", F.lit(n + 1)) for n in range(steps)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    keyed, removed, reach = _first_reach(edges, mode)
+    keyed, out = settle(keyed), None
+    for step in range(steps):
+        # each power continues from the written result of the one before
+        reach = settle(reach if step == 0 else _one_step_back(reach, keyed))
+        part = _removal_weight(edges, removed, reach, mode, digits).withColumn("step", F.lit(step + 1))
+        out = part if out is None else out.unionByName(part)
     return out.select("channel", "step", "weight")
 
 

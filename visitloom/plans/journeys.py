@@ -194,14 +194,12 @@ def d08d(t):
 
 
 @query("d09_parse_paths", f"""WITH {LONG}, renamed AS (SELECT *, CASE WHEN trin LIKE '%\\_1' ESCAPE '\\' THEN left(trin, length(trin) - 2) || '_kw'
-  WHEN trin LIKE '%\\_0' ESCAPE '\\' THEN left(trin, length(trin) - 2) || '_nokw' ELSE trin END AS tri FROM long WHERE n_touches <= 15)
-SELECT gid, CAST(dense_rank() OVER (PARTITION BY gid ORDER BY conv_group) AS BIGINT) AS path_rank, label, utm_hash, trinomials, decay_seconds FROM (
-SELECT gid, conv_group, max(cv_marker) AS label, string_agg(utm_hash, ',' ORDER BY pos) AS utm_hash, string_agg(tri, ',' ORDER BY pos) AS trinomials,
-  CAST(sum(path_end - sess) AS BIGINT) AS decay_seconds FROM renamed GROUP BY gid, conv_group)""")
+  WHEN trin LIKE '%\\_0' ESCAPE '\\' THEN left(trin, length(trin) - 2) || '_nokw' ELSE trin END AS tri FROM (SELECT *, dense_rank() OVER (PARTITION BY gid ORDER BY conv_group) - 1 AS path_no FROM long) WHERE n_touches <= 15)
+SELECT gid, path_no, max(cv_marker) AS label, string_agg(utm_hash, ',' ORDER BY pos) AS utm_hash, string_agg(tri, ',' ORDER BY pos) AS trinomials,
+  CAST(sum(path_end - sess) AS BIGINT) AS decay_seconds FROM renamed GROUP BY gid, path_no""")
 def d09(t):
-    from pyspark.sql import Window as W
     p = P.parse_paths(P.serialise_paths(path_rows(t), "gid", "d"))
-    return p.select("gid", F.dense_rank().over(W.partitionBy("gid").orderBy("path_no")).cast("bigint").alias("path_rank"),
+    return p.select("gid", F.col("path_no").cast("bigint").alias("path_no"),
                     F.col("label").cast("bigint").alias("label"),
                     F.array_join("utm_hash", ",").alias("utm_hash"), F.array_join("trinomials", ",").alias("trinomials"),
                     F.round(F.aggregate("decay_days", F.lit(0.0), lambda a, x: a + x) * 86400).cast("bigint")

@@ -253,7 +253,8 @@ q("w18_gain_curve", "WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(
 q("o01_order_by", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus, o_orderkey DESC", lambda t: t.orders.select("o_orderkey", "o_orderstatus").orderBy("o_orderstatus", c("o_orderkey").desc()))
 q("o02_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", lambda t: t.orders.select("o_orderkey", "o_totalprice").orderBy(c("o_totalprice").desc(), "o_orderkey").limit(10))
 q("o03_head", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 100", lambda t: t.events.select("event_id", "user_id").orderBy("event_id").limit(100))
-q("o04_sample", None, lambda t: t.orders.sample(fraction=0.1, seed=42).select("o_orderkey"))
+q("o04_sample", "SELECT o_orderkey FROM orders WHERE CAST('0x' || left(md5('42|' || CAST(o_orderkey AS VARCHAR)), 8) AS BIGINT) / 4294967296.0 < 0.1",
+  lambda t: C.sample_rows(t.orders, 0.1, 42, "o_orderkey").select("o_orderkey"))
 q("o05_landing_page", "SELECT event_id AS visit_id, CASE WHEN event_id % 2 = 1 AND event_id % 3 <> 1 THEN '/home' ELSE '/' END AS page FROM events", lambda t: N.sessions_in(t).select("visit_id", F.get("hits", lit(0))["page"]["pagePath"].alias("page")))
 q("u01_union_all", "SELECT event_id, 'app' AS datasource FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'site' FROM events WHERE event_id % 2 = 1",
   lambda t: t.events.filter("event_id % 2 = 0").select("event_id", lit("app").alias("datasource")).unionByName(t.events.filter("event_id % 2 = 1").select("event_id", lit("site").alias("datasource"))))

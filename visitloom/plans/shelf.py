@@ -40,11 +40,19 @@ def d53_names(t):
     return C.brand_names(N.catalog_in(t), "brand", SPECIAL).toDF("brand", "new_name")
 
 
-@query("d54_perturb")
+def _uniform_sql(seed, c: str) -> str:
+    return f"(CAST('0x' || left(md5('{seed}|' || CAST({c} AS VARCHAR)), 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+@query("d54_perturb", f"""WITH {CATALOG}, j AS (SELECT product_id, price AS raw, round_even(round_even(price * ({_uniform_sql('7/price', 'product_id')} * (1.1::DOUBLE - 0.9::DOUBLE) + 0.9::DOUBLE), 2) / 5, 0) * 5 - 0.01::DOUBLE AS price FROM cat)
+SELECT product_id, round(CASE WHEN {_uniform_sql('11/price', 'product_id')} < 0.05 THEN price * 10000 ELSE price END, 2) AS price,
+  {', '.join(f"round(CASE WHEN {_uniform_sql('11/' + c, 'product_id')} >= {r} THEN raw / 7 END, 6) AS {c}" for c, r in C.MISSING_RATES.items())},
+  CAST(floor({_uniform_sql('11/sector', 'product_id')} * 8) AS BIGINT) AS sector FROM j""")
 def d54(t):
-    df = branded(t).withColumns({c: F.col("price") / 7 for c in ("box_weight", "box_length", "box_height")})
-    return C.perturb(C.jitter_price(df, "price", 0.9, 1.1, 7), 11, sectors=8).select(
-        "product_id", "price", "box_weight", "box_length", "box_height", "box_width", "sector")
+    boxes = list(C.MISSING_RATES)
+    df = branded(t).withColumns({c: F.col("price") / 7 for c in boxes})
+    out = C.perturb(C.jitter_price(df, "price", 0.9, 1.1, 7, "product_id"), 11, "product_id", sectors=8)
+    return rounded(out.select("product_id", F.round("price", 2).alias("price"), *boxes, "sector"), *boxes)
 
 
 @query("d55_stratified_split", f"""WITH {CATALOG}, r AS (SELECT product_id, category, row_number() OVER (PARTITION BY category ORDER BY md5(CAST(product_id AS VARCHAR)), product_id) AS rn,
