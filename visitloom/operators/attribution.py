@@ -77,14 +77,17 @@ def weighted_attribution(weights: DataFrame) -> DataFrame:
 def position_profile(weights: DataFrame) -> DataFrame:
     """How each medium's weight is distributed over positions (rows of a medium sum to 1)."""
     per = normalised_weights(weights).groupBy("medium", "pos").agg(F.sum("w").alias("w"))
-    total = F.sum("w").over(W.partitionBy("medium"))
-    return per.select("medium", "pos", F.try_divide(F.col("w"), total).alias("share"), total.alias("medium_weight"))
+    per = spread(per, ["medium"], medium_weight=F.sum("w"))
+    return per.select("medium", "pos", F.try_divide(F.col("w"), F.col("medium_weight")).alias("share"), "medium_weight")
 
 
 def touchpoint_curve(weights: DataFrame) -> DataFrame:
-    """Total normalised weight by path length and position."""
-    return (normalised_weights(weights).groupBy("n_touches", "pos")
-            .agg(F.sum("w").alias("weight")))
+    """Normalised weight by path length and position: total, share within the length, and relative
+    to the length's strongest position."""
+    per = normalised_weights(weights).groupBy("n_touches", "pos").agg(F.sum("w").alias("weight"))
+    per = spread(per, ["n_touches"], _sum=F.sum("weight"), _top=F.max("weight"))
+    return per.select("n_touches", "pos", "weight", F.try_divide(F.col("weight"), F.col("_sum")).alias("share"),
+                      F.try_divide(F.col("weight"), F.col("_top")).alias("relative"))
 
 
 def utm_map(touches: DataFrame, utm: str = "utm_hash", tri: str = "trin") -> DataFrame:
@@ -129,10 +132,35 @@ def compare_runs(runs: dict[str, DataFrame], value: str, key: str = "medium") ->
     return wide.withColumn("total", reduce(lambda a, b: a + b, [F.col(n) for n in runs]))
 
 
-def average_without_suffix(scores: DataFrame, suffix: str, value: str, key: str = "medium") -> DataFrame:
+def average_without_suffix(scores: DataFrame, suffix: str, *values: str, key: str = "medium") -> DataFrame:
     """Strip a name suffix and average what then falls together."""
     return (scores.groupBy(F.regexp_replace(key, f"{suffix}$", "").alias(key))
-            .agg(F.avg(value).alias(value)))
+            .agg(*[F.avg(v).alias(v) for v in values]))
+
+
+def compare_positions(runs: dict[str, tuple[DataFrame, DataFrame]], score: str, positions: int = 3) -> DataFrame:
+    """Position shares of several runs side by side, with the runs' total score per medium.
+
+    ``runs`` maps a name to (position profile, scores); missing values are 0.
+    """
+    long = reduce(DataFrame.unionByName, [
+        prof.filter(F.col("pos") <= positions).select(
+            "medium", F.concat(F.lit("p"), F.col("pos").cast("string"), F.lit(f"_{name}")).alias("_c"), F.col("share").alias("_v"))
+        for name, (prof, _) in runs.items()])
+    totals = reduce(DataFrame.unionByName, [
+        s.select("medium", F.lit("weight_sum").alias("_c"), F.col(score).alias("_v")) for _, s in runs.values()])
+    cols = [*[f"p{i}_{n}" for n in runs for i in range(1, positions + 1)], "weight_sum"]
+    return long.unionByName(totals).groupBy("medium").pivot("_c", cols).agg(F.sum("_v")).na.fill(0.0)
+
+
+def group_difference(effect: DataFrame, group: str, a, b, values, key: str = "trinomial", n: str = "n_occ") -> DataFrame:
+    """(x_a - x_b f)/(x_a + x_b f) with f = n_a/n_b per key, for keys present in both groups."""
+    pick = lambda c, g: F.sum(F.when(F.col(group) == g, F.col(c)))
+    per = effect.groupBy(key).agg(pick(n, a).alias("_na"), pick(n, b).alias("_nb"),
+                                  *[pick(v, g).alias(f"_{v}_{s}") for v in values for g, s in ((a, "a"), (b, "b"))])
+    f = F.try_divide(F.col("_na"), F.col("_nb"))
+    diff = lambda v: F.try_divide(F.col(f"_{v}_a") - F.col(f"_{v}_b") * f, F.col(f"_{v}_a") + F.col(f"_{v}_b") * f)
+    return per.filter(F.col("_na").isNotNull() & F.col("_nb").isNotNull()).select(key, *[diff(v).alias(f"dif_{v}") for v in values])
 
 
 def class_token_share(touches: DataFrame, medium: str = "medium") -> DataFrame:

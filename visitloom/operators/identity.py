@@ -30,11 +30,10 @@ def _join_key(c: str):
 
 def stitch_global(t: DataFrame, dim: DataFrame, min_rows=None) -> DataFrame:
     """One global id per visit from customer number, hash, a sibling visit, device or visitor."""
-    ids = (t.withColumn("hash_id", extract_valid("cd8", HASH_RE))
-           .withColumn("sfc", extract_valid("cd8", NUMBER_RE))
-           .withColumn("device_id", extract_valid("device_id", DEVICE_RE)))
     visitor = F.concat_ws(":", "datasource", "fvid")
-    ids = ids.withColumn("_device", F.coalesce(F.col("device_id"), visitor))
+    device = extract_valid("device_id", DEVICE_RE)
+    ids = t.withColumns({"hash_id": extract_valid("cd8", HASH_RE), "sfc": extract_valid("cd8", NUMBER_RE),
+                         "device_id": device, "_device": F.coalesce(device, visitor)})
     profile = lambda: F.struct("gender", "birthday", "cust_created_year")
     # one row per key, so that a duplicated dimension row cannot multiply visits
     by_number = (dim.groupBy(F.col("src_fk_customer").cast("string").alias("_number"))
@@ -44,12 +43,11 @@ def stitch_global(t: DataFrame, dim: DataFrame, min_rows=None) -> DataFrame:
                     F.min(profile()).alias("_c2")))
     known = (ids.join(by_number, _join_key("sfc") == F.col("_number"), "left")
              .join(by_hash, _join_key("hash_id") == F.col("_hash"), "left")
-             .withColumn("hash_id", F.coalesce("hash_id", "_hash1"))
-             .withColumn("sfc", F.coalesce("sfc", "_number2"))
-             .withColumn("gender", F.coalesce("_c1.gender", "_c2.gender", F.lit("not_set")))
-             .withColumn("birthday", F.coalesce("_c1.birthday", "_c2.birthday", F.lit(-1)))
-             .withColumn("cust_created_year",
-                         F.coalesce("_c1.cust_created_year", "_c2.cust_created_year", F.lit(-1)))
+             .withColumns({
+                 "hash_id": F.coalesce("hash_id", "_hash1"), "sfc": F.coalesce("sfc", "_number2"),
+                 "gender": F.coalesce("_c1.gender", "_c2.gender", F.lit("not_set")),
+                 "birthday": F.coalesce("_c1.birthday", "_c2.birthday", F.lit(-1)),
+                 "cust_created_year": F.coalesce("_c1.cust_created_year", "_c2.cust_created_year", F.lit(-1))})
              .drop("_number", "_hash1", "_c1", "_hash", "_number2", "_c2"))
     known = spread(known, ["_device"], min_rows, sized_by=ids,
                    other_session_id=F.min(F.coalesce(F.col("sfc"), F.col("hash_id"))))

@@ -197,9 +197,10 @@ def d29(t):
     return rounded(A.position_profile(weights(t)), "share", "medium_weight")
 
 
-@query("d29_touchpoint_curve", f"WITH {WEIGHTS} SELECT n_touches, pos, round(sum(nw), 6) AS weight FROM nw GROUP BY 1, 2")
+@query("d29_touchpoint_curve", f"""WITH {WEIGHTS}, c AS (SELECT n_touches, pos, sum(nw) AS w FROM nw GROUP BY 1, 2)
+SELECT n_touches, pos, round(w, 6) AS weight, round(w / sum(w) OVER (PARTITION BY n_touches), 6) AS share, round(w / max(w) OVER (PARTITION BY n_touches), 6) AS relative FROM c""")
 def d29_curve(t):
-    return rounded(A.touchpoint_curve(weights(t)), "weight")
+    return rounded(A.touchpoint_curve(weights(t)), "weight", "share", "relative")
 
 
 UTM_MAP = "um AS (SELECT utm_hash, trin AS trinomial, count(*) AS cnt FROM long GROUP BY 1, 2)"
@@ -246,6 +247,41 @@ def d34(t):
     return rounded(A.average_without_suffix(A.compare_runs(runs, "v"), "_[01]", "total"), "total")
 
 
+def _run_sql(name: str, cond: str) -> str:
+    """Position shares and scores of the touches of one source, as one run."""
+    return f"""{name}w AS (SELECT trin AS medium, pos, nw FROM (SELECT gid, conv_group, pos, trin, sess, datasource, w / sum(w) OVER (PARTITION BY gid, conv_group) AS nw
+  FROM (SELECT *, exp(-{LAMBDA} * (path_end - sess) / 86400.0) AS w FROM long WHERE {cond}))),
+{name} AS (SELECT medium, pos, sum(nw) / sum(sum(nw)) OVER (PARTITION BY medium) AS share FROM {name}w GROUP BY 1, 2),
+{name}s AS (SELECT medium, sum(nw) / sum(sum(nw)) OVER () AS score FROM {name}w GROUP BY 1)"""
+
+
+_PCOLS = [f"p{i}_{n}" for n in ("short", "long") for i in (1, 2, 3)]
+
+
+@query("d34_compare_positions", f"""WITH {LONG}, {_run_sql('rs', 'n_touches <= 3')}, {_run_sql('rl', 'n_touches > 3')},
+u AS (SELECT medium, 'p' || pos || '_short' AS c, share AS v FROM rs UNION ALL SELECT medium, 'p' || pos || '_long', share FROM rl
+  UNION ALL SELECT medium, 'weight_sum', score FROM rss UNION ALL SELECT medium, 'weight_sum', score FROM rls),
+x AS (SELECT medium, {', '.join(f"coalesce(sum(CASE WHEN c = '{c}' THEN v END), 0) AS {c}" for c in [*_PCOLS, 'weight_sum'])} FROM u GROUP BY 1)
+SELECT regexp_replace(medium, '_[01]$', '') AS medium, {', '.join(f"round(avg({c}), 6) AS {c}" for c in [*_PCOLS, 'weight_sum'])} FROM x GROUP BY 1""")
+def d34_positions(t):
+    rows, runs = store(path_rows(t)), {}
+    for name, cond in (("short", "n_touches <= 3"), ("long", "n_touches > 3")):
+        w = A.time_decay_weights(rows.filter(cond), LAMBDA, "trin")
+        runs[name] = (A.position_profile(w), A.weighted_attribution(w))
+    out = A.compare_positions(runs, "norm_att")
+    return rounded(A.average_without_suffix(out, "_[01]", *_PCOLS, "weight_sum"), *_PCOLS, "weight_sum")
+
+
+@query("d32_group_difference", f"""WITH tt AS ({N.TOUCHES}), e AS (SELECT medium, datasource, count(*) AS n_occ, avg(sess_end - sess) AS rm_eff FROM tt WHERE event_id % 7 < 5 OR datasource = 'app' GROUP BY 1, 2),
+j AS (SELECT a.medium AS trinomial, a.rm_eff AS ra, b.rm_eff * a.n_occ / b.n_occ AS rb FROM e a JOIN e b ON a.medium = b.medium AND a.datasource = 'app' AND b.datasource = 'site')
+SELECT trinomial, round((ra - rb) / (ra + rb), 6) AS dif_rm_eff FROM j""")
+def d32_difference(t):
+    rows = N.touches_in(t).filter("event_id % 7 < 5 OR datasource = 'app'")
+    effect = rows.groupBy(F.col("medium").alias("trinomial"), "datasource").agg(
+        F.count(F.lit(1)).alias("n_occ"), F.avg(F.col("sess_end") - F.col("sess")).alias("rm_eff"))
+    return rounded(A.group_difference(effect, "datasource", "app", "site", ["rm_eff"]), "dif_rm_eff")
+
+
 @query("d62_class_token_share", f"""WITH {MEDIUM_KEPT}, s AS (SELECT medium, sum(CASE WHEN cv_marker = 1 THEN 1 ELSE 0 END) AS y, sum(CASE WHEN cv_marker = 0 THEN 1 ELSE 0 END) AS n FROM kept GROUP BY 1)
 SELECT medium, round(y / nullif(sum(y) OVER (), 0), 6) AS share_converted, round(n / nullif(sum(n) OVER (), 0), 6) AS share_other FROM s""")
 def d62(t):
