@@ -272,6 +272,24 @@ def d34_positions(t):
     return rounded(A.average_without_suffix(out, "_[01]", *_PCOLS, "weight_sum"), *_PCOLS, "weight_sum")
 
 
+@query("d31_removal_rollup", f"""WITH {LONG}, {UTM_MAP}, ft AS (SELECT utm_hash, min(trinomial) AS trinomial FROM um GROUP BY 1), e AS (SELECT utm_hash, count(*) AS n, avg(pos) AS r FROM long GROUP BY 1)
+SELECT trinomial, CAST(sum(n) AS BIGINT) AS n_occ_sum, count(n) AS n_occ_count, round(sum(r), 6) AS rm_eff, round(sum(n * r), 6) AS scaled_rm_eff, round(sum(r) / count(n), 6) AS m_rm_eff
+FROM e JOIN ft USING (utm_hash) WHERE n > 5 GROUP BY 1""")
+def d31_rollup(t):
+    rows = store(path_rows(t))
+    effect = (rows.groupBy(F.col("utm_hash").alias("medium")).agg(F.count(F.lit(1)).alias("n_occ"), F.avg("pos").alias("rm_eff"))
+              .withColumn("scaled_rm_eff", F.col("n_occ") * F.col("rm_eff")))
+    return rounded(A.removal_rollup(effect, A.utm_map(rows), min_occ=5), "rm_eff", "scaled_rm_eff", "m_rm_eff")
+
+
+@query("d38_match_on_value", """SELECT a.o_custkey AS utm_hash, a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
+  AND CAST(a.o_totalprice AS DECIMAL(18,2)) = CAST(b.o_totalprice AS DECIMAL(18,2)) WHERE b.o_orderkey % 2 = 0""")
+def d38_match(t):
+    side = lambda key, value: t.orders.select(F.col("o_custkey").alias("utm_hash"), F.col("o_orderkey").alias(key), F.col("o_totalprice").alias(value))
+    return C.match_on_value(side("left_key", "cost_a"), side("right_key", "cost_b").filter("right_key % 2 = 0"), "cost_a", "cost_b").select(
+        "utm_hash", "left_key", "right_key")
+
+
 @query("d32_group_difference", f"""WITH tt AS ({N.TOUCHES}), e AS (SELECT medium, datasource, count(*) AS n_occ, avg(sess_end - sess) AS rm_eff FROM tt WHERE event_id % 7 < 5 OR datasource = 'app' GROUP BY 1, 2),
 j AS (SELECT a.medium AS trinomial, a.rm_eff AS ra, b.rm_eff * a.n_occ / b.n_occ AS rb FROM e a JOIN e b ON a.medium = b.medium AND a.datasource = 'app' AND b.datasource = 'site')
 SELECT trinomial, round((ra - rb) / (ra + rb), 6) AS dif_rm_eff FROM j""")
