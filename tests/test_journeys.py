@@ -105,6 +105,29 @@ def test_text_round_trip_and_flag_names(spark):
     assert P.crop_report(P.parse_paths(text, max_seq_len=None), 3).first()["cropped"] == 1
 
 
+def test_parts_of_a_long_client_parse_to_the_whole(spark):
+    rows = long_paths(spark)
+    whole, cut = (P.serialise_paths(rows, "gid", "d", n) for n in (100, 2))
+    assert cut.count() == 4
+    for limit in (None, 3, 4):
+        touches = []
+        for text in (whole, cut):
+            parsed = P.parse_paths(text, max_seq_len=limit).orderBy("path_no", "start").collect()
+            touches.append([(r["path_no"], r["n_touches"], r["label"], u, t, round(d, 9)) for r in parsed
+                            for u, t, d in zip(r["utm_hash"], r["trinomials"], r["decay_days"])])
+        assert touches[0] == touches[1] and (limit is None) == (len(touches[0]) == 8)
+    for limit in (2, 3, 5):
+        assert P.crop_report(P.parse_paths(cut, max_seq_len=None), limit).collect() == P.crop_report(P.parse_paths(whole, max_seq_len=None), limit).collect()
+
+
+def test_rollup_of_a_long_client(spark):
+    from visitloom.operators.customers import session_rollup
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(5)] + [("b", 1, None)], "k string, at int, v double")
+    rows = session_rollup(df, "k", ["at"], {"v": "vs"}, part_rows=2).orderBy("k", "part").collect()
+    assert [(r["k"], r["part"], r["sess_len"]) for r in rows] == [("a", 0, 5), ("a", 1, 5), ("a", 2, 5), ("b", 0, 1)]
+    assert ",".join(r["vs"] for r in rows[:3]) == "0.0,1.0,2.0,3.0,4.0" and rows[3]["vs"] == "-1"
+
+
 def test_digits_inside_names_survive_the_flag_names(spark):
     df = spark.createDataFrame([("g", "u:1:src10_m_1:0")], "gid string, agg_sessions string")
     assert P.parse_paths(df).first()["trinomials"] == ["src10_m_kw"]

@@ -113,7 +113,7 @@ def recode(c, mapping: dict, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def decay_days(times) -> Column:
-    """Days from each epoch second in the array to the latest one."""
-    newest = F.array_max(col(times))
+def decay_days(times, newest=None) -> Column:
+    """Days from each epoch second in the array to ``newest`` (default: the latest in the array)."""
+    newest = F.array_max(col(times)) if newest is None else col(newest)
     return F.transform(col(times), lambda t: (newest - t) / 86400.0)

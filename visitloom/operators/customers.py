@@ -41,11 +41,11 @@ def orders_by_customer(sales: DataFrame, customers: DataFrame, as_of: str) -> Da
 
 
 def profile(paths: DataFrame, orders: DataFrame) -> DataFrame:
-    """Paths with their client's order profile, blanks spelled out."""
+    """Paths (client_id, part, agg_sessions) with their client's order profile, blanks spelled out."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("not_set"))
     return (paths.join(orders, paths["client_id"] == orders["id_hash"], "full")
             .filter((F.length("agg_sessions") > 1) & (F.length("client_id") > 1))
-            .select("client_id", "agg_sessions", text("country_region").alias("country_region"),
+            .select("client_id", "part", "agg_sessions", text("country_region").alias("country_region"),
                     text("gender").alias("gender"), text("trunc_age").alias("age"),
                     text("cust_created_years").alias("cust_created_years"),
                     F.coalesce("num_orders", F.lit(-1)).alias("num_orders")))
@@ -57,15 +57,21 @@ def audience_paths(paths: DataFrame, audience: DataFrame, key: str = "gid") -> D
 
 
 def session_rollup(t: DataFrame, key: str, order, lists: dict[str, str], part_rows: int = 100_000) -> DataFrame:
-    """Comma-joined ordered lists per client; ``part`` continues a very long client."""
+    """Comma-joined ordered lists per client; ``part`` continues a very long client.
+
+    ``sess_len`` is the client's whole number of rows on each part.
+    """
     laid, track = lay_track(t, [key], order)
     placed = lift_off(scan(laid, track, _rn=("row_number", None)))
     placed = placed.withColumn("part", F.floor((F.col("_rn") - 1) / part_rows))
+    last = placed.filter(F.col("part") > 0).groupBy(F.col(key).alias("_key")).agg(F.max("_rn").alias("_all"))
     value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-1")).alias(c)
     rows = placed.groupBy(key, "part").agg(
         F.array_sort(F.collect_list(F.struct("_rn", *[value(c) for c in lists]))).alias("v"))
     joined = {out: F.array_join(F.col(f"v.{c}"), ",") for c, out in lists.items()}
-    return rows.select(key, "part", F.size("v").alias("sess_len"), *[e.alias(o) for o, e in joined.items()])
+    # only clients of more than one part have a row in ``last``
+    rows = rows.join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return rows.select(key, "part", F.coalesce("_all", F.size("v")).alias("sess_len"), *[e.alias(o) for o, e in joined.items()])
 
 
 def category_tree(products: DataFrame, levels) -> DataFrame:

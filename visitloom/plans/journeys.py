@@ -149,19 +149,19 @@ def d07_long(t):
 
 
 @query("d07_paths", f"""WITH {LONG}, reg AS (SELECT gid, coalesce(min(state), 'not_set') AS country_region FROM long GROUP BY gid)
-SELECT l.gid, l.conv_group, any_value(n_touches) AS n_touches, max(cv_marker) AS cv_marker, CAST(sum(is_conversion) AS BIGINT) AS conversions,
+SELECT l.gid, l.conv_group, 0 AS part, any_value(n_touches) AS n_touches, max(cv_marker) AS cv_marker, CAST(sum(is_conversion) AS BIGINT) AS conversions,
   any_value(country_region) AS country_region, string_agg(utm_hash, ',' ORDER BY pos) AS utm_hash,
   string_agg(CAST(sess AS VARCHAR), ',' ORDER BY pos) AS sess, string_agg(trin, ',' ORDER BY pos) AS trinomials
 FROM long l JOIN reg r ON r.gid = l.gid GROUP BY l.gid, l.conv_group""")
 def d07(t):
     p = P.paths(path_rows(t)).withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",")
                                            for c in ("utm_hash", "sess", "trinomials")})
-    return as_int(p.drop("part"), "conv_group", "cv_marker")
+    return as_int(p, "conv_group", "part", "cv_marker")
 
 
 def _groups_sql(group: str, fields: list[str], value: str, glue: str) -> str:
     lists = " || ':' || ".join(f"string_agg(coalesce(CAST({f} AS VARCHAR), '_'), ',' ORDER BY key_pos)" for f in fields)
-    return f"""SELECT gid, string_agg(txt, '{glue}' ORDER BY grp) AS agg_sessions FROM (
+    return f"""SELECT gid, 0 AS part, string_agg(txt, '{glue}' ORDER BY grp) AS agg_sessions FROM (
   SELECT gid, {group} AS grp, {lists} || ':' || coalesce(CAST({value} AS VARCHAR), '-1') AS txt FROM long GROUP BY gid, grp) GROUP BY gid"""
 
 
@@ -173,24 +173,24 @@ _B_EXTRA = """(SELECT *, 0 AS is_kw, CASE WHEN visit_id % 2 = 0 THEN 'mobile' EL
 
 @query("d08_serialise_a", f"WITH {LONG} {_groups_sql('conv_group', ['medium'], 'sum(value)', ';')}")
 def d08a(t):
-    return P.serialise_paths(path_rows(t), "gid", "a").drop("part")
+    return P.serialise_paths(path_rows(t), "gid", "a").drop("groups")
 
 
 @query("d08_serialise_b", f"WITH {LONG.replace('long AS', 'long0 AS')}, long AS {_B_EXTRA} " + _groups_sql(
     "conv_group", ["src", "medium", "is_some_kw", "is_kw", "sess", "device", "n_clicks", "n_views", "is_to_cart", "is_rm_cart"],
     "sum(value)", ";order,"))
 def d08b(t):
-    return P.serialise_paths(path_rows(t), "gid", "b").drop("part")
+    return P.serialise_paths(path_rows(t), "gid", "b").drop("groups")
 
 
 @query("d08_serialise_c", f"WITH {LONG} {_groups_sql('visit_id * 0', ['utm_hash', 'trin', 'sess'], 'sum(value)', ';')}")
 def d08c(t):
-    return P.serialise_paths(path_rows(t), "gid", "c").drop("part")
+    return P.serialise_paths(path_rows(t), "gid", "c").drop("groups")
 
 
 @query("d08_serialise_d", f"WITH {LONG} {_groups_sql('conv_group', ['utm_hash', 'sess', 'trin'], 'max(cv_marker)', ';')}")
 def d08d(t):
-    return P.serialise_paths(path_rows(t), "gid", "d").drop("part")
+    return P.serialise_paths(path_rows(t), "gid", "d").drop("groups")
 
 
 @query("d09_parse_paths", f"""WITH {LONG}, renamed AS (SELECT *, CASE WHEN trin LIKE '%\\_1' ESCAPE '\\' THEN left(trin, length(trin) - 2) || '_kw'

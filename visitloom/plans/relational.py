@@ -149,17 +149,15 @@ q("a02_flag_agg", "SELECT o_custkey, CASE WHEN sum(CASE WHEN o_orderpriority = '
 def a03(t):
     laid, track = lay_track(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
     placed = lift_off(scan(laid, track, rn=("row_number", None))).withColumn("part", F.floor((c("rn") - 1) / 100_000))
-    return placed.groupBy("o_custkey", "part").agg(F.expr("listagg(o_orderstatus, ',') WITHIN GROUP (ORDER BY rn)").alias("statuses")).drop("part")
+    return placed.groupBy("o_custkey", "part").agg(F.expr("listagg(o_orderstatus, ',') WITHIN GROUP (ORDER BY rn)").alias("statuses"))
 
 
-q("a03_string_agg", "SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses FROM orders GROUP BY 1", a03)
+q("a03_string_agg", "SELECT o_custkey, 0 AS part, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses FROM orders GROUP BY 1", a03)
 
 
 def a04(t):
-    laid, track = lay_track(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
-    placed = lift_off(scan(laid, track, rn=("row_number", None))).withColumn("part", F.floor((c("rn") - 1) / 100_000))
-    rows = placed.groupBy("o_custkey", "part").agg(F.array_sort(F.collect_list(F.struct("rn", "o_orderkey", "o_orderstatus"))).alias("v"))
-    return rows.select("o_custkey", F.size("v").alias("n"), c("v")[0]["o_orderkey"].alias("first_key"), F.element_at("v", -1)["o_orderstatus"].alias("last_status"))
+    when = F.struct("o_orderdate", "o_orderkey")
+    return t.orders.groupBy("o_custkey").agg(F.count(lit(1)).alias("n"), F.min_by("o_orderkey", when).alias("first_key"), F.max_by("o_orderstatus", when).alias("last_status"))
 
 
 q("a04_struct_agg", "SELECT o_custkey, count(*) AS n, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_key, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last_status FROM orders GROUP BY 1", a04)

@@ -45,26 +45,26 @@ _D41_PATHS = f"""{LONG}, ser AS ({_groups_sql('conv_group', ['utm_hash', 'sess',
 
 
 @query("d41_profile", f"""WITH {_D41_PATHS}, {ITEMS}, cust AS ({N.CUSTOMERS}), {ORDERS_BY.replace('JOIN dim', 'JOIN cust')}
-SELECT md5(gid) AS client_id, agg_sessions, coalesce(country_region, 'not_set') AS country_region, coalesce(gender, 'not_set') AS gender,
+SELECT md5(gid) AS client_id, part, agg_sessions, coalesce(country_region, 'not_set') AS country_region, coalesce(gender, 'not_set') AS gender,
   coalesce(CAST(trunc_age AS VARCHAR), 'not_set') AS age, coalesce(CAST(cust_created_years AS VARCHAR), 'not_set') AS cust_created_years, coalesce(num_orders, -1) AS num_orders
 FROM ser LEFT JOIN obc ON md5(gid) = id_hash""")
 def d41(t):
-    lines = P.serialise_paths(path_rows(t), "gid", "d").select(F.md5("gid").alias("client_id"), "agg_sessions")
+    lines = P.serialise_paths(path_rows(t), "gid", "d").select(F.md5("gid").alias("client_id"), "part", "agg_sessions")
     return C.profile(lines, C.orders_by_customer(sales(t), N.customers_in(t).drop("country_region"), AS_OF))
 
 
 @query("d41_audience_paths", f"""WITH {_D41_PATHS}, aud AS ({N.AUDIENCE}), sp AS (SELECT external_user_id, os, regexp_extract(external_user_id, '^(.*?)-(.*)$', 1) AS fk_customer FROM aud)
-SELECT gid, agg_sessions, external_user_id, os FROM ser JOIN sp ON gid = fk_customer""")
+SELECT gid, part, agg_sessions, external_user_id, os FROM ser JOIN sp ON gid = fk_customer""")
 def d41_audience(t):
     from visitloom.operators.costs import split_user_key
     lines = P.serialise_paths(path_rows(t), "gid", "d")
-    return C.audience_paths(lines, split_user_key(N.audience_in(t))).select("gid", "agg_sessions", "external_user_id", "os")
+    return C.audience_paths(lines, split_user_key(N.audience_in(t))).select("gid", "part", "agg_sessions", "external_user_id", "os")
 
 
-@query("d42_session_rollup", f"""WITH tt AS ({N.TOUCHES}) SELECT fvid, count(*) AS sess_len, string_agg(CAST(sess AS VARCHAR), ',' ORDER BY sess, event_id) AS times,
+@query("d42_session_rollup", f"""WITH tt AS ({N.TOUCHES}) SELECT fvid, 0 AS part, count(*) AS sess_len, string_agg(CAST(sess AS VARCHAR), ',' ORDER BY sess, event_id) AS times,
   string_agg(coalesce(CAST(value AS VARCHAR), '-1'), ',' ORDER BY sess, event_id) AS "values" FROM tt GROUP BY fvid""")
 def d42(t):
-    return C.session_rollup(N.touches_in(t), "fvid", ["sess", "event_id"], {"sess": "times", "value": "values"}).drop("part")
+    return C.session_rollup(N.touches_in(t), "fvid", ["sess", "event_id"], {"sess": "times", "value": "values"})
 
 
 @query("d42_events_by_user", "SELECT user_id, count(*) AS cnt FROM events GROUP BY 1 ORDER BY cnt DESC, user_id")
