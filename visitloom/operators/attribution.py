@@ -174,16 +174,16 @@ def model_removal_effect(paths: DataFrame, model, min_occ: int = 20, by=(), toke
                          label: str = "label", score=None) -> DataFrame:
     """Median change of the model score on converting paths when a medium is masked out.
 
-    Each path is rescored once per distinct medium it contains. ``model`` is any fitted pipeline
-    over the token array; ``score`` extracts the probability column from its output.
+    Each path is scored once, and rescored once per distinct medium it contains. ``model`` is any fitted
+    pipeline over the token array; ``score`` extracts the probability column from its output.
     """
     by = list(by)
     counts = (paths.select(F.explode(tokens).alias("medium")).groupBy("medium")
               .agg(F.count(F.lit(1)).alias("_occ")).filter(F.col("_occ") > min_occ))
-    masked = (paths.withColumn("medium", F.explode(F.array_distinct(tokens)))
+    scored = model.transform(paths).select(*by, label, tokens, score.alias("_orig"))
+    masked = (scored.withColumn("medium", F.explode(F.array_distinct(tokens)))
               .join(counts.select("medium"), "medium", "left_semi"))
-    original = model.transform(masked).withColumn("_orig", score)
-    keep = original.select(*by, "medium", label, "_orig", F.array_remove(F.col(tokens), F.col("medium")).alias(tokens))
+    keep = masked.select(*by, "medium", label, "_orig", F.array_remove(F.col(tokens), F.col("medium")).alias(tokens))
     rescored = model.transform(keep).withColumn("_masked", score)
     n_occ = rescored.groupBy("medium", *by).agg(F.count(F.lit(1)).alias("n_occ"))
     won = rescored.filter(F.col(label) == 1)

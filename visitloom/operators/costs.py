@@ -36,11 +36,11 @@ def allocate_costs(costs: DataFrame, fx: DataFrame) -> DataFrame:
     """Daily costs stay on their day; all others are spread evenly over the days of their month.
 
     ``fx``: ``id_currency, fx_date, id_company, rate``; a missing rate counts as 1. Rows are
-    deduplicated before the spread, so the shuffle carries ledger rows and not days. The rate is
+    deduplicated on the ledger key before the spread, so the shuffle carries ledger rows and not days. The rate is
     the one of the cost's own date.
     """
     daily = F.col("cost_allocation") == 1
-    base = recode_costs(costs).dropDuplicates()
+    base = recode_costs(costs).dropDuplicates(["id_cost"])
     rated = base.join(
         fx, (base["id_currency"] == fx["fx_currency"]) & (base["cost_date"] == fx["fx_date"])
         & (base["id_company"] == fx["fx_company"]), "left")

@@ -20,8 +20,9 @@ FAKE = (START, END, CONVERSION)
 
 def transition_probs(edges: DataFrame) -> DataFrame:
     """Share of each edge among the edges that leave the same state."""
-    total = F.sum("cnt").over(W.partitionBy("from_state"))
-    return edges.withColumn("p", F.col("cnt") / total)
+    # a join, not a window: the rows of a state with very many targets are split at run time
+    total = edges.groupBy(F.col("from_state").alias("_from")).agg(F.sum("cnt").alias("_total"))
+    return edges.join(total, F.col("from_state") == F.col("_from")).withColumn("p", F.col("cnt") / F.col("_total")).drop("_from", "_total")
 
 
 def heat_map(edges: DataFrame, states: list[str]) -> DataFrame:
@@ -208,6 +209,8 @@ def _square_until_absorbed(chain: DataFrame, keys: list[str], tol: float, max_do
         left_over = m.filter(F.col("to_state") != CONVERSION).agg(F.max("p")).first()[0]
         if left_over is None or left_over < tol:
             break
+    else:
+        raise RuntimeError(f"{left_over} of a state's mass is not absorbed after 2^{max_doublings} steps")
     return (m.filter((F.col("to_state") == CONVERSION) & (F.col("from_state") != CONVERSION))
             .select(*keys, F.col("from_state").alias("channel"), F.col("p").alias("reach")))
 

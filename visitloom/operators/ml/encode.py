@@ -85,22 +85,24 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
 
 
 def downsample(df: DataFrame, label: str, id_col: str) -> DataFrame:
-    """As many rows of each class as the smallest class has, the first in id order."""
-    ranked = split_rank(df, [label], [id_col], name="_rn")
+    """As many rows of each class as the smallest class has, the first by a hash of the id."""
+    ranked = split_rank(df.withColumn("_h", F.md5(F.col(id_col).cast("string"))), [label], ["_h", id_col], name="_rn").drop("_h")
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m"))
     return ranked.filter(F.col("_rn") <= least.scalar()).drop("_rn")
 
 
-def frequent_tokens(df: DataFrame, tokens: str, top_n: int, pad_to: int, id_col: str) -> DataFrame:
+def frequent_tokens(df: DataFrame, tokens: str, top_n: int, pad_to: int | None, id_col: str) -> DataFrame:
     """Token arrays as frequency ranks (1 = most frequent), rare tokens dropped, padded with 0.
 
-    Positions are ranked in long form and only arrays of ``pad_to`` entries are rebuilt.
+    ``pad_to`` is a model's number of inputs; None keeps every array at its own length.
     """
     long = df.select(id_col, F.posexplode(tokens).alias("_pos", "_t"))
     counts = long.groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
     vocab = split_rank(counts, [], ["_n", "_t"], descending=["_n"]).filter(F.col("rn") <= top_n).select("_t", "rn")
     rows = long.join(vocab, "_t").groupBy(id_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_pos", "rn"))), lambda x: x["rn"]).alias("_ids"))
+    if pad_to is None:
+        return df.select(id_col).join(rows, id_col, "left").select(id_col, F.coalesce("_ids", F.array().cast("array<bigint>")).alias("token_ids"))
     zeros = F.array_repeat(F.lit(0).cast("long"), pad_to)
     return (df.select(id_col).join(rows, id_col, "left")
             .select(id_col, F.slice(F.concat(F.coalesce("_ids", F.array().cast("array<bigint>")), zeros), 1, pad_to)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from visitloom.functions.ordered import ALL
+from visitloom.functions.ordered import ALL, lay_track, lift_off, scan
+from visitloom.session import store
 
 # The weeks reported.
 REPORT_WEEKS = (1, 4, 9, 13, 26, 52)
@@ -59,23 +60,24 @@ def hazard_coefficients(model, features: list[str]) -> list[tuple[str, float]]:
     return [(f, -float(c) / model.scale) for f, c in zip(features, model.coefficients)]
 
 
-def concordance(df: DataFrame, risk: str, dur: str = "week", event: str = "event", digits: int = 3) -> DataFrame:
+def concordance(df: DataFrame, risk: str, dur: str = "week", event: str = "event") -> DataFrame:
     """Share of comparable pairs in which the earlier event has the higher risk (ties half).
 
-    Pairs are never built. Rows become counts per (week, risk rounded to ``digits``); two running
-    sums over that grid give, for each cell, how many later rows have a lower or an equal risk.
+    Pairs are never built. "A later week" splits by the highest bit in which two weeks differ: the later
+    one has it set and both agree above it. So each row enters one group per bit of the
+    week, and a running sum over the risk in each group counts the later rows with a lower risk. Risks are
+    compared as they are.
     """
-    r = F.round(F.col(risk).cast("double"), digits)
-    cells = df.groupBy(F.col(dur).alias("w"), r.alias("r")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("e"))
-    weeks, risks = cells.select("w").distinct(), cells.agg(F.array_sort(F.collect_set("r")).alias("rs"))
-    grid = weeks.withColumn("r", F.explode(risks.scalar())).join(cells, ["w", "r"], "left").na.fill(0, ["n", "e"])
-    after = W.partitionBy("r").orderBy(F.col("w").desc()).rowsBetween(W.unboundedPreceding, -1)
-    later = grid.withColumn("later", F.coalesce(F.sum("n").over(after), F.lit(0)))
-    under = W.partitionBy("w").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
-    ranked = later.withColumns({"lower": F.coalesce(F.sum("later").over(under), F.lit(0)),
-                                "any": F.sum("later").over(W.partitionBy("w"))})
-    return ranked.agg(
-        F.sum(F.col("e") * F.col("any")).alias("pairs"),
-        F.try_divide(F.sum(F.col("e") * (F.col("lower") + F.col("later") / 2)),
-                     F.sum(F.col("e") * F.col("any"))).alias("c_index"))
+    cells = store(df.filter(F.col(risk).isNotNull() & F.col(dur).isNotNull())
+                  .groupBy(F.col(dur).cast("long").alias("w"), F.col(risk).cast("double").alias("r"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("e")))
+    bits = max(1, int(cells.agg(F.max("w")).first()[0] or 0).bit_length())
+    halves = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    later = F.expr("shiftright(w, bit) & 1") == 1
+    groups = halves.groupBy("bit", F.expr("shiftright(w, bit + 1)").alias("above"), "r").agg(
+        F.coalesce(F.sum(F.when(later, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~later, F.col("e"))), F.lit(0)).alias("e"))
+    laid, track = lay_track(store(groups), ["bit", "above"], ["r"])
+    ranked = lift_off(scan(laid, track, lower=("prior_sum", "n")))
+    per = ranked.groupBy("bit", "above").agg(
+        (F.sum("e") * F.sum("n")).alias("pairs"), F.sum(F.col("e") * (F.col("lower") + F.col("n") / 2)).alias("good"))
+    return per.agg(F.sum("pairs").alias("pairs"), F.try_divide(F.sum("good"), F.sum("pairs")).alias("c_index"))

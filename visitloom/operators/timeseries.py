@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,13 @@ from pyspark.sql import functions as F
 from visitloom.functions.columns import black_friday, week_of_month
 
 
+def _around_black_friday(date, first_year: int, last_year: int, days):
+    """Literal date ranges, one per year, that a scan can use: the day falls on 23 to 29 November."""
+    ranges = [date.between(F.lit(dt.date(y, 11, 23) + dt.timedelta(days[0])), F.lit(dt.date(y, 11, 29) + dt.timedelta(days[1])))
+              for y in range(first_year, last_year + 1)]
+    return reduce(lambda a, b: a | b, ranges)
+
+
 def hourly_event_share(sales: DataFrame, as_of_year: int, years: int = 4, days=(-1, 5)) -> DataFrame:
     """Normalised hourly sales share around Black Friday, over the preceding ``years``.
 
@@ -17,7 +27,8 @@ def hourly_event_share(sales: DataFrame, as_of_year: int, years: int = 4, days=(
     """
     year = F.year("sale_date")
     d = F.datediff("sale_date", black_friday(year))
-    grouped = (sales.filter(year.between(as_of_year - years, as_of_year - 1) & d.between(*days))
+    grouped = (sales.filter(_around_black_friday(F.col("sale_date"), as_of_year - years, as_of_year - 1, days))
+               .filter(year.between(as_of_year - years, as_of_year - 1) & d.between(*days))
                .groupBy(year.alias("y"), d.alias("d"), F.col("sale_hour").alias("h"))
                .agg(F.round(F.sum("gtv_after"), 2).alias("after"), F.round(F.sum("gtv_before"), 2).alias("before"),
                     F.sum((F.col("gtv_before") != 0).cast("int")).alias("p")))

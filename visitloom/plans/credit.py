@@ -283,18 +283,18 @@ def d31_rollup(t):
 
 
 @query("d38_match_on_value", """SELECT a.o_custkey AS utm_hash, a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
-  AND CAST(a.o_totalprice AS DECIMAL(18,2)) = CAST(b.o_totalprice AS DECIMAL(18,2)) WHERE b.o_orderkey % 2 = 0""")
+  AND CAST(a.o_totalprice AS DECIMAL(18,2)) = CAST(b.o_totalprice AS DECIMAL(18,2))""")
 def d38_match(t):
     side = lambda key, value: t.orders.select(F.col("o_custkey").alias("utm_hash"), F.col("o_orderkey").alias(key), F.col("o_totalprice").alias(value))
-    return C.match_on_value(side("left_key", "cost_a"), side("right_key", "cost_b").filter("right_key % 2 = 0"), "cost_a", "cost_b").select(
+    return C.match_on_value(side("left_key", "cost_a"), side("right_key", "cost_b"), "cost_a", "cost_b").select(
         "utm_hash", "left_key", "right_key")
 
 
-@query("d32_group_difference", f"""WITH tt AS ({N.TOUCHES}), e AS (SELECT medium, datasource, count(*) AS n_occ, avg(sess_end - sess) AS rm_eff FROM tt WHERE event_id % 7 < 5 OR datasource = 'app' GROUP BY 1, 2),
+@query("d32_group_difference", f"""WITH tt AS ({N.TOUCHES}), e AS (SELECT medium, datasource, count(*) AS n_occ, avg(sess_end - sess) AS rm_eff FROM tt GROUP BY 1, 2),
 j AS (SELECT a.medium AS trinomial, a.rm_eff AS ra, b.rm_eff * a.n_occ / b.n_occ AS rb FROM e a JOIN e b ON a.medium = b.medium AND a.datasource = 'app' AND b.datasource = 'site')
 SELECT trinomial, round((ra - rb) / (ra + rb), 6) AS dif_rm_eff FROM j""")
 def d32_difference(t):
-    rows = N.touches_in(t).filter("event_id % 7 < 5 OR datasource = 'app'")
+    rows = N.touches_in(t)
     effect = rows.groupBy(F.col("medium").alias("trinomial"), "datasource").agg(
         F.count(F.lit(1)).alias("n_occ"), F.avg(F.col("sess_end") - F.col("sess")).alias("rm_eff"))
     return rounded(A.group_difference(effect, "datasource", "app", "site", ["rm_eff"]), "dif_rm_eff")

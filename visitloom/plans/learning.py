@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -76,7 +78,7 @@ def m10(t):
     return rounded(E.class_weights(training(t), "label").select("fk_customer", "label", "weight"), "weight")
 
 
-@query("m10_downsample", f"""WITH {LW}, r AS (SELECT fk_customer, label, row_number() OVER (PARTITION BY label ORDER BY fk_customer) AS rn FROM lab)
+@query("m10_downsample", f"""WITH {LW}, r AS (SELECT fk_customer, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(fk_customer AS VARCHAR)), fk_customer) AS rn FROM lab)
 SELECT fk_customer, label FROM r WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM lab GROUP BY label))""")
 def m10_down(t):
     return E.downsample(training(t).select("fk_customer", "label"), "label", "fk_customer")
@@ -94,20 +96,27 @@ def m06(t):
     return _fit_and_score(t, "gbt")
 
 
+NO_REPURCHASE = 7                 # the class after the last eight-week period of a year
+
+
 @query("m07_multiclass")
 def m07(t):
     from visitloom.operators.customers import repurchase_bins
-    df = repurchase_bins(training(t)).withColumn("label", F.least(F.coalesce("rep_class", F.lit(3)), F.lit(3)).cast("double"))
-    model = M.fit("gbt_multiclass", df.filter(TRAIN), M.feature_stages(NUM, CAT), maxIter=3)
+    df = repurchase_bins(training(t)).withColumn("label", F.coalesce("rep_class", F.lit(NO_REPURCHASE)).cast("double"))
+    model = M.fit("gbt_multiclass", df.filter(TRAIN), M.feature_stages(NUM, CAT))
     return V.class_report(model.transform(df.filter(HELD)))
 
 
+def _rates_by_weight(models, held):
+    parts = [V.binary_rates(m.transform(held)).withColumn("weight", F.lit(w)) for w, m in models.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("m08_logistic_weights")
 def m08(t):
     df = training(t)
-    models = M.weight_sweep("logistic", df.filter(TRAIN), M.feature_stages(NUM, CAT, scale=True), weights=(1, 5, 9))
-    parts = [V.binary_rates(m.transform(df.filter(HELD))).withColumn("weight", F.lit(w)) for w, m in models.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    models = M.weight_sweep("logistic", df.filter(TRAIN), M.feature_stages(NUM, CAT, scale=True))
+    return _rates_by_weight(models, df.filter(HELD))
 
 
 @query("m09_random_forest")
@@ -117,6 +126,12 @@ def m09(t):
     return V.class_report(model.transform(df.filter(HELD)))
 
 
+@query("m09_forest_weights")
+def m09_weights(t):
+    df = training(t)
+    return _rates_by_weight(M.weight_sweep("forest", df.filter(TRAIN), M.feature_stages(NUM, CAT), weights=range(1, 4)), df.filter(HELD))
+
+
 @query("m11_kmeans")
 def m11(t):
     from pyspark.ml.functions import array_to_vector
@@ -134,15 +149,14 @@ def m12(t):
     return M.mean_term_weight(model, weighted)
 
 
-@query("m12_bag_of_touches", f"""WITH {LONG}, p AS (SELECT gid || '/' || CAST(conv_group AS VARCHAR) AS path, pos, trin FROM long WHERE n_touches <= 15),
+@query("m12_bag_of_touches", f"""WITH {LONG}, p AS (SELECT gid || '/' || CAST(conv_group AS VARCHAR) AS path, pos, trin FROM long),
 v AS (SELECT trin, row_number() OVER (ORDER BY count(*) DESC, trin) AS rn FROM p GROUP BY 1),
 k AS (SELECT path, pos, rn FROM p JOIN v USING (trin) WHERE rn <= 20), pids AS (SELECT DISTINCT path FROM p)
 SELECT pids.path, coalesce(string_agg(CAST(rn AS VARCHAR), ',' ORDER BY pos), '') AS tokens FROM pids LEFT JOIN k ON k.path = pids.path GROUP BY pids.path""")
 def m12_bag(t):
-    rows = path_rows(t).filter(F.col("n_touches") <= 15)
-    arrays = rows.groupBy(F.concat_ws("/", "gid", F.col("conv_group").cast("string")).alias("path")).agg(
+    arrays = path_rows(t).groupBy(F.concat_ws("/", "gid", F.col("conv_group").cast("string")).alias("path")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "trin"))).getField("trin").alias("trins"))
-    out = E.frequent_tokens(arrays, "trins", 20, 15, "path")
+    out = E.frequent_tokens(arrays, "trins", 20, None, "path")
     shown = F.array_join(F.filter("token_ids", lambda x: x > 0).cast("array<string>"), ",")
     return out.select("path", shown.alias("tokens"))
 
@@ -275,14 +289,15 @@ def m16(t):
     models = {}
     for h in (15, 30, 90, 180):
         rows = df.filter(TRAIN).withColumn("label", F.col(f"label_{h}").cast("double"))
-        models[str(h)] = M.fit("logistic", rows, M.feature_stages(NUM, CAT, scale=True), maxIter=10)
+        models[str(h)] = M.fit("logistic", rows, M.feature_stages(NUM, CAT, scale=True))
     return M.batch_score(models, df, "fk_customer")
 
 
 @query("m17_search")
 def m17(t):
-    space = {"maxDepth": ("int", 2, 4), "numTrees": ("int", 5, 10), "featureSubsetStrategy": ("choice", ["sqrt", "all"])}
-    model = M.search(training(t).filter(TRAIN), M.feature_stages(NUM, CAT), "forest", space, draws=2, folds=2)
+    space = {"maxDepth": ("int", 2, 4), "maxIter": ("int", 5, 10), "stepSize": ("log", 0.05, 0.3), "subsamplingRate": ("real", 0.6, 1.0),
+             "featureSubsetStrategy": ("choice", ["sqrt", "all"])}
+    model = M.search(training(t).filter(TRAIN), M.feature_stages(NUM, CAT), "gbt", space, draws=4, folds=2)
     return M.search_table(t.spark, model)
 
 
@@ -324,10 +339,10 @@ def m22_at(t):
     return rounded(S.survival_at(S.survival_table(durations(t), by=["gender"]), by=["gender"]), *[f"w{w}" for w in S.REPORT_WEEKS])
 
 
-@query("m22_concordance", f"""WITH {DUR}, p AS (SELECT round(a.gmv / 1000, 3) AS ra, round(b.gmv / 1000, 3) AS rb FROM du a JOIN du b ON a.event = 1 AND a.week < b.week)
+@query("m22_concordance", f"""WITH {DUR}, p AS (SELECT a.gmv AS ra, b.gmv AS rb FROM du a JOIN du b ON a.event = 1 AND a.week < b.week)
 SELECT count(*) AS pairs, round(sum(CASE WHEN ra > rb THEN 1 WHEN ra = rb THEN 0.5 ELSE 0 END) / count(*), 6) AS c_index FROM p""")
 def m22_c(t):
-    return rounded(S.concordance(durations(t).withColumn("risk", F.col("gmv") / 1000), "risk"), "c_index")
+    return rounded(S.concordance(durations(t).withColumn("risk", F.col("gmv")), "risk"), "c_index")
 
 
 @query("m22_hazard_coefficients")
@@ -338,13 +353,15 @@ def m22_aft(t):
 
 # ------------------------------------------------------------------ model-based attribution, hidden states
 def _path_arrays(t):
-    rows = path_rows(t).filter(F.col("n_touches") <= 15)
-    return store(rows.groupBy("gid", "conv_group", F.col("cv_marker").cast("double").alias("label")).agg(
+    return store(path_rows(t).groupBy("gid", "conv_group", F.col("cv_marker").cast("double").alias("label")).agg(
         F.min("datasource").alias("os"), F.array_sort(F.collect_list(F.struct("pos", "trin"))).getField("trin").alias("trins")))
 
 
+VOCABULARY = 1 << 18              # the counting stage's own maximum; every medium here is far below it
+
+
 def _touch_model(paths):
-    return M.fit("logistic", paths, M.feature_stages(tokens="trins", vocab=200))
+    return M.fit("logistic", paths, M.feature_stages(tokens="trins", vocab=VOCABULARY))
 
 
 @query("d31_model_removal_effect")
