@@ -8,22 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitloom.llm import decontaminate, jaccard, lines, mixing, toxicity
-from visitloom.llm.common import table
+from visitloom.llm.common import aside, quoted, table
 from visitloom.llm.queries import MIN_SITES
 from visitloom.session import checkpoint_dir, store
 
 
+def _as_before(out: DataFrame, back: dict[str, str], docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, those set aside under their own names again."""
+    moved = {own: name for name, own in back.items()}
+    return out.select(*[c.alias(n) for n, c in zip(docs.columns, quoted([moved.get(n, n) for n in docs.columns]))])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold. Learns from the labelled rows among ``docs``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.tag(docs, model).filter(F.col("tox_score") < toxicity.THRESHOLD).select(*docs.columns)
+    own, back = aside(docs, {"tox_score", "tox_spans"})
+    return _as_before(toxicity.tag(own, model).filter(F.col("tox_score") < toxicity.THRESHOLD), back, docs)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site lines. A document of which nothing but blanks is left goes."""
-    out = lines.strip_lines(docs, MIN_SITES)
-    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
-    return out.filter(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    own, back = aside(docs, {"n_lines", "n_removed"})
+    out = lines.strip_lines(own, MIN_SITES)
+    out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return _as_before(out.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))), back, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +42,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if not twice.isEmpty():              # rows that repeat an id and its text
         once = out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         out = out.join(twice, "doc_id", "left_anti").unionByName(once)
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark passage occurs."""
     found = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found.filter("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*quoted(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

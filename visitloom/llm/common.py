@@ -58,14 +58,29 @@ def is_member(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by exact name, dots included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def aside(df: DataFrame, reserved: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Rename the columns of ``df`` that would clash with ``reserved`` names; also the way back."""
+    back = {f"_aside_{i}": c for i, c in enumerate(df.columns) if c.lower() in reserved}
+    return df.select(*[c.alias(f"_aside_{i}" if f"_aside_{i}" in back else n) for i, (n, c) in enumerate(zip(df.columns, quoted(df.columns)))]), back
+
+
 def from_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list], list[tuple]]], added: str) -> DataFrame:
     """The columns ``keep`` and, computed from ``text`` batch by batch, the columns declared in ``added``.
 
+    A kept column that has the name of an added one gives way to it.
+
     ``make`` runs once per task and returns the function from texts to rows. Arrow carries the kept
     columns through unchanged, so nulls and large integers stay what they are.
     """
+    new = {f.name.lower() for f in StructType.fromDDL(added).fields}
+    keep = [c for c in keep if c.lower() not in new]
     types = to_arrow_schema(StructType.fromDDL(added))
-    schema = StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(added).fields])
+    schema = StructType([*df.select(*quoted(keep)).schema.fields, *StructType.fromDDL(added).fields])
     names = [*keep, *types.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,4 +89,5 @@ def from_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list
             rows = judge(b.column(len(keep)).to_pylist())
             made = [pa.array([r[i] for r in rows], t.type) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *made], names=names)
-    return df.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    # columns travel under plain names, as any name may occur in ``keep``
+    return df.select(*[c.alias(f"_{i}") for i, c in enumerate(quoted(keep))], F.col("text").alias("_text")).mapInArrow(run, schema)

@@ -8,7 +8,7 @@ distinct count. One occurrence, the first by (doc_id, position), stays, so conte
 
 Defined cases: lines are compared without blanks at their ends; blank lines stay. A null text stays
 null. A null source is no site. Rows that repeat an id are treated as one document, read by its text.
-Other columns are kept as they are.
+Other columns are kept as they are, but for n_lines and n_removed.
 """
 
 from __future__ import annotations
@@ -23,16 +23,16 @@ MARGIN = 4 * 1.04 / (1 << LG_K) ** 0.5        # four standard errors of a sketch
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    line = F.trim(F.col("_line"))
-    return (docs.select("_row", "source", F.posexplode(F.split("text", "\n", -1)).alias("_pos", "_line")).filter(line != "")
-            .select("_row", "source", "_pos", F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(7), line).alias("_h2")))
+    line = F.trim(F.col("_l_line"))
+    return (docs.select("_l_row", "source", F.posexplode(F.split("text", "\n", -1)).alias("_l_pos", "_l_line")).filter(line != "")
+            .select("_l_row", "source", "_l_pos", F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(7), line).alias("_h2")))
 
 
 def boilerplate(docs: DataFrame, min_sites: int) -> DataFrame:
     """(_h1, _h2, _first): hashes of the lines to remove and the occurrence that stays."""
     lines = _lines(docs)
     spread = lines.groupBy("_h1", "_h2").agg(
-        F.count(F.lit(1)).alias("_n"), F.hll_sketch_agg("source", LG_K).alias("_sketch"), F.min(F.struct("_row", "_pos")).alias("_first"))
+        F.count(F.lit(1)).alias("_n"), F.hll_sketch_agg("source", LG_K).alias("_sketch"), F.min(F.struct("_l_row", "_l_pos")).alias("_first"))
     spread = spread.filter(F.col("_n") >= min_sites).withColumn("_sites", F.hll_sketch_estimate("_sketch")).drop("_sketch")
     slack = max(1.0, MARGIN * min_sites)
     spread = store(spread.filter(F.col("_sites") >= min_sites - slack))
@@ -48,17 +48,17 @@ def strip_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """All columns of ``docs`` with the shortened text, plus n_lines and n_removed."""
     # ids may repeat: a row is known by its id and a hash of its text
     row = F.struct(F.col("doc_id"), F.xxhash64("text"))
-    keyed = docs.withColumn("_row", row)
+    keyed = docs.withColumn("_l_row", row)
     marked = boilerplate(keyed, min_sites)
     hits = (_lines(keyed).join(marked, ["_h1", "_h2"])
-            .filter((F.col("_row") != F.col("_first._row")) | (F.col("_pos") != F.col("_first._pos")))
-            .groupBy(F.col("_row").alias("_hit")).agg(F.collect_set("_pos").alias("_gone")))
-    out = keyed.join(hits, F.col("_row").eqNullSafe(F.col("_hit")), "left")
+            .filter((F.col("_l_row") != F.col("_first._l_row")) | (F.col("_l_pos") != F.col("_first._l_pos")))
+            .groupBy(F.col("_l_row").alias("_l_hit")).agg(F.collect_set("_l_pos").alias("_l_gone")))
+    out = keyed.join(hits, F.col("_l_row").eqNullSafe(F.col("_l_hit")), "left")
     # a one-element array binds the split text once for the inner function
     kept = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(lines, i)), "\n"))
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_l_gone")), lambda i: F.get(lines, i)), "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     return out.withColumns({
-        "n_lines": n.cast("long"), "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-        "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept[0]),
-    }).drop("_row", "_hit", "_gone")
+        "n_lines": n.cast("long"), "n_removed": F.when(F.col("_l_gone").isNull(), 0).otherwise(F.size("_l_gone")).cast("long"),
+        "text": F.when(F.col("_l_gone").isNull(), F.col("text")).otherwise(kept[0]),
+    }).drop("_l_row", "_l_hit", "_l_gone")
