@@ -126,11 +126,11 @@ def test_toxicity_learns_marks():
     marks = ["grub", "snark", "blorfed", "blorfing", "blorfy"]
     rows = [(text([rng.choice(marks)]), 1) for _ in range(200)] + [(text([]), 0) for _ in range(600)]
     model = toxicity.train(rows, 0.1)
-    score = lambda t: toxicity.final_score(model, toxicity.score_texts(model, [t])[0][0])
+    score = lambda t: toxicity.final_score(model, *toxicity.score_texts(model, [t])[0][:2])
     assert all(score(text([m])) > 0.3 for m in [*marks, "blorfness"]) and score("") < 0.1
     assert sum(score(text([])) >= 0.3 for _ in range(200)) == 0
     sample = text(["grub"])
-    (start, past, _), = toxicity.score_texts(model, [sample])[0][1]
+    (start, past, _), = toxicity.score_texts(model, [sample])[0][2]
     assert sample[start:past] == "grub"
 
 

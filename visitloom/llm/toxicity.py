@@ -1,15 +1,16 @@
 """Tag toxic spans with a linear-chain conditional random field and score documents.
 
 Training. The labels are per document, so tokens are labelled first, on a bounded sample of labelled
-documents: a word, or the beginning of one (some languages inflect), marks toxic text if nearly all
-sampled documents that have it are toxic, near copies counted once. Its tokens in toxic documents get
-tag 1, all others tag 0. A chain with two tags is then fitted to sentences of the sample: features are the word, its
+documents: a word, or the beginning of one (some languages inflect), marks toxic text if most of the
+sampled documents that have it, or of its uses in them, are toxic; near copies count once. Its tokens in
+toxic documents get tag 1, all others tag 0. A chain with two tags is then fitted to sentences of the sample: features are the word, its
 first four and five letters and the words before and after; transitions are learned; Adam on the exact
 gradient from forward-backward.
 
 Scoring. Every whole text is cut into sentences, and forward-backward gives each token's marginal. Runs of
-tokens above a floor are spans; a document's score is one minus the product of (1 - peak) over its spans,
-mapped by a logistic curve fitted on the sample at the labels' own ratio.
+tokens above a floor are spans. The sum of -log(1 - peak) over a document's spans is its evidence; a
+logistic curve over the evidence and the logarithm of the document's words, fitted on the sample at the labels'
+own ratio, gives the score.
 
 Defined cases: null and empty texts have no span and get the curve's lowest score. Repeated ids are
 scored row by row. Labels that are null are ignored, conflicting labels of an id count as toxic. Without labels of both kinds
@@ -33,8 +34,10 @@ from visitloom.llm.words import grams, mix
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2400       # labelled documents a model is fitted on, at most
 SAMPLE_CHARS = 10_000_000                     # and their characters; further sampled documents are left out
 MIN_DOCS = 5                                  # a word in fewer sampled documents is not learned
-PURE = 0.7                                    # held-down toxic share from which a word marks toxic text
+USES = 4                                      # of a word in one document that count as signs
+PURE = 0.6                                    # held-down toxic share from which a word marks toxic text
 FLOOR = 0.1                                   # of a token's marginal inside a span
+MOST = 30.0                                   # evidence is not counted beyond this
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 STOPS = frozenset(".!?\n")
@@ -56,7 +59,7 @@ class Model:
     start: np.ndarray
     move: np.ndarray
     bias: float
-    curve: tuple[float, float]
+    curve: tuple[float, float, float]
     index: dict[str, int] = field(default_factory=dict, repr=False)
     tables: tuple = field(default=(), repr=False)
 
@@ -136,10 +139,20 @@ def _near_copies(docs: list[np.ndarray]) -> np.ndarray:
 
 
 def _purity(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-    """Toxic share of the documents that have a feature, held down by three clean ones for rare features."""
-    seen = np.bincount(np.concatenate(docs), np.repeat(weight, [len(d) for d in docs]), size)
-    toxic = np.bincount(np.concatenate(docs), np.repeat(weight * y, [len(d) for d in docs]), size)
-    return toxic / (seen + 3.0)
+    """Toxic share of the documents that have a feature, or of its uses (up to USES a document), if larger.
+
+    Three clean ones are added to each, which holds rare features down.
+    """
+    found = [np.unique(d, return_counts=True) for d in docs]
+    ids = np.concatenate([f for f, _ in found])
+    n = [len(f) for f, _ in found]
+    uses = np.minimum(np.concatenate([c for _, c in found]), USES)
+    out = np.zeros(size)
+    for each in (np.ones(len(ids)), uses):
+        seen = np.bincount(ids, np.repeat(weight, n) * each, size)
+        toxic = np.bincount(ids, np.repeat(weight * y, n) * each, size)
+        out = np.maximum(out, toxic / (seen + 3.0 * each.mean()))
+    return out
 
 
 def _forward_backward(e: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.ndarray):
@@ -189,11 +202,11 @@ def train(rows: list[tuple[str, int]], share: float, steps: int = 240) -> Model:
     known = {f: int(place[i]) for f, i in raw_ids.items() if often[i]}
     size = len(known) + 2
     zero = np.zeros(size)
-    nothing = Model(known, zero, zero, zero, np.zeros(2), np.zeros((2, 2)), -9.0, (-12.0, 1.0))
+    nothing = Model(known, zero, zero, zero, np.zeros(2), np.zeros((2, 2)), -9.0, (-12.0, 1.0, 0.0))
     if len(set(y.tolist())) < 2:
         return nothing
     weight = _near_copies(docs)
-    odds = _purity([np.unique(place[h]) for h in held], y, weight, size)
+    odds = _purity([place[raw[d[~stop[d]]]].ravel() for d in docs], y, weight, size)
     odds[:2] = 0
     marks = {f.lstrip("^")[:3] for f, i in known.items() if odds[i] > PURE}
     alike = np.array([w[:3] in marks for w in number], bool)
@@ -248,28 +261,28 @@ def train(rows: list[tuple[str, int]], share: float, steps: int = 240) -> Model:
             v += 0.01 * (d * d - v)
             q -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     params[0][0] = 0.0                   # an unknown word or beginning speaks for nothing by itself
-    model = Model(known, *params[:5], float(params[5][0]), (0.0, 1.0))
-    model.curve = _curve(np.array([s for s, _ in score_texts(model, [t for t, _ in rows])]), y, weight, share)
+    model = Model(known, *params[:5], float(params[5][0]), (0.0, 1.0, 0.0))
+    model.curve = _curve(np.array([(1.0, s, np.log1p(n)) for s, n, _ in score_texts(model, [t for t, _ in rows])]), y, weight, share)
     return model
 
 
-def _curve(raw: np.ndarray, y: np.ndarray, weight: np.ndarray, share: float) -> tuple[float, float]:
-    """Logistic curve over the raw score, with the classes weighted to their share in the labels."""
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, share: float) -> tuple[float, float, float]:
+    """Logistic curve over (1, evidence, log words), by Newton steps, with the classes weighted to their share in the labels."""
     w = weight * np.where(y == 1, share / max(weight[y == 1].sum(), 1e-9), (1 - share) / max(weight[y == 0].sum(), 1e-9))
-    a, b = -4.0, 8.0
+    prior, hold = np.array([-4.0, 1.5, 0.0]), np.array([1e-4, 1e-4, 1e-3])
+    c = prior.copy()
     for _ in range(200):
-        p = 1 / (1 + np.exp(-(a + b * raw)))
-        g = np.array([(w * (p - y)).sum() + 1e-3 * (a + 4), (w * (p - y) * raw).sum() + 1e-3 * (b - 8)])
-        h = w * p * (1 - p)
-        m = np.array([[h.sum() + 1e-3, (h * raw).sum()], [(h * raw).sum(), (h * raw * raw).sum() + 1e-3]])
-        a, b = np.array([a, b]) - np.clip(np.linalg.solve(m, g), -2, 2)
-    return float(a), float(max(b, 0.1))
+        p = 1 / (1 + np.exp(-np.clip(x @ c, -500, 500)))
+        g = x.T @ (w * (p - y)) + hold * (c - prior)
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(hold)
+        c = c - np.clip(np.linalg.solve(h, g), -1, 1)
+    return float(c[0]), float(max(c[1], 0.1)), float(c[2])
 
 
-def score_texts(model: Model, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
-    """Per text the raw score and the toxic spans (first character, past character, peak)."""
+def score_texts(model: Model, texts: list[str | None]) -> list[tuple[float, int, list[tuple[int, int, float]]]]:
+    """Per text the evidence, the number of words and the toxic spans (first character, past character, peak)."""
     words = [tokens(t or "") for t in texts]
-    out: list = [(0.0, [])] * len(texts)
+    out: list = [(0.0, 0, [])] * len(texts)
     if not any(words):
         return out
     stop, ids, own = model.look([w for d in words for w in d])
@@ -279,6 +292,8 @@ def score_texts(model: Model, texts: list[str | None]) -> list[tuple[float, list
     if not base:
         return out
     owner_first = np.searchsorted(owner, np.arange(len(texts)))
+    sizes = np.bincount(owner, minlength=len(texts)).tolist()
+    out = [(0.0, n, []) for n in sizes]
     first = np.flatnonzero(np.diff(number, prepend=-1))
     length = np.diff(np.append(first, base))
     before, after = _neighbours(ids, first, first + length - 1)
@@ -317,15 +332,15 @@ def score_texts(model: Model, texts: list[str | None]) -> list[tuple[float, list
     for d, found in spans.items():
         # lower-casing may change lengths, so offsets are looked up in the text as it is
         places = [m.span() for m in TOKEN.finditer(texts[d]) if m.group() not in STOPS]
-        score = 1 - float(np.prod([1 - q for _, _, q in found]))
-        whole = len(places) == (owner == d).sum()
-        out[d] = (score, [(places[a][0], places[b][1], q) for a, b, q in found] if whole else [(-1, -1, q) for *_, q in found])
+        evidence = -float(np.log1p(-np.minimum([q for _, _, q in found], 0.98)).sum())
+        whole = len(places) == sizes[d]
+        out[d] = (min(evidence, MOST), sizes[d], [(places[a][0], places[b][1], q) for a, b, q in found] if whole else [(-1, -1, q) for *_, q in found])
     return out
 
 
-def final_score(model: Model, raw: float) -> float:
-    a, b = model.curve
-    return float(1 / (1 + np.exp(-(a + b * raw))))
+def final_score(model: Model, evidence: float, n_words: int) -> float:
+    a, b, c = model.curve
+    return float(1 / (1 + np.exp(-(a + b * evidence + c * np.log1p(n_words)))))
 
 
 def _runs(texts: list) -> Iterator[tuple[int, int]]:
@@ -349,7 +364,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
         def judge(texts: list) -> list[tuple]:
             found = [x for i, j in _runs(texts) for x in score_texts(m, texts[i:j])]
-            return [(final_score(m, s), [{"start": a, "past": b, "peak": p} for a, b, p in spans]) for s, spans in found]
+            return [(final_score(m, s, n), [{"start": a, "past": b, "peak": p} for a, b, p in spans]) for s, n, spans in found]
         return judge
     return from_texts(docs, docs.columns, make, "tox_score double, tox_spans array<struct<start: long, past: long, peak: double>>")
 
