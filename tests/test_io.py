@@ -124,3 +124,12 @@ def test_nan_to_null(spark):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert spark.conf.get("spark.checkpoint.dir") in session.checkpoint_dir(spark)
+
+
+def test_old_partitions_go(spark, tmp_path):
+    df = spark.createDataFrame([(1, "2020-01-01"), (2, "2020-01-02"), (3, "2020-01-03")], "id int, dt string")
+    O.drop_if_exists(spark, "t_dated")
+    O.load_table(df, "t_dated", path=str(tmp_path / "dated"), partition_by=["dt"])
+    assert O.drop_partitions_before(spark, "t_dated", "dt", "2020-01-03") == ["2020-01-01", "2020-01-02"]
+    assert [r["id"] for r in spark.table("t_dated").collect()] == [3]
+    O.drop_if_exists(spark, "t_dated")

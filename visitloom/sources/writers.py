@@ -43,18 +43,20 @@ def convert(df: DataFrame, path: str, fmt: str = "parquet", input_bytes: int | N
     df.write.mode("overwrite").format(fmt).save(path)
 
 
-def load_table(df: DataFrame, table: str, mode: str = "errorifexists") -> None:
-    """``overwrite``, ``append`` or ``errorifexists``."""
+def load_table(df: DataFrame, table: str, mode: str = "errorifexists", path: str | None = None, partition_by=()) -> None:
+    """``overwrite``, ``append`` or ``errorifexists``; ``path`` places the files outside the warehouse."""
     if mode not in ("overwrite", "append", "errorifexists"):
         raise ValueError(mode)
-    df.write.mode(mode).saveAsTable(table)
+    w = df.write.mode(mode)
+    w = w.partitionBy(*partition_by) if partition_by else w
+    (w.option("path", path) if path else w).saveAsTable(table)
 
 
-def query_to_table(spark: SparkSession, query: str, table: str, overwrite: bool = True) -> None:
+def query_to_table(spark: SparkSession, query: str, table: str, overwrite: bool = True, path: str | None = None) -> None:
     """Materialise a query; without ``overwrite`` a non-empty destination is an error."""
     if not overwrite and spark.catalog.tableExists(table) and not spark.table(table).isEmpty():
         raise ValueError(f"{table} is not empty")
-    spark.sql(query).write.mode("overwrite").saveAsTable(table)
+    load_table(spark.sql(query), table, "overwrite", path)
 
 
 def drop_if_exists(spark: SparkSession, *tables: str) -> None:
@@ -111,6 +113,15 @@ def sweep_expired(spark: SparkSession, tables, today: str) -> list[str]:
     return dropped
 
 
+def drop_partitions_before(spark: SparkSession, table: str, column: str, first_kept: str) -> list[str]:
+    """Drop the partitions of a dated table before a day, files included; returns their values."""
+    old = [r["partition"].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    old = sorted(v for v in old if v < first_kept)
+    for value in old:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({column} = '{value}') PURGE")
+    return old
+
+
 def save_artifacts(model, metrics: dict[str, float], tables: dict[str, DataFrame], folder: str, model_id: str,
                    spark: SparkSession) -> None:
     """Model, metrics and result tables of one run under ``folder/model_id``."""
