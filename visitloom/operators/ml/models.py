@@ -107,11 +107,21 @@ def search_table(spark, model) -> DataFrame:
 
 
 def calibrate(scored: DataFrame, label: str = "label", score: str = "score"):
-    """Isotonic map from held-out scores to probabilities."""
+    """Isotonic map to probabilities, fitted on scores of rows the model has not seen (``out_of_fold``)."""
     return IsotonicRegression(labelCol=label, featuresCol=score, predictionCol="calibrated").fit(
         scored.withColumn(label, F.col(label).cast("double")))
 
 
+def out_of_fold(df: DataFrame, stages: list, kind: str, id_col: str, folds: int = 5, label: str = "label", **params) -> DataFrame:
+    """Scores (id, label, fold, score) of every row by a model that has not seen it; folds by a hash of the id."""
+    fold = F.pmod(F.xxhash64(id_col), F.lit(folds))
+    parts = []
+    for i in range(folds):
+        model = fit(kind, df.filter(fold != i), stages, label, **params)
+        parts.append(model.transform(df.filter(fold == i)).select(id_col, label, F.lit(i).alias("fold"), positive_score().alias("score")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def batch_score(models: dict[str, PipelineModel], df: DataFrame, id_col: str,
                 names=("no", "yes")) -> DataFrame:
     """Label text and confidence (3 decimals) per horizon, side by side.

@@ -56,6 +56,16 @@ def fit_survival(df: DataFrame, features: list[str], dur: str = "week", event: s
     return AFTSurvivalRegression(labelCol=dur, censorCol=event, featuresCol="features", maxIter=50).fit(rows)
 
 
+def customer_survival(model, df: DataFrame, id_col: str, features: list[str], weeks=REPORT_WEEKS, keep=()) -> DataFrame:
+    """Probability per customer to be without a second purchase after each week, one column per week.
+
+    Under the Weibull model it is exp(-(week / predicted scale)^(1 / sigma)).
+    """
+    rows = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
+    at = [F.exp(-F.pow(F.lit(float(w)) / F.col("prediction"), F.lit(1.0 / model.scale))).alias(f"w{w}") for w in weeks]
+    return model.transform(rows).select(id_col, *keep, *at)
+
+
 def hazard_coefficients(model, features: list[str]) -> list[tuple[str, float]]:
     return [(f, -float(c) / model.scale) for f, c in zip(features, model.coefficients)]
 

@@ -303,10 +303,18 @@ def m17(t):
 
 @query("m18_calibrate")
 def m18(t):
-    df = training(t)
-    model = M.fit("logistic", df.filter(TRAIN), M.feature_stages(NUM, CAT, scale=True))
-    held = model.transform(df.filter(HELD)).select("fk_customer", "label", M.positive_score().alias("score"))
-    return M.calibrate(held).transform(held)
+    """Five folds of the training rows fit the map; it is applied to rows that neither model nor map has seen."""
+    df, stages = training(t), M.feature_stages(NUM, CAT, scale=True)
+    folds = store(M.out_of_fold(df.filter(TRAIN), stages, "logistic", "fk_customer"))
+    held = M.fit("logistic", df.filter(TRAIN), stages).transform(df.filter(HELD)).select("fk_customer", "label", M.positive_score().alias("score"))
+    return M.calibrate(folds).transform(held)
+
+
+@query("m18_folds", f"WITH {LW} SELECT label, count(*) AS n FROM tr GROUP BY 1")
+def m18_folds(t):
+    """Every training row is scored out of fold once."""
+    folds = M.out_of_fold(training(t).filter(TRAIN), M.feature_stages(NUM, CAT, scale=True), "logistic", "fk_customer", maxIter=5)
+    return folds.groupBy("label").agg(F.count("score").alias("n"))
 
 
 @query("m20_importance")
@@ -351,6 +359,32 @@ def m22_aft(t):
     return t.spark.createDataFrame(S.hazard_coefficients(model, ["age", "gmv"]), "feature string, coefficient double")
 
 
+SURVIVAL_FEATURES = ["age", "gmv"]
+
+
+@query("m22_customer_survival")
+def m22_customers(t):
+    df = durations(t)
+    return S.customer_survival(S.fit_survival(df, SURVIVAL_FEATURES), df, "fk_customer", SURVIVAL_FEATURES)
+
+
+@query("m22_decile_validation")
+def m22_deciles(t):
+    """Predicted against observed repurchase by week 9, per decile of the prediction."""
+    df = durations(t)
+    scored = S.customer_survival(S.fit_survival(df, SURVIVAL_FEATURES), df, "fk_customer", SURVIVAL_FEATURES, keep=["week", "event"])
+    seen = scored.filter("event = 1 OR week >= 9").select("fk_customer", (1 - F.col("w9")).alias("pred"), ((F.col("event") == 1) & (F.col("week") <= 9)).cast("int").alias("bought"))
+    return V.decile_stats(store(seen), "bought", "pred")
+
+
+@query("m22_univariate_scores", f"""WITH {DUR}, {', '.join(f"c_{x} AS (SELECT count(*) AS pairs, sum(CASE WHEN a.{x} > b.{x} THEN 1 WHEN a.{x} = b.{x} THEN 0.5 ELSE 0 END) AS good FROM du a JOIN du b ON a.event = 1 AND a.week < b.week AND a.{x} IS NOT NULL AND b.{x} IS NOT NULL)" for x in ("age", "gmv"))}
+""" + " UNION ALL ".join(f"SELECT '{x}' AS feature, pairs, round(good / pairs, 6) AS c_index FROM c_{x}" for x in ("age", "gmv")))
+def m22_univariate(t):
+    df = store(durations(t))
+    parts = [S.concordance(df, x).withColumn("feature", F.lit(x)) for x in SURVIVAL_FEATURES]
+    return rounded(parts[0].unionByName(parts[1]), "c_index")
+
+
 # ------------------------------------------------------------------ model-based attribution, hidden states
 def _path_arrays(t):
     return store(path_rows(t).groupBy("gid", "conv_group", F.col("cv_marker").cast("double").alias("label")).agg(
