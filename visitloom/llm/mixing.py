@@ -22,7 +22,7 @@ from visitloom.llm.common import uniform
 from visitloom.session import store
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_CELL = 500            # of the ranking; cells bound what one window task sorts
+ROWS_PER_CELL = 100            # of the ranking; cells bound what one window task sorts
 MAX_CELLS = 65536              # per source
 
 
