@@ -133,3 +133,13 @@ def test_old_partitions_go(spark, tmp_path):
     assert O.drop_partitions_before(spark, "t_dated", "dt", "2020-01-03") == ["2020-01-01", "2020-01-02"]
     assert [r["id"] for r in spark.table("t_dated").collect()] == [3]
     O.drop_if_exists(spark, "t_dated")
+
+
+def test_stored_intermediates_can_be_released(spark):
+    import glob
+    df = session.store(spark.range(5))
+    folder = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    once = session.store_once(spark, "five", lambda: spark.range(5))
+    assert session.store_once(spark, "five", lambda: spark.range(9)) is once and glob.glob(f"{folder}/part-*")
+    assert session.release(spark) >= 2 and not glob.glob(f"{folder}/part-*")
+    assert session.store_once(spark, "five", lambda: spark.range(9)).count() == 9

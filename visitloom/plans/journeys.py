@@ -10,7 +10,7 @@ from visitloom.operators import paths as P
 from visitloom.operators import sessions as S
 from visitloom.plans.inputs import BRAND, CUSTOMERS, SESSIONS_FLAT, TOUCHES, Tables, customers_in, sessions_in, touches_in
 from visitloom.plans.registry import as_int, query, rounded
-from visitloom.session import store
+from visitloom.session import store_once
 
 VISIT_ORDER = ["sess", "visit_id"]
 EVENT_ORDER = ["sess", "event_id"]
@@ -24,9 +24,13 @@ def stitched(t: Tables):
     return I.stitch_global(S.trinomial(S.direct_override(touches(t))), customers_in(t))
 
 
+def stored_stitch(t: Tables):
+    """The stitched touches are written once for all queries of an application over one folder."""
+    return store_once(t.spark, f"stitched {t.folder}", lambda: stitched(t))
+
+
 def kept(t: Tables):
-    """The stitched touches are written once: counting per id and the scans both read them."""
-    return S.collapse_sequential(store(stitched(t)), "gid", VISIT_ORDER)
+    return S.collapse_sequential(stored_stitch(t), "gid", VISIT_ORDER)
 
 
 def path_rows(t: Tables):
@@ -135,7 +139,7 @@ def d04(t):
 # ------------------------------------------------------------------ D05-D10
 @query("d05_conversion_groups", f"WITH {STITCH}, {_timeline('st', 'gid', 'visit_id')} SELECT visit_id, gid, conv_group FROM g_kept")
 def d05(t):
-    return as_int(S.conversion_groups(stitched(t), "gid", VISIT_ORDER).select("visit_id", "gid", "conv_group"), "conv_group")
+    return as_int(S.conversion_groups(stored_stitch(t), "gid", VISIT_ORDER).select("visit_id", "gid", "conv_group"), "conv_group")
 
 
 @query("d06_collapse_sequential", f"WITH {KEPT} SELECT visit_id, gid, conv_group, cv_marker FROM kept")

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_stored: dict[str, list[str]] = {}                 # by application: folders written by ``store``
+_named: dict[tuple[str, str], DataFrame] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Set the SQL options every job here assumes. Cluster sizing stays with the submitter."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -41,9 +46,33 @@ def store(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/visitloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_once(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``store`` the result of ``make`` under a name; later calls of this application read it again."""
+    key = spark.sparkContext.applicationId, name
+    if key not in _named:
+        _named[key] = store(make())
+    return _named[key]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediates this application has stored so far; returns how many.
+
+    Call it when no DataFrame built on them is needed any more.
+    """
+    app = spark.sparkContext.applicationId
+    paths = _stored.pop(app, [])
+    for key in [k for k in _named if k[0] == app]:
+        del _named[key]
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint a narrow or iterated table and continue from the checkpoint."""
     checkpoint_dir(df.sparkSession)
