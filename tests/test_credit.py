@@ -113,12 +113,12 @@ def test_rollup_counts_a_utm_under_each_of_its_trinomials(spark):
 
 
 # ------------------------------------------------------------------ costs and lift
-COST = "id_cost string, cost_date string, cost_allocation int, store_id int, device_id int, currency_id int, id_company int, supplier_name string, account_name string, channel_name string, short_description string, value decimal(18,2)"
+COST = "id_cost string, cost_date string, cost_allocation int, store_id int, device_id int, currency_id int, country_id int, legal_entity_name string, gl_account_id int, category_name string, supplier_name string, account_name string, channel_name string, short_description string, value decimal(18,2)"
 
 
 def test_month_spread_and_missing_rate(spark):
-    rows = [("m", "2020-02-10", 30, 1, 3, 1, 1, "s", None, "c", None, 58), ("d", "2020-01-31", 1, 99, 99, 1, 2, "s", "a", "c", "x", 7),
-            ("o", "2021-12-31", 7, 1, 3, 1, 1, "s", None, "c", None, 31)]
+    rows = [("m", "2020-02-10", 30, 1, 3, 1, 9, "e", 6, "Canais X", "s", None, "c", None, 58), ("d", "2020-01-31", 1, 99, 99, 1, None, None, None, None, "s", "a", "c", "x", 7),
+            ("o", "2021-12-31", 7, 3, 3, 1, 5, "e", 1, "Other", "s", None, "c", None, 31)]
     from decimal import Decimal
     costs = spark.createDataFrame([(*r[:-1], Decimal(r[-1])) for r in rows], COST).withColumn("cost_date", F.to_date("cost_date"))
     fx = spark.createDataFrame([(173, "2020-02-10", 1, 2.0)], "fx_currency int, fx_date string, fx_company int, rate double").withColumn("fx_date", F.to_date("fx_date"))
@@ -126,6 +126,8 @@ def test_month_spread_and_missing_rate(spark):
     agg = {r["id_cost"]: r for r in out.groupBy("id_cost").agg(F.count("*").alias("n"), F.sum("original_value").alias("o"), F.sum("exchanged_value").alias("e"), F.min("id_store").alias("st"), F.max("id_date").alias("last")).collect()}
     assert (agg["m"]["n"], round(agg["m"]["o"], 6), round(agg["m"]["e"], 6)) == (29, 58, 116)
     assert (agg["d"]["n"], agg["d"]["e"], agg["d"]["st"]) == (1, 7.0, 0)
+    ledger = {r["id_cost"]: (r["id_country"], r["id_company"], r["is_tool"], r["category_name"]) for r in out.collect()}
+    assert ledger == {"m": (0, 1, 1, "PERFORMANCE"), "d": (0, 1, 0, None), "o": (5, 2, 0, "Other")}
     assert agg["o"]["n"] == 31 and str(agg["o"]["last"]) == "2021-12-31"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from visitloom.functions.columns import digest, recode
 
-# Source-system ids and the warehouse ids they map to (all others map to 0).
+# Source-system ids and the warehouse ids they map to (all others map to 0, companies to 1).
 STORE_IDS = {1: 352, 3: 219, 5: 21, 7: 50, 11: 66, 13: 158, 14: 4, 15: 67, 16: 30, 17: 18, 19: 37,
              20: 70, 21: 24, 23: 47, 24: 888, 25: 6, 26: 92, 29: 55}
 DEVICE_IDS = {3: 146, 4: 330, 5: 606, 6: 514, 7: 422, 8: 698, 9: 790, 10: 1250, 11: 1342, 13: 238}
@@ -15,8 +15,16 @@ CURRENCY_IDS = {1: 173, 2: 265, 3: 357, 4: 449, 5: 817, 6: 633, 7: 541, 8: 725}
 COMPANY_IDS = {1: 1, 3: 2, 5: 3, 7: 4}
 
 
+HIDDEN_COUNTRY, TOOL_ACCOUNT = 9, 6
+
+
 def recode_costs(costs: DataFrame) -> DataFrame:
+    """Warehouse ids of a ledger row; the company follows from the store."""
     return costs.withColumns({
+        "id_company": recode("store_id", COMPANY_IDS, 1),
+        "id_country": F.when(F.col("country_id") == HIDDEN_COUNTRY, 0).otherwise(F.coalesce("country_id", F.lit(0))),
+        "category_name": category_group(),
+        "is_tool": F.coalesce((F.col("gl_account_id") == TOOL_ACCOUNT).cast("int"), F.lit(0)),
         "id_store": recode("store_id", STORE_IDS, 0),
         "id_device_platform": recode("device_id", DEVICE_IDS, 0),
         "id_currency": recode("currency_id", CURRENCY_IDS, 0)})
@@ -50,10 +58,11 @@ def allocate_costs(costs: DataFrame, fx: DataFrame) -> DataFrame:
         F.col("value").cast("double") / F.dayofmonth(F.last_day("cost_date")))
     # everything is computed on the ledger row; the explode only copies it to its days
     priced = rated.select(
-        "id_cost", days.alias("_days"), "id_company", "id_store", "id_currency",
+        "id_cost", days.alias("_days"), "id_country", "id_company", "id_store", "id_currency",
         digest("supplier_name", "account_name", "short_description", "channel_name",
                "id_device_platform").alias("utm_hash"),
-        "supplier_name", "channel_name",
+        "legal_entity_name", "category_name", "supplier_name", "account_name", "short_description", "channel_name",
+        "id_device_platform", "is_tool",
         F.when(daily, "DAILY").otherwise("MONTHLY").alias("cost_allocation"),
         (value * F.coalesce("rate", F.lit(1.0))).alias("exchanged_value"),
         value.alias("original_value"))

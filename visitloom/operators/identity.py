@@ -24,7 +24,7 @@ def stitch_fill(t: DataFrame, visitor: str, id_col: str, order, min_rows=None) -
 
 def _join_key(c: str):
     """A join key whose nulls are scattered over values that match nothing."""
-    scatter = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("fvid", "sess"), F.lit(4096)).cast("string"))
+    scatter = F.concat(F.lit("\x00"), F.xxhash64("fvid", "sess").cast("string"))
     return F.coalesce(F.col(c), scatter)
 
 

@@ -324,10 +324,14 @@ def _case(c: str, m: dict) -> str:
     return f"CASE {c} " + " ".join(f"WHEN {k} THEN {v}" for k, v in m.items()) + " ELSE 0 END"
 
 
-ALLOC = f"""cost AS (SELECT *, {_case('store_id', C.STORE_IDS)} AS id_store, {_case('device_id', C.DEVICE_IDS)} AS id_device_platform,
+ALLOC = f"""cost AS (SELECT * REPLACE (CASE WHEN category_name LIKE 'Canais%' THEN 'PERFORMANCE' WHEN category_name LIKE 'Strategic Marketing%' THEN 'STRATEGIC MARKETING'
+    WHEN category_name LIKE 'Creative Marketing%' THEN 'CREATIVE MARKETING' WHEN category_name LIKE 'Trade Marketing%' THEN 'TRADE MARKETING'
+    WHEN category_name = 'B2B Services' THEN 'B2B' ELSE category_name END AS category_name),
+  {_case('store_id', C.COMPANY_IDS).replace('ELSE 0', 'ELSE 1')} AS id_company, CASE WHEN country_id = 9 THEN 0 ELSE coalesce(country_id, 0) END AS id_country,
+  CASE WHEN gl_account_id = 6 THEN 1 ELSE 0 END AS is_tool, {_case('store_id', C.STORE_IDS)} AS id_store, {_case('device_id', C.DEVICE_IDS)} AS id_device_platform,
   {_case('currency_id', C.CURRENCY_IDS)} AS id_currency FROM ({N.COSTS})), {FX},
 alloc AS (SELECT id_cost, CAST(unnest(CASE WHEN cost_allocation = 1 THEN [CAST(cost_date AS TIMESTAMP)] ELSE generate_series(CAST(date_trunc('month', cost_date) AS TIMESTAMP), CAST(last_day(cost_date) AS TIMESTAMP), INTERVAL 1 DAY) END) AS DATE) AS id_date,
-  id_company, id_store, cost.id_currency, supplier_name, channel_name,
+  id_country, id_company, id_store, cost.id_currency, legal_entity_name, category_name, is_tool, supplier_name, channel_name,
   md5(concat(coalesce(supplier_name,'_'), coalesce(account_name,'_'), coalesce(short_description,'_'), coalesce(channel_name,'_'), coalesce(CAST(id_device_platform AS VARCHAR),'_'))) AS utm_hash,
   CASE WHEN cost_allocation = 1 THEN 'DAILY' ELSE 'MONTHLY' END AS cost_allocation,
   CAST(value AS DOUBLE) / CASE WHEN cost_allocation = 1 THEN 1 ELSE day(last_day(cost_date)) END AS original_value,
@@ -354,11 +358,11 @@ def d35(t):
 
 
 @query("d35_allocated_by_cost", f"""WITH {ALLOC} SELECT id_cost, CAST(min(id_date) AS VARCHAR) AS first_day, CAST(max(id_date) AS VARCHAR) AS last_day, count(*) AS days,
-  min(utm_hash) AS utm_hash, CAST(sum(CAST(original_value AS DECIMAL(18,6))) AS DOUBLE) AS original_value, CAST(sum(CAST(exchanged_value AS DECIMAL(18,6))) AS DOUBLE) AS exchanged_value FROM alloc GROUP BY 1""")
+  min(utm_hash) AS utm_hash, min(id_country) AS id_country, min(id_company) AS id_company, min(legal_entity_name) AS legal_entity_name, min(category_name) AS category_name, min(is_tool) AS is_tool, CAST(sum(CAST(original_value AS DECIMAL(18,6))) AS DOUBLE) AS original_value, CAST(sum(CAST(exchanged_value AS DECIMAL(18,6))) AS DOUBLE) AS exchanged_value FROM alloc GROUP BY 1""")
 def d35_cost(t):
     out = allocated(t).groupBy("id_cost").agg(
         F.min("id_date").alias("first_day"), F.max("id_date").alias("last_day"), F.count(F.lit(1)).alias("days"),
-        F.min("utm_hash").alias("utm_hash"), exact("original_value"), exact("exchanged_value"))
+        F.min("utm_hash").alias("utm_hash"), *[F.min(c).alias(c) for c in ("id_country", "id_company", "legal_entity_name", "category_name", "is_tool")], exact("original_value"), exact("exchanged_value"))
     return as_text(out, "first_day", "last_day")
 
 

@@ -207,6 +207,9 @@ SELECT c.c_custkey AS src_fk_customer, md5(CAST(c.c_custkey AS VARCHAR)) AS id_h
 FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey"""
 
 
+CATEGORIES = ["Canais Pagos", "Strategic Marketing BR", "Creative Marketing", "Trade Marketing X", "B2B Services", "Other"]
+
+
 def costs_in(t: Tables) -> DataFrame:
     """Marketing cost ledger rows."""
     l, s = t.lineitem, t.supplier
@@ -221,7 +224,10 @@ def costs_in(t: Tables) -> DataFrame:
                     (F.col("l_linenumber") % 9).cast("int").alias("store_id"),
                     (F.col("l_partkey") % 14).cast("int").alias("device_id"),
                     (F.col("l_suppkey") % 9).cast("int").alias("currency_id"),
-                    (F.col("s_nationkey") % 4 + 1).cast("int").alias("id_company"),
+                    F.when(F.col("s_nationkey") != 4, F.col("s_nationkey")).cast("int").alias("country_id"),
+                    F.concat(F.lit("entity"), (F.col("s_nationkey") % 4).cast("string")).alias("legal_entity_name"),
+                    (F.col("l_partkey") % 8).cast("int").alias("gl_account_id"),
+                    F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("l_partkey") % len(CATEGORIES) + 1).cast("int")).alias("category_name"),
                     F.col("s_name").alias("supplier_name"),
                     F.when(F.col("l_partkey") % 7 != 0, F.concat(F.lit("acc"), (F.col("l_partkey") % 7).cast("string")))
                     .alias("account_name"),
@@ -235,7 +241,10 @@ SELECT concat(CAST(l.l_orderkey AS VARCHAR), '-', CAST(l.l_partkey AS VARCHAR),
   CAST(max(l.l_shipdate) AS DATE) AS cost_date,
   CASE WHEN l.l_linenumber % 2 = 1 THEN 1 ELSE 30 END AS cost_allocation,
   CAST(l.l_linenumber % 9 AS INT) AS store_id, CAST(l.l_partkey % 14 AS INT) AS device_id,
-  CAST(l.l_suppkey % 9 AS INT) AS currency_id, CAST(s.s_nationkey % 4 + 1 AS INT) AS id_company,
+  CAST(l.l_suppkey % 9 AS INT) AS currency_id, 
+  CAST(CASE WHEN s.s_nationkey <> 4 THEN s.s_nationkey END AS INT) AS country_id, concat('entity', CAST(s.s_nationkey % 4 AS VARCHAR)) AS legal_entity_name,
+  CAST(l.l_partkey % 8 AS INT) AS gl_account_id,
+  ['Canais Pagos', 'Strategic Marketing BR', 'Creative Marketing', 'Trade Marketing X', 'B2B Services', 'Other'][l.l_partkey % 6 + 1] AS category_name,
   s.s_name AS supplier_name,
   CASE WHEN l.l_partkey % 7 <> 0 THEN concat('acc', CAST(l.l_partkey % 7 AS VARCHAR)) END AS account_name,
   concat('ch', CAST(l.l_suppkey % 5 AS VARCHAR)) AS channel_name,

@@ -136,8 +136,13 @@ q("j17_group_total", "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(1
   lambda t: spread(t.orders.select("o_orderkey", "o_custkey", money("o_totalprice").alias("v")), ["o_custkey"], t=F.sum("v")).select("o_orderkey", c("t").cast("double").alias("t")))
 q("j18_align_runs", f"WITH {_HALVES} SELECT k AS medium, CAST(coalesce(a, 0) AS DOUBLE) AS r1, CAST(coalesce(b, 0) AS DOUBLE) AS r2, CAST(coalesce(a, 0) + coalesce(b, 0) AS DOUBLE) AS total FROM x FULL JOIN y USING (k)",
   lambda t: __import__("visitloom.operators.attribution", fromlist=["x"]).compare_runs({"r1": _halves(t)[0].select(c("k").alias("medium"), c("a").cast("double").alias("v")), "r2": _halves(t)[1].select(c("k").alias("medium"), c("b").cast("double").alias("v"))}, "v"))
-q("j19_join_on_amount", "SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey AND CAST(round(s_acctbal / 100) AS BIGINT) = CAST(round(c_acctbal / 100) AS BIGINT)",
-  lambda t: t.supplier.join(t.customer, (c("s_nationkey") == c("c_nationkey")) & (F.round(c("s_acctbal") / 100).cast("bigint") == F.round(c("c_acctbal") / 100).cast("bigint"))).select("s_suppkey", "c_custkey").distinct())
+def j19(t):
+    """Equal amounts, to the cent, of different orders of a customer."""
+    side = lambda key: t.orders.select(c("o_orderkey").alias(key), "o_custkey", (money("o_totalprice") * 100).cast("bigint").alias("cents"))
+    return side("a_key").join(side("b_key"), ["o_custkey", "cents"]).filter("a_key <= b_key").select("a_key", "b_key")
+
+
+q("j19_join_on_amount", "SELECT a.o_orderkey AS a_key, b.o_orderkey AS b_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND CAST(a.o_totalprice AS DECIMAL(18,2)) = CAST(b.o_totalprice AS DECIMAL(18,2)) AND a.o_orderkey <= b.o_orderkey", j19)
 
 # ------------------------------------------------------------------ aggregates
 q("a01_group_agg", "SELECT o_orderstatus, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS s, count(*) AS n, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS a, min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders GROUP BY 1",
