@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from visitloom.functions.ordered import lay_track, lift_off, scan
 from visitloom.session import store
 
-LEXICONS = 16
+LEXICONS = 32
 LOW, HIGH = 0.0005, 0.1        # of the documents
 ROWS_PER_BLOCK = 20_000        # of the global order of ids, laid out in blocks
+LARGEST = (1 << 63) - 1
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -39,18 +40,24 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return df.filter((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term")
 
 
-def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], named: dict[str, str]) -> DataFrame:
+def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], named: dict[str, str], carry: dict[str, Column] | None = None) -> DataFrame:
     """``keys`` and one fingerprint column per text column of ``named`` (text column to output column).
 
+    ``carry`` adds long columns computed from the texts, so that these are not needed a second time.
+
     ``texts`` should be partitioned by some of ``keys``, which identify a row: then exploding, the
     broadcast join and the aggregations run in place, without another exchange.
     """
-    each = F.array(*[F.struct(F.lit(i).alias("which"), terms(F.col(c)).alias("terms")) for i, c in enumerate(named)])
-    long = (texts.select(*keys, F.explode(each).alias("e")).select(*keys, "e.which", F.explode_outer("e.terms").alias("term"))
+    carry = carry or {}
+    none = [F.lit(None).cast("long").alias(n) for n in carry]
+    each = [F.struct(F.lit(i).alias("which"), terms(F.col(c)).alias("terms"), *none) for i, c in enumerate(named)]
+    each.append(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("array<bigint>").alias("terms"), *[c.alias(n) for n, c in carry.items()]))
+    long = (texts.select(*keys, F.explode(F.array(*each)).alias("e"))
+            .select(*keys, "e.which", *[f"e.{n}" for n in carry], F.explode_outer("e.terms").alias("term"))
             .join(F.broadcast(lexicon.select("term", F.lit(True).alias("known"))), "term", "left"))
     known, first_half = F.col("known"), lambda r: F.xxhash64(F.lit(1000 + r), F.col("term")) % 2 == 0
     # all distinct terms, for texts without a lexicon term
-    aggs = [F.sum(F.xxhash64(F.lit(77), F.col("term")) % F.lit(1 << 40)).alias("_all"), F.count("term").alias("_n")]
+    aggs = [F.sum(F.xxhash64(F.lit(77), F.col("term")) % F.lit(1 << 40)).alias("_all"), F.count("term").alias("_n"), *[F.max(n).alias(n) for n in carry]]
     for r in range(LEXICONS):
         rank = F.xxhash64(F.lit(r), F.col("term"))
         aggs += [F.min(F.when(known & first_half(r), rank)).alias(f"_a{r}"), F.min(F.when(known & ~first_half(r), rank)).alias(f"_b{r}")]
@@ -60,8 +67,8 @@ def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], named: d
         none = F.xxhash64(F.lit(r), F.coalesce(F.col("_all"), F.lit(0)), F.col("_n"))
         h = F.when(a.isNull() & b.isNull(), none).otherwise(F.xxhash64(F.lit(r), F.least(a, b), F.greatest(a, b)))
         parts.append(F.lpad(F.lower(F.hex(h.bitwiseAND((1 << 32) - 1))), 8, "0"))
-    found = long.groupBy(*keys, "which").agg(*aggs).select(*keys, "which", F.concat(*parts).alias("_print"))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == i, F.col("_print"))).alias(n) for i, n in enumerate(named.values())])
+    found = long.groupBy(*keys, "which").agg(*aggs).select(*keys, "which", *carry, F.concat(*parts).alias("_print"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == i, F.col("_print"))).alias(n) for i, n in enumerate(named.values())], *[F.max(n).alias(n) for n in carry])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -79,36 +86,40 @@ def edited_likeness(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Da
     The edited text has the last quarter replaced by the start of the next document. Texts are
     shuffled once, by their id; only the starts of texts are sent on to the document before.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    # a row's key has no null, so that joins and aggregations agree on one partitioning: the id, null as the
+    # largest, and a hash of the text and of whether there is an id
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"),
+                       F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("_h"), F.col("doc_id").isNull().alias("_no_id"))
     words = lexicon(base, low, high)
-    ids = base.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("_copies"), F.first(F.length("text")).alias("n_chars"))
-    ids = store(ids.withColumn("n_chars", F.col("n_chars").cast("long")))
-    head = ids.orderBy(F.col("doc_id").asc_nulls_last(), "_h").select("doc_id", "_h").first()
-    laid, track = lay_track(ids, [], ["doc_id", "_h"], min_rows=ROWS_PER_BLOCK)
-    ordered = lift_off(scan(laid, track, _next=("lead", F.struct("doc_id", "_h"))))
-    if head is not None:
-        wrap = F.struct(F.lit(head[0]).cast("long").alias("doc_id"), F.lit(head[1]).cast("long").alias("_h"))
-        ordered = ordered.withColumn("_next", F.coalesce("_next", wrap))
+    ids = base.groupBy("_id", "_h", "_no_id").agg(F.count(F.lit(1)).alias("_copies"), F.max(F.length("text")).alias("n_chars"))
+    ids = store(ids)
+    order = ["_id", "_no_id", "_h"]
+    head = ids.orderBy(*order).select("_id", "_h").first()
+    laid, track = lay_track(ids, [], order, min_rows=ROWS_PER_BLOCK)
+    ordered = lift_off(scan(laid, track, _next=("lead", F.struct("_id", "_h"))))
+    if head is not None:                 # the last is followed by the first
+        ordered = ordered.withColumn("_next", F.coalesce("_next", F.struct(F.lit(head[0]).cast("long").alias("_id"), F.lit(head[1]).cast("long").alias("_h"))))
     # of rows that repeat an id and a text, all but the last are followed by their twin
     ordered = (ordered.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-               .withColumn("_next", F.when(F.col("_k") < F.col("_copies"), F.struct("doc_id", "_h")).otherwise(F.col("_next"))))
-    rows = store(ordered.select("doc_id", "_h", "_k", "n_chars", F.col("_next.doc_id").alias("_nd"), F.col("_next._h").alias("_nh")))
+               .withColumn("_next", F.when(F.col("_k") < F.col("_copies"), F.struct("_id", "_h")).otherwise(F.col("_next"))))
+    keys = ["_id", "_h", "_k", "_no_id", "n_chars", "_nid", "_nh"]
+    rows = store(ordered.select("_id", "_h", "_k", "_no_id", F.col("n_chars").cast("long").alias("n_chars"),
+                                F.col("_next._id").alias("_nid"), F.col("_next._h").alias("_nh")))
 
-    texts = base.groupBy("doc_id", "_h").agg(F.first("text").alias("text")) if rows.filter("_k > 1").count() else base
-    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+    texts = base.groupBy("_id", "_h").agg(F.first("text").alias("text")) if not rows.filter("_k > 1").isEmpty() else base
+    t = texts.select(F.col("_id").alias("_tid"), F.col("_h").alias("_th"), "text")
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    t = texts.select(F.col("doc_id").alias("_td"), F.col("_h").alias("_th"), "text")
-    starts = (rows.join(t, same("_nd", "_td", "_nh", "_th"))
-              .select("doc_id", "_h", "_k", "n_chars", "_nd", "_nh", F.substring(F.col("text"), F.lit(1), quarter).alias("_start")))
-    both = starts.join(t, same("doc_id", "_td", "_h", "_th"))
+    starts = (rows.join(t, (F.col("_nid") == F.col("_tid")) & (F.col("_nh") == F.col("_th")))
+              .select(*keys, F.substring(F.col("text"), F.lit(1), quarter).alias("_start")))
+    both = starts.join(t, (F.col("_id") == F.col("_tid")) & (F.col("_h") == F.col("_th")))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.col("_start"))
-    both = both.select("doc_id", "_h", "_k", "n_chars", "_nd", "_nh", "text", edited.alias("edited"))
-    keys = ["doc_id", "_h", "_k", "n_chars", "_nd", "_nh"]
-    found = store(fingerprints(both, words, keys, {"text": "fingerprint", "edited": "edited_fingerprint"})
-                  .join(both.select("doc_id", "_h", "_k", F.sha2("edited", 256).alias("edited_sha256")).withColumnsRenamed(
-                      {"doc_id": "_sd", "_h": "_sh", "_k": "_sk"}), same("doc_id", "_sd", "_h", "_sh") & (F.col("_k") == F.col("_sk"))))
-    after = found.filter("_k = 1").select(F.col("doc_id").alias("_ad"), F.col("_h").alias("_ah"), F.col("fingerprint").alias("_after"))
-    return (found.join(after, same("_nd", "_ad", "_nh", "_ah"))
-            .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    both = both.select(*keys, "text", edited.alias("edited"))
+    digest = F.sha2("edited", 256)
+    quarters = {f"_s{i}": F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)}
+    found = store(fingerprints(both, words, keys, {"text": "fingerprint", "edited": "edited_fingerprint"}, quarters))
+    after = found.filter("_k = 1").select(F.col("_id").alias("_aid"), F.col("_h").alias("_ah"), F.col("fingerprint").alias("_after"))
+    sha = F.lower(F.concat(*[F.lpad(F.hex(q), 16, "0") for q in quarters]))
+    return (found.join(after, (F.col("_nid") == F.col("_aid")) & (F.col("_nh") == F.col("_ah")))
+            .select(F.when(~F.col("_no_id"), F.col("_id")).alias("doc_id"), "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
                     likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
                     likeness(F.col("fingerprint"), F.col("_after")).alias("near_next")))
