@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from visitloom.llm.common import from_texts, held_out
 from visitloom.llm.words import grams, mix
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1000, 2400       # labelled documents a model is fitted on, at most
+SAMPLE_TOXIC, SAMPLE_CLEAN = 800, 2600       # labelled documents a model is fitted on, at most
 SAMPLE_CHARS = 10_000_000                     # and their characters; further sampled documents are left out
 MIN_DOCS = 5                                  # a word in fewer sampled documents is not learned
 USES = 4                                      # of a word in one document that count as signs
@@ -42,7 +42,8 @@ THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 STOPS = frozenset(".!?\n")
 SEEN = 500_000                                # words whose scores a worker keeps
-GROUP_TOKENS = 400_000                        # scored at once
+RUN_CHARS = 1_000_000                         # of texts scored together
+GROUP_TOKENS = 200_000                        # scored at once
 
 
 @dataclass
@@ -262,7 +263,7 @@ def train(rows: list[tuple[str, int]], share: float, steps: int = 240) -> Model:
             q -= 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     params[0][0] = 0.0                   # an unknown word or beginning speaks for nothing by itself
     model = Model(known, *params[:5], float(params[5][0]), (0.0, 1.0, 0.0))
-    model.curve = _curve(np.array([(1.0, s, np.log1p(n)) for s, n, _ in score_texts(model, [t for t, _ in rows])]), y, weight, share)
+    model.curve = _curve(np.array([(1.0, s, np.log1p(n)) for s, n, _ in _scored(model, [t for t, _ in rows])]), y, weight, share)
     return model
 
 
@@ -344,17 +345,22 @@ def final_score(model: Model, evidence: float, n_words: int) -> float:
 
 
 def _runs(texts: list) -> Iterator[tuple[int, int]]:
-    """Rows to score together: about 2 million characters, or one longer text."""
+    """Rows to score together: about RUN_CHARS characters, or one longer text."""
     i, chars = 0, 0
     for j, t in enumerate(texts):
         chars += len(t) if t is not None else 0
-        if chars > 2_000_000:
+        if chars > RUN_CHARS:
             yield i, j + 1
             i, chars = j + 1, 0
     if i < len(texts):
         yield i, len(texts)
 
 
+def _scored(model: Model, texts: list) -> Iterator[tuple[float, int, list[tuple[int, int, float]]]]:
+    for i, j in _runs(texts):
+        yield from score_texts(model, texts[i:j])
+
+
 def tag(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` plus tox_score (0 to 1) and tox_spans (start, past, peak; characters)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)       # bounded by the sample's vocabulary
@@ -363,8 +369,7 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
 
         def judge(texts: list) -> list[tuple]:
-            found = [x for i, j in _runs(texts) for x in score_texts(m, texts[i:j])]
-            return [(final_score(m, s, n), [{"start": a, "past": b, "peak": p} for a, b, p in spans]) for s, n, spans in found]
+            return [(final_score(m, s, n), [{"start": a, "past": b, "peak": p} for a, b, p in spans]) for s, n, spans in _scored(m, texts)]
         return judge
     return from_texts(docs, docs.columns, make, "tox_score double, tox_spans array<struct<start: long, past: long, peak: double>>")
 
