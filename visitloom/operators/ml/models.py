@@ -9,10 +9,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (IDF, CountVectorizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (CountVectorizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,19 +153,17 @@ def importance(model: PipelineModel, scored: DataFrame) -> DataFrame:
         F.col("importance").desc(), "feature")
 
 
-def tfidf(df: DataFrame, tokens: str, terms: int = 500) -> tuple[PipelineModel, DataFrame]:
-    model = Pipeline(stages=[CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=terms),
-                             IDF(inputCol="_tf", outputCol="tfidf")]).fit(df)
-    return model, model.transform(df).drop("_tf")
+def mean_term_weight(df: DataFrame, tokens: str, terms: int = 500) -> DataFrame:
+    """Average tf-idf weight over all documents of the ``terms`` most frequent terms: ``term, weight``.
 
-
-def mean_term_weight(model: PipelineModel, weighted: DataFrame) -> DataFrame:
-    """Average tf-idf weight per vocabulary term (the vocabulary is capped by ``terms``)."""
-    vocab = model.stages[0].vocabulary
-    mean = weighted.agg(Summarizer.mean(F.col("tfidf")).alias("m")).select(vector_to_array("m").alias("m"))
-    names = F.array(*[F.lit(v) for v in vocab])
-    return (mean.select(F.explode(F.arrays_zip(names.alias("term"), F.col("m").alias("weight"))).alias("z"))
-            .select("z.*").toDF("term", "weight"))
+    The weight of a term in a document is its count times ln((documents + 1) / (documents with it + 1)), so the
+    mean needs only two counts per term. Equal frequencies are ranked by the term.
+    """
+    docs = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    per = (df.select(F.monotonically_increasing_id().alias("_d"), F.col(tokens).alias("_w")).select("_d", F.explode("_w").alias("term"))
+           .groupBy("term").agg(F.count(F.lit(1)).alias("_tf"), F.countDistinct("_d").alias("_df")))
+    top = per.orderBy(F.desc("_tf"), "term").limit(terms)
+    return top.select("term", (F.col("_tf") / docs * F.ln((docs + 1) / (F.col("_df") + 1))).alias("weight"))
 
 
 def cluster_vs_label(clustered: DataFrame, label: str) -> DataFrame:

@@ -18,6 +18,7 @@ from visitloom.operators.ml import survival as S
 from visitloom.plans import inputs as N
 from visitloom.plans.journeys import LONG, MEDIUM_KEPT, medium_kept, path_rows
 from visitloom.plans.registry import as_int, as_text, query, rounded
+from visitloom.plans.shelf import CLEAN_SQL, STOP
 from visitloom.plans.retail import AS_OF, LABELS, first_orders, labelled
 from visitloom.session import store
 
@@ -140,13 +141,17 @@ def m11(t):
 
 
 def _tokens(t):
-    return C.clean_text(t.documents, "text", ["the", "of"]).select("doc_id", F.split("text", " ").alias("words"))
+    return C.clean_text(t.documents, "text", STOP).select("doc_id", F.split("text", " ").alias("words"))
 
 
-@query("m12_tfidf_mean_weight")
+_CLEAN = CLEAN_SQL.replace("{c}", "text").replace("{stop}", "")
+
+
+@query("m12_tfidf_mean_weight", f"""WITH d AS (SELECT doc_id, string_split({_CLEAN}, ' ') AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS term FROM d),
+p AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w GROUP BY 1 ORDER BY tf DESC, term LIMIT 500)
+SELECT term, round(tf / (SELECT count(*) FROM d) * ln(((SELECT count(*) FROM d) + 1) / (df + 1)), 6) AS weight FROM p""")
 def m12(t):
-    model, weighted = M.tfidf(_tokens(t), "words", 500)
-    return M.mean_term_weight(model, weighted)
+    return rounded(M.mean_term_weight(_tokens(t), "words", 500), "weight")
 
 
 @query("m12_bag_of_touches", f"""WITH {LONG}, p AS (SELECT gid || '/' || CAST(conv_group AS VARCHAR) AS path, pos, trin FROM long),
@@ -422,6 +427,38 @@ def m23(t):
     return rounded(H.hmm_decode(v, params, ["gid", "conv_group"]), "posterior")
 
 
+def _decoded(t):
+    v = _views(t)
+    return store(H.hmm_decode(v, H.hmm_fit(v, ["gid", "conv_group"], iters=3)[0], ["gid", "conv_group"]).withColumnRenamed("obs", "_obs")
+                 .join(v, ["gid", "conv_group", "pos"]))
+
+
+MEASURES = ["n_views", "is_to_cart"]
+
+
+@query("m23_decoded_by_state")
+def m23_by_state(t):
+    return rounded(H.state_summary(_decoded(t), "state", MEASURES), "mean_n_views", "mean_is_to_cart", digits=4)
+
+
+@query("m23_decoded_by_medium")
+def m23_by_medium(t):
+    """Visits of each medium per decoded state."""
+    return _decoded(t).groupBy("medium", "state").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("posterior"), 4).alias("posterior"))
+
+
+@query("m23_decoded_by_client")
+def m23_by_client(t):
+    return _decoded(t).groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("state"), 4).alias("mean_state"),
+                                          *[F.count_if(F.col("state") == s).alias(f"state_{s}") for s in range(4)])
+
+
+@query("m23_visits_by_client", f"WITH {LONG} SELECT gid, count(*) AS n FROM long GROUP BY 1")
+def m23_visits(t):
+    """Every visit is decoded exactly once."""
+    return _decoded(t).groupBy("gid").agg(F.count("state").alias("n"))
+
+
 @query("m23_state_summary", f"""WITH tt AS ({N.TOUCHES}) SELECT sess % 4 AS state, count(*) AS n, round(avg(sess_end - sess), 4) AS mean_len, round(quantile_cont(sess_end - sess, 0.5), 4) AS median_len FROM tt GROUP BY 1""")
 def m23_summary(t):
     v = N.touches_in(t).select((F.col("sess") % 4).alias("state"), (F.col("sess_end") - F.col("sess")).alias("len"))
