@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from visitloom.functions.columns import cut, days_since_black_friday, slug_state, year_gap
+from visitloom.functions.columns import cut, days_since_black_friday, slug_state
 from visitloom.functions.ordered import lay_track, lift_off, scan
 from visitloom.session import store
 
@@ -205,10 +205,6 @@ def repeat_buyer_fact(items: DataFrame, dims: list[tuple[DataFrame, list[str], s
     return reduce(lambda acc, d: acc.join(d[0], d[1], d[2]), dims, live.join(n, "fk_customer"))
 
 
-def with_customer_age(df: DataFrame, birthday: str, date: str) -> DataFrame:
-    return df.withColumn("customer_age", year_gap(birthday, date))
-
-
 def churn_episodes(orders: DataFrame, as_of: str, gap: int = 365, churn_days: int = 700,
                    key: str = "fk_customer", min_rows=None) -> DataFrame:
     """Last orders before a silence of ``gap`` days and the orders that end one.

@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from visitloom.operators import attribution as A
 from visitloom.operators import catalog as C
-from visitloom.operators import paths as P
 from visitloom.operators.ml import encode as E
 from visitloom.operators.ml import evaluate as V
 from visitloom.operators.ml import hmm as H
 from visitloom.operators.ml import models as M
 from visitloom.operators.ml import survival as S
 from visitloom.plans import inputs as N
-from visitloom.plans.journeys import LONG, MEDIUM_KEPT, medium_kept, path_rows
-from visitloom.plans.registry import as_int, as_text, query, rounded
+from visitloom.plans.journeys import LONG, path_rows
+from visitloom.plans.registry import query, rounded
 from visitloom.plans.shelf import CLEAN_SQL, STOP
 from visitloom.plans.retail import AS_OF, LABELS, first_orders, labelled
 from visitloom.session import store

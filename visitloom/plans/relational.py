@@ -12,7 +12,7 @@ from visitloom.operators import markov as M
 from visitloom.operators.ml import evaluate as V
 from visitloom.plans import inputs as N
 from visitloom.plans.journeys import MEDIUM_EDGES, STATES, medium_edges
-from visitloom.plans.registry import as_int, as_text, query, rounded
+from visitloom.plans.registry import as_text, query, rounded
 from visitloom.plans.retail import bf_sql, since_bf_sql
 from visitloom.sources import readers as R
 from visitloom.sources import schemas as Z

@@ -1,31 +1,10 @@
-"""Declared input schemas and the helper that makes a table conform to one."""
+"""Flat schema strings and the helper that makes a table conform to one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SESSION_DDL = (
-    "datasource string, fullVisitorId string, visitStartTime bigint, "
-    "totals struct<timeOnSite:bigint,totalTransactionRevenue:bigint,bounces:int>, "
-    "customDimensions array<struct<index:int,value:string>>, "
-    "trafficSource struct<source:string,medium:string,keyword:string,campaign:string,adContent:string,isTrueDirect:boolean>, "
-    "device struct<deviceCategory:string>, geoNetwork struct<country:string,region:string>, "
-    "hits array<struct<eCommerceAction:struct<action_type:string>,page:struct<pagePath:string>,"
-    "product:array<struct<isImpression:boolean>>>>, dt string")
-
-PATHS_DDL = ("gid string, gender string, birthday double, cust_created_year double, country_region string, "
-             "agg_cvg string, agg_sessions string")
-
-FIRST_ORDER_DDL = (
-    "fk_customer string, channel string, partner string, device string, first_sale_number int, age int, "
-    "gender string, state string, expected_delivery_date string, delivered_date string, first_sale_date string, "
-    "second_sale_date string, has_marketplace int, has_crossdocking int, has_private_label int, has_brands int, "
-    "gmv double")
-
-LIFT_DDL = ("external_user_id string, os string, is_control int, first_interaction date, first_uninstall date, "
-            "gtv decimal(18,2), items bigint, orders bigint")
-
 
 def fields(ddl: str) -> list[tuple[str, str]]:
     """(name, type) pairs of a flat schema string."""
