@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from visitloom.llm.common import from_texts
 
 CHUNK = 1 << 18                # characters of a long text that one task maps at a time
-KEPT = 500_000                 # cached units, and compiled transitions, per worker before they are built anew
+KEPT = 800_000                 # unit counts, and compiled transitions, that a worker keeps before it drops them
 SPACE = "▁"
 START, INNER = "^", "-"       # in front of a chunk: whether its text starts there
 
@@ -110,8 +110,10 @@ class Transducer:
 
     def walk(self, unit: str) -> int:
         """Tokens of one unit, from the start state."""
-        if self.kept > KEPT or len(self.units) > KEPT:
+        if self.kept > KEPT:
             self.reset()
+        if len(self.units) > KEPT:       # counts are quick to find again; compiled transitions stay
+            self.units.clear()
         if len(self.fits) > KEPT:
             self.fits.clear()
         state, total, steps = self.start, 0, self.steps
