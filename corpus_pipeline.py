@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+A document is known by its id in stages that decide by id (near copies, decontamination): rows that repeat
+an id share its decision, and rows without an id stay. All stages keep further columns as they are.
+"""
 
 from __future__ import annotations
 
