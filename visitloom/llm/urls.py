@@ -99,13 +99,14 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     depth = min(MAX_DEPTH, tree.agg(F.max(F.size("parts"))).first()[0] or 0)
     for level in range(depth):
         here = tree.withColumn("segment", F.get("parts", F.lit(level)))
-        sums = here.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-        below = sums.groupBy("host", "template").agg(F.sum("n").alias("below"))
+        # both sides of each join are stored tables, so that a host or template with very many rows is split at run time
+        sums = store(here.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")]))
+        below = store(sums.groupBy("host", "template").agg(F.sum("n").alias("below")))
         sums = sums.join(below, ["host", "template"]).withColumn("child", F.when(F.col("n") >= F.greatest(F.lit(2.0), MIN_SHARE * F.col("below")), F.col("segment")).otherwise(_kind(F.col("segment"))))
         sums = store(sums.select("host", F.col("template").alias("parent"), "segment", "child", "labelled", "bad"))
         children = sums.groupBy("host", "parent", "child").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        merged = children.groupBy("host", "parent").applyInPandas(_merge, "host string, parent string, child string, branch string")
-        names = sums.join(merged, ["host", "parent", "child"]).select(F.col("host").alias("_host"), "parent", F.col("segment").alias("_segment"), "branch")
+        merged = store(children.groupBy("host", "parent").applyInPandas(_merge, "host string, parent string, child string, branch string"))
+        names = store(sums.join(merged, ["host", "parent", "child"]).select(F.col("host").alias("_host"), "parent", F.col("segment").alias("_segment"), "branch"))
         tree = here.join(names, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("parent")) & (F.col("segment") == F.col("_segment")), "left")
         more = F.when(F.lit(level == MAX_DEPTH - 1) & (F.size("parts") > MAX_DEPTH), "/**").otherwise("")
         tree = store(tree.withColumn("template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch", more)))
@@ -113,7 +114,7 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     host = tree.groupBy("host").agg(((F.sum("bad") + SMOOTH * share) / (F.sum("labelled") + SMOOTH)).alias("host_share"))
     leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).join(host, "host")
     leaf = leaf.select("host", "template", ((F.col("bad") + SMOOTH * F.col("host_share")) / (F.col("labelled") + SMOOTH)).alias("purity"))
-    return tree.select("host", "path", "template").join(leaf, ["host", "template"])
+    return store(tree.select("host", "path", "template").join(store(leaf), ["host", "template"]))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, reject: float = REJECT) -> DataFrame:
