@@ -114,6 +114,22 @@ def test_license_texts_with_gaps():
     assert scan("the license of the software is not a notice") == []
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_license_templates_find_themselves(name):
+    scan, text = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE).scan, licenses.TEMPLATES[name]
+    for between in (" ", " and ", " some other words in between here now "):
+        for n in (1, 2, 5):
+            assert [m[:2] for m in scan(between.join([text] * n))] == [(name, 1.0)] * n
+
+
+def test_license_opening_words_inside():
+    scan = licenses.Scanner({"x": "a b c d a b e f a b g h"}, 0.8).scan
+    assert [m[1] for m in scan("a b c d a b e f a b g h a b c d a b z f a b g h")] == [1.0, 11 / 12]
+    gpl = licenses.TEMPLATES["GPL-3.0-header"]
+    changed = gpl.replace("free software", "software").replace("hope that", "hope this program")
+    assert [m[0] for m in licenses.Scanner(licenses.TEMPLATES, 0.8).scan(f"{changed} {gpl} {changed}")] == ["GPL-3.0-header"] * 3
+
+
 def test_toxicity_learns_marks():
     rng = random.Random(5)
     plain = [f"w{n}" for n in range(300)]
