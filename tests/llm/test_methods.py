@@ -7,10 +7,11 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from compare import compare, duck
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from llm.cases import words
-from visitloom.llm import jaccard, licenses, toxicity
+from visitloom.llm import imatch, jaccard, licenses, toxicity
 from visitloom.llm.queries import RUN, SQL
 from visitloom.llm.tokens import Transducer, escaped
 
@@ -165,3 +166,19 @@ def test_held_out_accuracy(spark):
 def test_imatch_separates(spark):
     r = RUN["op10_imatch"](spark, FOLDER).agg({"near_edited": "avg", "near_next": "avg"}).first()
     assert r["avg(near_edited)"] > 3 * r["avg(near_next)"]
+
+
+def test_imatch_near_copies_of_a_third(spark):
+    """A text whose near copies are a third of the rows, and texts of terms that no other has, keep a gradual likeness."""
+    rng = random.Random(9)
+    base, words = [f"b{n}" for n in range(80)], [f"w{n}" for n in range(3000)]
+    rows = []
+    for i in range(0, 900, 3):
+        near = list(base)
+        near[rng.randrange(80)] = f"w{rng.randrange(3000)}"
+        rows += [(i, " ".join(near)), (i + 1, " ".join(rng.sample(words, 80))), (i + 2, " ".join(f"r{i}x{n}" for n in range(80)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = imatch.edited_likeness(df).groupBy((F.col("doc_id") % 3).alias("k")).agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n")).collect()
+    assert len(got) == 3 and all(0.1 < r.e < 0.7 and r.n < 0.05 for r in got), got
+    copied = df.unionByName(df.filter("doc_id = 2").crossJoin(spark.range(500)).select("doc_id", "text"))
+    assert sorted(imatch.lexicon(copied).collect()) == sorted(imatch.lexicon(df).collect())

@@ -1,15 +1,18 @@
 """I-Match fingerprints with randomised lexicons (DataFrame functions only).
 
-The lexicon is the terms inside a band of inverse document frequency over all documents. A document
-frequency of at least ``low`` of the documents leaves at most (mean distinct terms) / low terms, a bound
+The lexicon is the terms inside a band of inverse document frequency over distinct texts: texts whose SKETCH
+smallest hashes of terms agree (copies, and most near copies) count once together, if they are more than a
+ten-thousandth of the rows; there are fewer than 10,000 such groups. A document
+frequency of at least ``low`` of the texts leaves at most (mean distinct terms) / low terms, a bound
 that does not grow with the corpus, so the lexicon can be broadcast. Each of R randomised
-lexicons orders the lexicon at random and falls into two random halves; a text uses of each half the
+lexicons orders all terms at random, with those of the band 2 ** AHEAD times likelier to come first, and falls into
+two random halves; a text uses of each half the
 shortest initial part that holds one of its terms. The terms kept, distinct and sorted, are hashed. Two
-texts' likeness is the share of equal hashes, so it falls gradually with the terms they do not share.
+texts' likeness is the share of equal hashes, so it falls gradually with the terms they do not share, also for
+texts with few or no terms of the band.
 
-Defined cases: a null text counts as empty; a text without lexicon terms is hashed over all its distinct
-terms; two fingerprints of texts without any term are equal. Repeated ids are ordered by text. An
-empty table gives an empty result. Other columns are ignored.
+Defined cases: a null text counts as empty; two fingerprints of texts without any term are equal. Repeated
+ids are ordered by text. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,11 @@ from visitloom.functions.ordered import lay_track, lift_off, scan
 from visitloom.session import store
 
 LEXICONS = 32
-LOW, HIGH = 0.0005, 0.1        # of the documents
+LOW, HIGH = 0.0005, 0.1        # of the distinct texts
+SKETCH = 4
+GROUPS = 10_000                # of copies that count once, at most
+ONE = 1 << 30                  # weight of a row; whole numbers add up to the same in any order
+AHEAD = 5
 ROWS_PER_BLOCK = 20_000        # of the global order of ids, laid out in blocks
 LARGEST = (1 << 63) - 1
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -34,10 +41,19 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Hashes of the terms with low <= document frequency / documents <= high."""
-    n = docs.count()
-    df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.filter((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term")
+    """Hashes of the terms with low <= document frequency / documents <= high, each group of copies taken as one document."""
+    least = [F.array_min(F.transform("terms", lambda t, i=i: F.xxhash64(F.lit(500 + i), t))) for i in range(SKETCH)]
+    rows = docs.select(terms(F.col("text")).alias("terms")).select("terms", F.xxhash64(*least).alias("sketch"))
+    groups = store(rows.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")))
+    n = groups.agg(F.sum("size")).first()[0] or 0
+    heavy = groups.filter(F.col("size") > F.greatest(F.lit(1.0), F.lit(n / GROUPS)))
+    weight = F.coalesce(F.greatest(F.lit(1), F.floor(F.lit(ONE) / F.col("size"))), F.lit(ONE)).cast("long")
+    copies = heavy.agg(F.sum(F.col("size") - 1)).first()[0] or 0
+    n -= copies
+    df = (rows.join(F.broadcast(heavy), "sketch", "left").select(F.explode("terms").alias("term"), weight.alias("weight"))
+          .groupBy("term").agg((F.sum("weight") / float(ONE)).alias("df")))
+    # a group's weights fall short of one by rounding
+    return df.filter((F.col("df") >= max(2.0, low * n) - 0.001) & (F.col("df") <= max(2.0, high * n))).select("term")
 
 
 def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], named: dict[str, str], carry: dict[str, Column] | None = None) -> DataFrame:
@@ -55,17 +71,18 @@ def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], named: d
     long = (texts.select(*keys, F.explode(F.array(*each)).alias("e"))
             .select(*keys, "e.which", *[f"e.{n}" for n in carry], F.explode_outer("e.terms").alias("term"))
             .join(F.broadcast(lexicon.select("term", F.lit(True).alias("known"))), "term", "left"))
-    known, first_half = F.col("known"), lambda r: F.xxhash64(F.lit(1000 + r), F.col("term")) % 2 == 0
-    # all distinct terms, for texts without a lexicon term
-    aggs = [F.sum(F.xxhash64(F.lit(77), F.col("term")) % F.lit(1 << 40)).alias("_all"), F.count("term").alias("_n"), *[F.max(n).alias(n) for n in carry]]
+    long = long.withColumn("_shift", F.when(F.col("term").isNotNull(), F.when(F.col("known"), 1 + AHEAD).otherwise(1)))
+    aggs = [F.max(n).alias(n) for n in carry]
     for r in range(LEXICONS):
-        rank = F.xxhash64(F.lit(r), F.col("term"))
-        aggs += [F.min(F.when(known & first_half(r), rank)).alias(f"_a{r}"), F.min(F.when(known & ~first_half(r), rank)).alias(f"_b{r}")]
+        # the hash's last bit is the half, the others the rank, which is divided for a term of the band
+        hashed = F.xxhash64(F.lit(r), F.col("term"))
+        rank = F.call_function("shiftrightunsigned", hashed, F.col("_shift"))
+        first_half = hashed.bitwiseAND(1) == 0
+        aggs += [F.min(F.when(first_half, rank)).alias(f"_a{r}"), F.min(F.when(~first_half, rank)).alias(f"_b{r}")]
     parts = []
     for r in range(LEXICONS):
         a, b = F.col(f"_a{r}"), F.col(f"_b{r}")
-        none = F.xxhash64(F.lit(r), F.coalesce(F.col("_all"), F.lit(0)), F.col("_n"))
-        h = F.when(a.isNull() & b.isNull(), none).otherwise(F.xxhash64(F.lit(r), F.least(a, b), F.greatest(a, b)))
+        h = F.xxhash64(F.lit(r), F.least(a, b), F.greatest(a, b))
         parts.append(F.lpad(F.lower(F.hex(h.bitwiseAND((1 << 32) - 1))), 8, "0"))
     found = long.groupBy(*keys, "which").agg(*aggs).select(*keys, "which", *carry, F.concat(*parts).alias("_print"))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == i, F.col("_print"))).alias(n) for i, n in enumerate(named.values())], *[F.max(n).alias(n) for n in carry])
