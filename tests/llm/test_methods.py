@@ -151,6 +151,24 @@ def test_toxicity_learns_marks():
     assert sample[start:past] == "grub"
 
 
+def test_toxicity_samples_long_texts_in_pieces(spark, monkeypatch):
+    for name, value in (("SAMPLE_CHARS", 100_000), ("DOC_CHARS", 2000)):
+        monkeypatch.setattr(toxicity, name, value)
+    rows = [(i, "word and other " * (10_000 if i % 3 == 0 else 20)) for i in range(120)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    got = toxicity.sample(spark.createDataFrame(rows, "doc_id long, text string"), marks)
+    assert len(got) > 60 and {t for _, t in got} == {0, 1} and 1900 < max(len(t) for t, _ in got) < 2100
+
+
+def test_toxicity_learns_without_punctuation():
+    rng = random.Random(5)
+    plain = [f"w{n}" for n in range(300)]
+    text = lambda *marks: " ".join(rng.sample([*marks, *rng.choices(plain, k=200)], 200 + len(marks)))
+    model = toxicity.train([(text("grub", "snark"), 1) for _ in range(200)] + [(text(), 0) for _ in range(600)], 0.1)
+    score = lambda t: toxicity.final_score(model, *toxicity.score_texts(model, [t])[0][:2])
+    assert score(text("grub", "snark")) > 0.3 and score(text()) < 0.1
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     rows = RUN["op7_language"](spark, folder).filter("held_out").select("doc_id", "lang_pred").join(

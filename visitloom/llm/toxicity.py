@@ -3,7 +3,8 @@
 Training. The labels are per document, so tokens are labelled first, on a bounded sample of labelled
 documents: a word, or the beginning of one (some languages inflect), marks toxic text if most of the
 sampled documents that have it, or of its uses in them, are toxic; near copies count once. Its tokens in
-toxic documents get tag 1, all others tag 0. A chain with two tags is then fitted to sentences of the sample: features are the word, its
+toxic documents get tag 1, all others tag 0. Of a document over DOC_CHARS, pieces from random places are sampled, so that no
+document displaces others. A chain with two tags is then fitted to sentences of the sample: features are the word, its
 first four and five letters and the words before and after; transitions are learned; Adam on the exact
 gradient from forward-backward.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.llm.common import from_texts, held_out
@@ -33,6 +34,8 @@ from visitloom.llm.words import grams, mix
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 800, 2600       # labelled documents a model is fitted on, at most
 SAMPLE_CHARS = 10_000_000                     # and their characters; further sampled documents are left out
+DOC_CHARS, PIECES = 20_000, 20                # of a longer document, so many characters from so many random places
+SENTENCE = 80                                 # words; a longer sentence is learned from in parts
 MIN_DOCS = 5                                  # a word in fewer sampled documents is not learned
 USES = 4                                      # of a word in one document that count as signs
 PURE = 0.6                                    # held-down toxic share from which a word marks toxic text
@@ -92,6 +95,15 @@ def features(word: str) -> list[str]:
     return [word, *(f"^{word[:n]}" if len(word) >= n else "" for n in (4, 5))]
 
 
+def _pieces(text: Column, seed: Column) -> Column:
+    """A text of up to DOC_CHARS characters as it is; of a longer one a random piece from each of PIECES even stretches."""
+    part = DOC_CHARS // PIECES
+    stretch = F.floor(F.length(text) / PIECES)
+    starts = [F.lit(i) * stretch + F.pmod(F.xxhash64(F.lit(i), seed), F.greatest(stretch - part, F.lit(0)) + 1) for i in range(PIECES)]
+    pieces = F.concat_ws("\n", *[F.substring(text, (at + 1).cast("int"), F.lit(part)) for at in starts])
+    return F.when(F.length(text) > DOC_CHARS, pieces).otherwise(text)
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """(text, toxic) of a bounded random sample of the labelled documents that may be learned from."""
     named = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -99,7 +111,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     picked = [named.filter(F.col("toxic") == t).orderBy("_r", "doc_id").limit(n) for t, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     picked = F.broadcast(picked[0].unionByName(picked[1]))                # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
     rows = (docs.select("doc_id", "text").join(picked, "doc_id").filter(F.col("text").isNotNull())
-            .select("_r", "doc_id", "text", "toxic").orderBy("_r", "doc_id", "text").limit(SAMPLE_TOXIC + SAMPLE_CLEAN))
+            .select("_r", "doc_id", _pieces(F.col("text"), F.col("_r")).alias("text"), "toxic").orderBy("_r", "doc_id", "text").limit(SAMPLE_TOXIC + SAMPLE_CLEAN))
     out, chars = [], 0
     for r in rows.toLocalIterator():
         chars += len(r.text)
@@ -218,11 +230,12 @@ def train(rows: list[tuple[str, int]], share: float, steps: int = 240) -> Model:
         if not len(words):
             continue
         s = np.flatnonzero(np.diff(np.cumsum(stop[d])[~stop[d]], prepend=-1))
+        s = np.flatnonzero((np.arange(len(words)) - np.repeat(s, np.diff(np.append(s, len(words))))) % SENTENCE == 0)
         n = np.diff(np.append(s, len(words)))
         f = place[raw[words]]
         t = ((odds[f].max(1) > PURE) & (label == 1)).astype(float)
         # all sentences with a word that looks toxic, and a tenth of the others
-        keep = ((np.add.reduceat(alike[words].astype(int), s) > 0) | (rng.random(len(s)) < 0.1)) & (n <= 80)
+        keep = (np.add.reduceat(alike[words].astype(int), s) > 0) | (rng.random(len(s)) < 0.1)
         inside = np.repeat(keep, n)
         own.append(f[inside])
         tags.append(t[inside])
