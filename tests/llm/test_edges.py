@@ -101,6 +101,15 @@ def test_url_templates_follow_the_labels(spark):
     assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in rows)
 
 
+def test_url_sections_below_the_share_and_deep_ones(spark):
+    pages = [(i, f"http://h.net/s{chr(97 + i % 100 // 10)}{chr(97 + i % 10)}/page{i}") for i in range(4000)]
+    pages += [(i, f"http://d.net/a/b/c/d/e/f/{'bad' if i % 2 else 'good'}/{i}") for i in range(4000, 4200)]
+    marks = spark.createDataFrame([(i, int(i % 100 < 5 if i < 4000 else i % 2)) for i in range(4200)], "page_id long, bad int")
+    rows = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), marks).collect()
+    assert all((r.verdict == "block") == (r.page_id % 100 < 5 if r.page_id < 4000 else r.page_id % 2 == 1) for r in rows)
+    assert len({r.template for r in rows}) == 4
+
+
 def test_language(spark):
     docs = documents(spark)
     rows = language.predict(docs, language.fit(docs)).collect()

@@ -2,8 +2,10 @@
 
 Templates. Every path is a sequence of segments. Level by level and per host, a segment value stays literal if it
 holds at least MIN_SHARE of the pages below its parent template (so a parent has at most 1 / MIN_SHARE
-literal children), else it becomes the wildcard of its kind: digits, digits with an ending, hexadecimal
-or text. Levels beyond MAX_DEPTH share one wildcard for the rest of the path. Then the children of a parent that have
+literal children of this sort), or if it has MIN_LABELLED labelled pages that differ, by a two-sample G-test, from
+the others of its wildcard; else it becomes the wildcard of its kind: digits, digits with an ending, hexadecimal
+or text. Levels go on beyond MAX_DEPTH as long as a host has MIN_LABELLED labelled pages there; the rest of
+a path shares one wildcard. Then the children of a parent that have
 statistically similar labels, by a two-sample G-test, are merged into one branch, from the top down.
 A template is rejected if its smoothed share of bad labelled pages, drawn to the host's and that to the whole
 table's share, reaches REJECT.
@@ -17,9 +19,12 @@ An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.session import store
@@ -27,6 +32,8 @@ from visitloom.session import store
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 MAX_DEPTH = 6
 MIN_SHARE = 0.02
+MIN_LABELLED = 20
+NAMED = 60                     # members a branch's name lists; of more, the first, their number and a hash
 G_LIMIT = 3.841                # chi-square, one degree of freedom, 5 %
 SMOOTH = 20.0                  # labelled pages the wider share counts for
 REJECT = 0.5
@@ -58,29 +65,48 @@ def _kind(segment: Column) -> Column:
             .when(segment.rlike(r"^[0-9a-fA-F-]{8,}$"), "{hex}").when(segment == "", "").otherwise("{text}"))
 
 
+def _gain(bad_a, good_a, bad_b, good_b) -> np.ndarray:
+    """Two-sample G statistic."""
+    t = np.array([[bad_a, good_a], [bad_b, good_b]], float)
+    e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True) / np.maximum(t.sum((0, 1)), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * np.nansum(np.where(t > 0, t * np.log(t / e), 0), axis=(0, 1))
+
+
+def _differs(bad: Column, labelled: Column, all_bad: Column, all_labelled: Column) -> Column:
+    """Whether a part's labels differ from those of the rest of the whole, by the same statistic."""
+    def cell(t, row, col):
+        return F.when(t > 0, t * F.log(t * all_labelled / (row * col))).otherwise(0.0)
+    rest, rest_bad, good = all_labelled - labelled, all_bad - bad, all_labelled - all_bad
+    return 2 * (cell(bad, labelled, all_bad) + cell(labelled - bad, labelled, good) + cell(rest_bad, rest, all_bad) + cell(rest - rest_bad, rest, good)) >= G_LIMIT
+
+
 def _merge(group: pd.DataFrame) -> pd.DataFrame:
     """Branch names for the children of one parent: similar label shares get one name."""
     g = group.sort_values("child", ignore_index=True)
     rate = (g.bad + 0.5) / (g.labelled + 1.0)
     order = np.lexsort((g.child, rate))
     branches: list[list[int]] = [[int(i)] for i in order]
-
-    def gain(a: list[int], b: list[int]) -> float:
-        t = np.array([[g.bad[i].sum(), g.labelled[i].sum() - g.bad[i].sum()] for i in (a, b)], float)
-        e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True) / max(t.sum(), 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return float(2 * np.nansum(np.where(t > 0, t * np.log(t / e), 0)))
-    while len(branches) > 1:             # neighbours in the order of their shares; at most 1 / MIN_SHARE + kinds of them
-        scores = [gain(a, b) for a, b in zip(branches, branches[1:])]
+    bad, good = g.bad.to_numpy(float)[order], (g.labelled - g.bad).to_numpy(float)[order]
+    scores = _gain(bad[:-1], good[:-1], bad[1:], good[1:])
+    while len(branches) > 1:             # neighbours in the order of their shares
         i = int(np.argmin(scores))
         if scores[i] >= G_LIMIT:
             break
         branches[i: i + 2] = [branches[i] + branches[i + 1]]
+        bad[i], good[i] = bad[i] + bad[i + 1], good[i] + good[i + 1]
+        bad, good, scores = np.delete(bad, i + 1), np.delete(good, i + 1), np.delete(scores, i)
+        for j in (i - 1, i):
+            if 0 <= j < len(scores):
+                scores[j] = _gain(bad[j], good[j], bad[j + 1], good[j + 1])
     name = {}
     for b in branches:
         members = sorted(g.child[i] for i in b)
+        joined = "|".join(members)
+        if len(members) > NAMED:
+            joined = f"{members[0]}|{len(members)} segments {hashlib.sha256(joined.encode()).hexdigest()[:16]}"
         for i in b:
-            name[i] = members[0] if len(members) == 1 else "(" + "|".join(members) + ")"
+            name[i] = joined if len(members) == 1 else f"({joined})"
     return pd.DataFrame({"host": g.host, "parent": g.parent, "child": g.child, "branch": [name[i] for i in range(len(g))]})
 
 
@@ -96,19 +122,27 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     tree = store(seen.withColumn("parts", parts).withColumn("template", F.lit("")))
     total = tree.agg(F.sum("labelled"), F.sum("bad")).first()
     share = float(total[1] or 0) / float(total[0]) if total[0] else 0.0
-    depth = min(MAX_DEPTH, tree.agg(F.max(F.size("parts"))).first()[0] or 0)
+    deep = tree.groupBy("host", F.size("parts").alias("size")).agg(F.sum("labelled").alias("labelled"))
+    deep = deep.withColumn("from_here", F.sum("labelled").over(W.partitionBy("host").orderBy(F.desc("size"))))
+    most, told = deep.agg(F.max("size"), F.max(F.when(F.col("from_here") >= MIN_LABELLED, F.col("size")))).first()
+    depth = max(min(MAX_DEPTH, most or 0), told or 0)
     for level in range(depth):
         here = tree.withColumn("segment", F.get("parts", F.lit(level)))
         # both sides of each join are stored tables, so that a host or template with very many rows is split at run time
         sums = store(here.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")]))
         below = store(sums.groupBy("host", "template").agg(F.sum("n").alias("below")))
         sums = sums.join(below, ["host", "template"]).withColumn("child", F.when(F.col("n") >= F.greatest(F.lit(2.0), MIN_SHARE * F.col("below")), F.col("segment")).otherwise(_kind(F.col("segment"))))
+        sums = store(sums.withColumn("pooled", F.col("n") < F.greatest(F.lit(2.0), MIN_SHARE * F.col("below"))))
+        pools = store(sums.filter("pooled").groupBy("host", "template", "child").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+                      .withColumn("pooled", F.lit(True)))
+        own = (F.col("labelled") >= MIN_LABELLED) & _differs(*map(F.col, ("bad", "labelled", "all_bad", "all_labelled")))
+        sums = sums.join(pools, ["host", "template", "child", "pooled"], "left").withColumn("child", F.when(F.col("pooled") & own, F.col("segment")).otherwise(F.col("child")))
         sums = store(sums.select("host", F.col("template").alias("parent"), "segment", "child", "labelled", "bad"))
         children = sums.groupBy("host", "parent", "child").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         merged = store(children.groupBy("host", "parent").applyInPandas(_merge, "host string, parent string, child string, branch string"))
         names = store(sums.join(merged, ["host", "parent", "child"]).select(F.col("host").alias("_host"), "parent", F.col("segment").alias("_segment"), "branch"))
         tree = here.join(names, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("parent")) & (F.col("segment") == F.col("_segment")), "left")
-        more = F.when(F.lit(level == MAX_DEPTH - 1) & (F.size("parts") > MAX_DEPTH), "/**").otherwise("")
+        more = F.when(F.lit(level == depth - 1) & (F.size("parts") > depth), "/**").otherwise("")
         tree = store(tree.withColumn("template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch", more)))
                      .select("host", "path", "n", "labelled", "bad", "parts", "template"))
     host = tree.groupBy("host").agg(((F.sum("bad") + SMOOTH * share) / (F.sum("labelled") + SMOOTH)).alias("host_share"))
