@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import decontaminate, imatch, jaccard, language, licenses, lines, mixing, tokens, toxicity, urls
+from visitloom.llm import audit, decontaminate, imatch, jaccard, language, licenses, lines, mixing, pigeonhole, repeats, tokens, toxicity, urls
 from visitloom.llm.common import held_out, table
 
 MODEL = "piece_bpe_32k.model"
@@ -69,9 +69,31 @@ def op10_imatch(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.edited_likeness(table(spark, folder, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit_texts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_run_detection(spark: SparkSession, folder: str) -> DataFrame:
+    docs = repeats.repeat_tails(table(spark, folder, "documents").select("doc_id", "text"))
+    out = repeats.find_runs(docs)
+    # the longest run; of those the first, then the shorter period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    lines_ = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-best["s"]).alias("start"), best["length"].alias("length"), (-best["q"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["q"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines_, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+def op13_vector_links(spark: SparkSession, folder: str) -> DataFrame:
+    return pigeonhole.link_vectors(table(spark, folder, "embeddings"))
+
+
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix_sources, op2_license_scan, op3_ngram_jaccard, op4_toxicity, op5_line_dedup, op6_url_filter,
-                            op7_language, op8_decontaminate, op9_token_count, op10_imatch)}
+                            op7_language, op8_decontaminate, op9_token_count, op10_imatch, op11_filter_audit, op12_run_detection,
+                            op13_vector_links)}
 
 _OP1 = r"""
 WITH sized AS (
@@ -149,4 +171,53 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN places p ON d.doc_id = p.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id"""
 
-SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op5_line_dedup": _OP5, "op8_decontaminate": _OP8}
+_OP11 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END AS a, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 1 ELSE 0 END AS b,
+         CASE WHEN 100 * length(regexp_replace(texts.t, '[^A-Z]', '', 'g')) > 3 * length(texts.t) THEN 1 ELSE 0 END AS c,
+         CASE WHEN regexp_matches(texts.t, '[#$%&*|]') THEN 1 ELSE 0 END AS d, CASE WHEN texts.doc_id > first THEN 1 ELSE 0 END AS e
+  FROM texts LEFT JOIN marks ON texts.doc_id = marks.doc_id JOIN firsts ON texts.t = firsts.t),
+cells AS (
+  SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY 1, 2),
+letters AS (SELECT i, substr('ABCDE', i, 1) AS f, 1 << (i - 1) AS bit FROM range(1, 6) r(i)),
+orders AS (
+  SELECT l1.f || l2.f || l3.f || l4.f || l5.f AS filter_order, [l1.bit, l2.bit, l3.bit, l4.bit, l5.bit] AS bits
+  FROM letters l1, letters l2, letters l3, letters l4, letters l5
+  WHERE l1.bit + l2.bit + l3.bit + l4.bit + l5.bit = 31 AND l1.bit <> l2.bit AND (l1.bit | l2.bit | l3.bit | l4.bit | l5.bit) = 31),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS BIGINT) AS before
+  FROM (SELECT filter_order, bits, unnest(range(1, 6)) AS step FROM orders)),
+parts AS (SELECT DISTINCT part FROM cells),
+counted AS (
+  SELECT p.part, filter_order, step, s.bit,
+         coalesce(sum(n) FILTER ((mask & (s.before | s.bit)) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER ((mask & s.before) = 0 AND (mask & s.bit) <> 0), 0) AS removed,
+         coalesce(sum(n) FILTER ((mask & s.before) <> 0 AND (mask & s.bit) <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = s.bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER ((mask & s.before) = 0 AND (mask & s.bit) <> 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER ((mask & s.before) = 0 AND (mask & s.bit) <> 0), 0) AS toxic_lost
+  FROM parts p JOIN cells c ON p.part = c.part CROSS JOIN steps s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted"""
+
+_OP13 = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT u AS vec_id, (SELECT count(*) FROM links l WHERE l.u = reach.u) AS n_links, min(v) AS component_id, min(v) = u AS kept
+FROM reach GROUP BY u"""
+
+SQL: dict[str, str] = {"op1_mix_sources": _OP1, "op5_line_dedup": _OP5, "op8_decontaminate": _OP8, "op11_filter_audit": _OP11, "op13_vector_links": _OP13}
