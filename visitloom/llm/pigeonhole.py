@@ -31,7 +31,7 @@ from visitloom.session import store
 
 SAMPLE = 4096                  # distinct vectors that shape rotation and cells
 WIDTH = 16                     # axes in a block
-TILE = 8192                    # vectors of a tile: what one task holds of either side
+TILE = 16384                   # vectors of a tile: what one task holds of either side
 DEPTH = 10                     # splits of a block's tree: at most 2 ** DEPTH cells
 CHUNK = 256                    # rows compared at once
 SLACK = 1e-5                   # added to the squared distance for the rounding of single-precision axes
