@@ -70,8 +70,8 @@ def hazard_coefficients(model, features: list[str]) -> list[tuple[str, float]]:
     return [(f, -float(c) / model.scale) for f, c in zip(features, model.coefficients)]
 
 
-def concordance(df: DataFrame, risk: str, dur: str = "week", event: str = "event") -> DataFrame:
-    """Share of comparable pairs in which the earlier event has the higher risk (ties half).
+def concordance(df: DataFrame, risk: str, dur: str = "week", event: str = "event", by=()) -> DataFrame:
+    """Share of comparable pairs in which the earlier event has the higher risk (ties half), per group ``by``.
 
     Pairs are never built. "A later week" splits by the highest bit in which two weeks differ: the later
     one has it set and both agree above it. So each row enters one group per bit of the
@@ -79,15 +79,15 @@ def concordance(df: DataFrame, risk: str, dur: str = "week", event: str = "event
     compared as they are.
     """
     cells = store(df.filter(F.col(risk).isNotNull() & F.col(dur).isNotNull())
-                  .groupBy(F.col(dur).cast("long").alias("w"), F.col(risk).cast("double").alias("r"))
+                  .groupBy(*by, F.col(dur).cast("long").alias("w"), F.col(risk).cast("double").alias("r"))
                   .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(event).cast("long")).alias("e")))
     bits = max(1, int(cells.agg(F.max("w")).first()[0] or 0).bit_length())
     halves = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     later = F.expr("shiftright(w, bit) & 1") == 1
-    groups = halves.groupBy("bit", F.expr("shiftright(w, bit + 1)").alias("above"), "r").agg(
+    groups = halves.groupBy(*by, "bit", F.expr("shiftright(w, bit + 1)").alias("above"), "r").agg(
         F.coalesce(F.sum(F.when(later, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(~later, F.col("e"))), F.lit(0)).alias("e"))
-    laid, track = lay_track(store(groups), ["bit", "above"], ["r"])
+    laid, track = lay_track(store(groups), [*by, "bit", "above"], ["r"])
     ranked = lift_off(scan(laid, track, lower=("prior_sum", "n")))
-    per = ranked.groupBy("bit", "above").agg(
+    per = ranked.groupBy(*by, "bit", "above").agg(
         (F.sum("e") * F.sum("n")).alias("pairs"), F.sum(F.col("e") * (F.col("lower") + F.col("n") / 2)).alias("good"))
-    return per.agg(F.sum("pairs").alias("pairs"), F.try_divide(F.sum("good"), F.sum("pairs")).alias("c_index"))
+    return (per.groupBy(*by) if by else per).agg(F.sum("pairs").alias("pairs"), F.try_divide(F.sum("good"), F.sum("pairs")).alias("c_index"))

@@ -11,6 +11,7 @@ from visitloom.operators import attribution as A
 from visitloom.operators import catalog as C
 from visitloom.operators.ml import encode as E
 from visitloom.operators.ml import evaluate as V
+from visitloom.operators.ml import hazard as Z
 from visitloom.operators.ml import hmm as H
 from visitloom.operators.ml import models as M
 from visitloom.operators.ml import survival as S
@@ -357,28 +358,106 @@ def m22_c(t):
     return rounded(S.concordance(durations(t).withColumn("risk", F.col("gmv")), "risk"), "c_index")
 
 
-@query("m22_hazard_coefficients")
-def m22_aft(t):
-    model = S.fit_survival(durations(t), ["age", "gmv"])
-    return t.spark.createDataFrame(S.hazard_coefficients(model, ["age", "gmv"]), "feature string, coefficient double")
+SURVIVAL_FEATURES = ["age", "gmv"]
+NEWTON_STEPS = 9
 
 
-SURVIVAL_FEATURES = ["age", "gmv"]
+def _newton_sql() -> str:
+    """Newton steps on the partial likelihood of age and gmv, one group of CTEs per step; ends in ``beta`` (x, y)."""
+    out = f"""{DUR}, ok AS (SELECT * FROM du WHERE age IS NOT NULL AND gmv IS NOT NULL AND week IS NOT NULL),
+mid AS (SELECT avg(age::DOUBLE) AS ma, avg(gmv::DOUBLE) AS mg FROM ok),
+ce AS MATERIALIZED (SELECT fk_customer, week, event, age::DOUBLE - ma AS a, gmv::DOUBLE - mg AS g FROM ok, mid),
+b0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS x, 0.0::DOUBLE AS y)"""
+    sums = ("e", "a * e", "g * e", "a * a * e", "a * g * e", "g * g * e")
+    for k in range(1, NEWTON_STEPS + 1):
+        out += f""",
+w{k} AS MATERIALIZED (SELECT week, sum(event) AS d, sum(event * a) AS xa, sum(event * g) AS xg, {', '.join(f'sum({c}) AS s{i}' for i, c in enumerate(sums))}
+  FROM (SELECT *, exp(a * x + g * y) AS e FROM ce, b{k - 1}) GROUP BY week),
+r{k} AS MATERIALIZED (SELECT week, d, xa, xg, {', '.join(f'sum(s{i}) OVER (ORDER BY week DESC) AS r{i}' for i in range(6))} FROM w{k}),
+q{k} AS MATERIALIZED (SELECT sum(xa - d * r1 / r0) AS ga, sum(xg - d * r2 / r0) AS gg, sum(d * (r3 / r0 - (r1 / r0) ** 2)) AS haa,
+  sum(d * (r4 / r0 - r1 * r2 / r0 ** 2)) AS hag, sum(d * (r5 / r0 - (r2 / r0) ** 2)) AS hgg FROM r{k}),
+b{k} AS MATERIALIZED (SELECT x + (ga * hgg - gg * hag) / (haa * hgg - hag ** 2) AS x, y + (gg * haa - ga * hag) / (haa * hgg - hag ** 2) AS y FROM b{k - 1}, q{k})"""
+    return out + f""",
+base AS MATERIALIZED (SELECT week, d, r0, d / r0 AS hazard, sum(d / r0) OVER (ORDER BY week) AS cumulative
+  FROM (SELECT week, d, sum(s0) OVER (ORDER BY week DESC) AS r0 FROM (SELECT week, sum(event) AS d, sum(exp(a * x + g * y)) AS s0 FROM ce, b{NEWTON_STEPS} GROUP BY week))),
+sv AS MATERIALIZED (SELECT ce.*, {', '.join(f'exp(-coalesce((SELECT max(cumulative) FILTER (week <= {w}) FROM base), 0) * exp(a * x + g * y)) AS w{w}' for w in S.REPORT_WEEKS)} FROM ce, b{NEWTON_STEPS})"""
+
+
+HAZARD = _newton_sql()
+
+
+def _hazard_model(df):
+    return Z.fit_hazard(df, SURVIVAL_FEATURES)
 
 
-@query("m22_customer_survival")
+@query("m22_hazard_coefficients", f"WITH {HAZARD} SELECT 'age' AS feature, round(x, 8) AS coefficient FROM b{NEWTON_STEPS} UNION ALL SELECT 'gmv', round(y, 8) FROM b{NEWTON_STEPS}")
+def m22_hazard(t):
+    """Proportional-hazards coefficients by Newton steps on the partial likelihood."""
+    model = _hazard_model(durations(t))
+    out = t.spark.createDataFrame(list(zip(model.features, model.coefficients)), "feature string, coefficient double")
+    return rounded(out, "coefficient", digits=8)
+
+
+@query("m22_baseline_hazard", f"WITH {HAZARD} SELECT CAST(week AS BIGINT) AS week, CAST(d AS BIGINT) AS events, round(r0, 4) AS at_risk, round(hazard, 8) AS hazard, round(cumulative, 7) AS cumulative FROM base")
+def m22_baseline(t):
+    df = store(durations(t))
+    out = Z.baseline_hazard(df, _hazard_model(df))
+    return rounded(rounded(rounded(out, "at_risk", digits=4), "hazard", digits=8), "cumulative", digits=7)
+
+
+@query("m22_customer_survival", f"WITH {HAZARD} SELECT fk_customer, {', '.join(f'round(w{w}, 6) AS w{w}' for w in S.REPORT_WEEKS)} FROM sv")
 def m22_customers(t):
-    df = durations(t)
-    return S.customer_survival(S.fit_survival(df, SURVIVAL_FEATURES), df, "fk_customer", SURVIVAL_FEATURES)
+    df = store(durations(t))
+    model = _hazard_model(df)
+    return rounded(Z.survival_of(model, Z.baseline_hazard(df, model), df, "fk_customer"), *[f"w{w}" for w in S.REPORT_WEEKS])
 
 
-@query("m22_decile_validation")
+@query("m22_decile_validation", f"""WITH {HAZARD}, se AS (SELECT round(1 - w9, 6) AS p, CASE WHEN event = 1 AND week <= 9 THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM sv WHERE event = 1 OR week >= 9),
+qs AS (SELECT {', '.join(f'quantile_cont(p, {i / 10}) AS e{i}' for i in range(1, 10))} FROM se),
+de AS (SELECT {' + '.join(f'CASE WHEN p > e{i} THEN 1 ELSE 0 END' for i in range(1, 10))} AS decile, p, y FROM se, qs)
+SELECT decile, round(avg(y), 6) AS label_mean, round(avg(p), 6) AS pred_mean, round(sqrt(avg((y - p) ** 2)) / nullif(avg(y), 0), 5) AS normalized_rmse,
+  round(avg(abs(y - p)) / nullif(avg(y), 0), 5) AS normalized_mae, round(abs(avg(p) - avg(y)) / nullif(avg(y), 0), 5) AS decile_mape FROM de GROUP BY 1""")
 def m22_deciles(t):
     """Predicted against observed repurchase by week 9, per decile of the prediction."""
-    df = durations(t)
-    scored = S.customer_survival(S.fit_survival(df, SURVIVAL_FEATURES), df, "fk_customer", SURVIVAL_FEATURES, keep=["week", "event"])
-    seen = scored.filter("event = 1 OR week >= 9").select("fk_customer", (1 - F.col("w9")).alias("pred"), ((F.col("event") == 1) & (F.col("week") <= 9)).cast("int").alias("bought"))
-    return V.decile_stats(store(seen), "bought", "pred")
+    df = store(durations(t))
+    model = _hazard_model(df)
+    scored = Z.survival_of(model, Z.baseline_hazard(df, model), df, "fk_customer", keep=["week", "event"])
+    seen = scored.filter("event = 1 OR week >= 9").select("fk_customer", F.round(1 - F.col("w9"), 6).alias("pred"), ((F.col("event") == 1) & (F.col("week") <= 9)).cast("int").alias("bought"))
+    out = rounded(V.decile_stats(store(seen), "bought", "pred"), "label_mean", "pred_mean")
+    return rounded(out, "normalized_rmse", "normalized_mae", "decile_mape", digits=5)
+
+
+@query("m22_accelerated_failure")
+def m22_aft(t):
+    """The Weibull accelerated-failure model, as proportional-hazards coefficients."""
+    model = S.fit_survival(durations(t), SURVIVAL_FEATURES)
+    return t.spark.createDataFrame(S.hazard_coefficients(model, SURVIVAL_FEATURES), "feature string, coefficient double")
+
+
+SELECTION_FOLDS = 5
+
+
+def _selection_rows(t):
+    fo = first_orders(t, True)
+    date = lambda c: F.try_to_date(c, "yyyyMMdd")
+    df = S.weekly_durations(fo.select("fk_customer", "channel", "device", "gender", "age", "gmv", date("first_sale_date").alias("f"), date("second_sale_date").alias("s")), "f", "s", AS_OF)
+    df, made = Z.dummies(store(df), ["channel", "device", "gender"])
+    features = SURVIVAL_FEATURES + made
+    return Z.usable(df, features, fold=F.col("fk_customer") % SELECTION_FOLDS), features
+
+
+@query("m22_selection_grid")
+def m22_grid(t):
+    """Concordance on the held fold of the k features with the best univariate concordance, for every k and fold."""
+    rows, features = _selection_rows(t)
+    return rounded(Z.selection_grid(rows, features, range(1, len(features) + 1), SELECTION_FOLDS), "c_index")
+
+
+@query("m22_fold_scores")
+def m22_fold_scores(t):
+    """Univariate hazard fits on all folds but one, with the concordance that ranks the features."""
+    rows, features = _selection_rows(t)
+    return rounded(Z.univariate_scores(rows, features, range(SELECTION_FOLDS)), "coefficient", "c_index")
 
 
 @query("m22_univariate_scores", f"""WITH {DUR}, {', '.join(f"c_{x} AS (SELECT count(*) AS pairs, sum(CASE WHEN a.{x} > b.{x} THEN 1 WHEN a.{x} = b.{x} THEN 0.5 ELSE 0 END) AS good FROM du a JOIN du b ON a.event = 1 AND a.week < b.week AND a.{x} IS NOT NULL AND b.{x} IS NOT NULL)" for x in ("age", "gmv"))}
