@@ -17,7 +17,7 @@ from visitloom.operators.ml import models as M
 from visitloom.operators.ml import survival as S
 from visitloom.plans import inputs as N
 from visitloom.plans.journeys import LONG, path_rows
-from visitloom.plans.registry import query, rounded
+from visitloom.plans.registry import as_int, query, rounded
 from visitloom.plans.shelf import CLEAN_SQL, STOP
 from visitloom.plans.retail import AS_OF, LABELS, first_orders, labelled
 from visitloom.session import store
@@ -498,17 +498,63 @@ def _views(t):
     return store(path_rows(t).select("gid", "conv_group", "pos", "medium", "n_views", "is_to_cart", F.col("value").cast("double").alias("value")))
 
 
+PATH_KEYS = ["gid", "conv_group"]
+# The engagement funnel's weights. Paths move onward only and leave from the last state.
+FUNNEL = H.topology([0.5, 0.3, 0.2, 0.0], [[1, 1, 1, 1], [0, 1, 1, 1], [0, 0, 1, 1], [0, 0, 0, 1]], [0, 0, 0, 4], [0.25, 0.5, 1.0, 2.0])
+
+
+VIEWED = f"""{LONG}, viewed AS (SELECT long.*, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS n_views FROM long JOIN events ON event_id = visit_id)"""
+
+
+def _best_path_sql(p: H.HmmParams) -> str:
+    """The best path by a recursion over the visits of every path; NEVER stands for what the model forbids."""
+    k, units = range(p.states), lambda v: H._units(v).tolist()
+    start, trans, end = units(p.start), units(p.trans), units(p.end)
+    raw = [f"(o * ln({float(r)!r}::DOUBLE) - {float(r)!r}::DOUBLE)" for r in p.rates]
+    emit = ", ".join(f"CAST(floor(({x} - greatest({', '.join(raw)})) * {H.SCORE} + 0.5) AS BIGINT) AS e{j}" for j, x in enumerate(raw))
+    top = lambda j: f"greatest({', '.join(f'v{i} + {trans[i][j]}' for i in k)})"
+    came = lambda j: "CASE " + " ".join(f"WHEN v{i} + {trans[i][j]} = {top(j)} THEN p{i}" for i in k) + f" END || '{j}'"
+    last = f"greatest({', '.join(f'v{j} + {end[j]}' for j in k)})"
+    return f"""WITH RECURSIVE {VIEWED},
+ob AS MATERIALIZED (SELECT gid, conv_group, pos, n_touches, o, {emit} FROM (SELECT gid, conv_group, pos, n_touches, n_views::DOUBLE AS o FROM viewed)),
+go AS (
+  SELECT gid, conv_group, pos, n_touches, {', '.join(f"greatest({start[j]} + e{j}, {H.NEVER}) AS v{j}, '{j}' AS p{j}" for j in k)} FROM ob WHERE pos = 1
+  UNION ALL
+  SELECT go.gid, go.conv_group, ob.pos, go.n_touches, {', '.join(f"greatest({top(j)} + e{j}, {H.NEVER}), {came(j)}" for j in k)}
+  FROM go JOIN ob ON go.gid = ob.gid AND go.conv_group = ob.conv_group AND ob.pos = go.pos + 1),
+fin AS (SELECT gid, conv_group, CASE {' '.join(f"WHEN {last} > {H.NEVER // 2} AND v{j} + {end[j]} = {last} THEN p{j}" for j in k)} END AS path FROM go WHERE pos = n_touches)
+SELECT ob.gid, ob.conv_group, ob.pos, o AS obs, CAST(substr(path, CAST(ob.pos AS INTEGER), 1) AS INTEGER) AS state FROM ob JOIN fin ON ob.gid = fin.gid AND ob.conv_group = fin.conv_group"""
+
+
+@query("m23_best_path", _best_path_sql(FUNNEL))
+def m23_best_path(t):
+    """Most probable states of every path under the funnel as it is given; paths it rules out have none."""
+    return as_int(H.hmm_best_path(_views(t), FUNNEL, PATH_KEYS), "conv_group")
+
+
+def _fits(t):
+    """Both models, fitted: the funnel from its weights, and one without a topology."""
+    v = _views(t)
+    return {"funnel": H.hmm_fit(v, PATH_KEYS, start=FUNNEL), "free": H.hmm_fit(v, PATH_KEYS)}
+
+
+@query("m23_two_models")
+def m23_models(t):
+    """Parameters and log-likelihood by round of the two models side by side."""
+    rows = [(name, *r) for name, (p, history) in _fits(t).items()
+            for r in [*H.parameter_rows(p), *(("loglik", i, -1, h) for i, h in enumerate(history))]]
+    return rounded(t.spark.createDataFrame(rows, "model string, kind string, from_state int, to_state int, value double"), "value", digits=4)
+
+
 @query("m23_hmm_decode")
 def m23(t):
     v = _views(t)
-    params, _ = H.hmm_fit(v, ["gid", "conv_group"], iters=3)
-    return rounded(H.hmm_decode(v, params, ["gid", "conv_group"]), "posterior")
+    return rounded(H.hmm_decode(v, H.hmm_fit(v, PATH_KEYS)[0], PATH_KEYS), "posterior")
 
 
 def _decoded(t):
     v = _views(t)
-    return store(H.hmm_decode(v, H.hmm_fit(v, ["gid", "conv_group"], iters=3)[0], ["gid", "conv_group"]).withColumnRenamed("obs", "_obs")
-                 .join(v, ["gid", "conv_group", "pos"]))
+    return store(H.hmm_decode(v, H.hmm_fit(v, PATH_KEYS)[0], PATH_KEYS).withColumnRenamed("obs", "_obs").join(v, [*PATH_KEYS, "pos"]))
 
 
 MEASURES = ["n_views", "is_to_cart"]
@@ -531,13 +577,32 @@ def m23_by_client(t):
                                           *[F.count_if(F.col("state") == s).alias(f"state_{s}") for s in range(4)])
 
 
+@query("m23_decoded_by_order")
+def m23_by_order(t):
+    """Per client and number of earlier orders: mean state, views and cart visits, and the value."""
+    known = F.when(F.col("value") >= 0, F.col("value"))
+    out = _decoded(t).groupBy("gid", F.col("conv_group").alias("num_orders")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("state").alias("mean_state"), F.avg("n_views").alias("mean_n_views"), F.avg("is_to_cart").alias("mean_is_to_cart"),
+        F.count(known).alias("value_count"), F.sum(known).alias("value_sum"), F.avg(known).alias("value_mean"))
+    return rounded(out, "mean_state", "mean_n_views", "mean_is_to_cart", "value_sum", "value_mean", digits=4)
+
+
+@query("m23_values_by_order", f"""WITH {VIEWED} SELECT gid, CAST(conv_group AS BIGINT) AS num_orders, count(*) AS n, round(avg(n_views), 4) AS mean_n_views,
+  count(value) FILTER (value >= 0) AS value_count, round(sum(value::DOUBLE) FILTER (value >= 0), 4) AS value_sum FROM viewed GROUP BY 1, 2""")
+def m23_values(t):
+    """The part of ``m23_decoded_by_order`` that does not depend on the fit."""
+    return as_int(m23_by_order(t).select("gid", "num_orders", "n", "mean_n_views", "value_count", "value_sum"), "num_orders")
+
+
 @query("m23_visits_by_client", f"WITH {LONG} SELECT gid, count(*) AS n FROM long GROUP BY 1")
 def m23_visits(t):
     """Every visit is decoded exactly once."""
     return _decoded(t).groupBy("gid").agg(F.count("state").alias("n"))
 
 
-@query("m23_state_summary", f"""WITH tt AS ({N.TOUCHES}) SELECT sess % 4 AS state, count(*) AS n, round(avg(sess_end - sess), 4) AS mean_len, round(quantile_cont(sess_end - sess, 0.5), 4) AS median_len FROM tt GROUP BY 1""")
+@query("m23_state_summary", f"""WITH bp AS ({_best_path_sql(FUNNEL)}) SELECT state, count(*) AS n, round(avg(obs), 4) AS mean_obs, round(quantile_cont(obs, 0.5), 4) AS median_obs FROM bp GROUP BY 1""")
 def m23_summary(t):
-    v = N.touches_in(t).select((F.col("sess") % 4).alias("state"), (F.col("sess_end") - F.col("sess")).alias("len"))
-    return rounded(H.state_summary(v, "state", ["len"]), "mean_len", "median_len", digits=4)
+    """Visits by best-path state with mean and median views; paths without one under a null state."""
+    out = store(H.hmm_best_path(_views(t), FUNNEL, PATH_KEYS)).withColumn("state", F.coalesce("state", F.lit(-1)))
+    out = H.state_summary(out, "state", ["obs"]).withColumn("state", F.when(F.col("state") >= 0, F.col("state")))
+    return rounded(out, "mean_obs", "median_obs", digits=4)
