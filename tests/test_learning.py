@@ -102,3 +102,46 @@ def test_batch_score_shape(spark, scored):
     out = M.batch_score({"15": model, "30": model}, df, "id")
     assert out.columns == ["id", "pred_15", "conf_15", "pred_30", "conf_30"] and out.count() == 400
     assert {r[0] for r in out.select("pred_15").distinct().collect()} <= {"no", "yes"}
+
+
+def plain_neighbour_information(x, y, k):
+    """sum over rows, each compared with all rows."""
+    psi = lambda m: sum(1 / i for i in range(1, int(m))) - 0.5772156649015329
+    rows, total = [], 0.0
+    for c in set(y):
+        mine = [v for v, t in zip(x, y) if t == c]
+        if len(mine) > 1:
+            rows += [(v, sorted(abs(v - w) for w in mine)[min(k, len(mine) - 1)], len(mine)) for v in mine]
+    every = [v for v, _, _ in rows]
+    for v, r, size in rows:
+        m = sum(abs(v - w) < r for w in every) if r > 0 else every.count(v)
+        total += psi(min(k, size - 1)) - psi(size) - psi(m)
+    return max(0.0, psi(len(rows)) + total / len(rows))
+
+
+@pytest.mark.parametrize("min_rows", [None, 20])
+def test_nearest_neighbour_information(spark, min_rows):
+    rng = np.random.default_rng(8)
+    y = [*rng.integers(0, 3, 150).tolist(), 9]                  # class 9 has one row
+    x = [float(v) for v in np.round(rng.normal(0, 30, 151) + 40 * np.array(y))]
+    z = [float(v) for v in rng.integers(0, 4, 151)]
+    df = spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate(zip(x, z, y))] + [(999, None, 1.0, 0)], "id int, x double, z double, y int")
+    got = {r.feature: (r.mi, r.total_correlation) for r in V.nearest_mutual_info(df, ["x", "z"], "y", "id", min_rows=min_rows).collect()}
+    want = plain_neighbour_information(x, y, 3)
+    assert got["x"][0] == pytest.approx(want, abs=1e-9) and want > 0.3
+    assert got["x"][1] == pytest.approx(np.sqrt(1 - np.exp(-2 * want)))
+    assert got["z"][0] == pytest.approx(plain_neighbour_information(z + [1.0], y + [0], 3), abs=1e-9)
+
+
+def test_document_vectors_have_length_one(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a", "rare"]), (2, ["b", "c"]), (3, []), (4, ["other"])], "doc int, words array<string>")
+    vocab = M.vocabulary(df, "doc", "words", 3)
+    assert [r.term for r in vocab.orderBy("index").collect()] == ["a", "b", "c"]
+    rows = M.document_vectors(df, "doc", "words", vocab, 4)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.doc, {})[r.term] = r.weight
+    raw = np.array([2 * (np.log(5 / 2) + 1), np.log(5 / 3) + 1])
+    assert set(got) == {1, 2} and np.allclose([got[1]["a"], got[1]["b"]], raw / np.linalg.norm(raw))
+    vec = M.as_features(rows, "doc", 3).filter("doc = 1").first()["features"]
+    assert vec.size == 3 and vec[2] == 0 and vec.norm(2) == pytest.approx(1)

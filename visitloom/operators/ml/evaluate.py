@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.functions.ordered import ALL, lay_track, lift_off, quantiles, scan
+from visitloom.session import store
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -179,3 +180,48 @@ def mutual_info(df: DataFrame, score: str, label: str, bins: int = 20) -> DataFr
     terms = cells.select((F.col("_n") / n * F.ln(F.col("_n") * n / (pb * py))).alias("t"))
     mi = F.greatest(F.sum("t"), F.lit(0.0))
     return terms.agg(mi.alias("mi")).withColumn("total_correlation", F.sqrt(1 - F.exp(-2 * F.col("mi"))))
+
+
+def _digamma(m):
+    """Of whole numbers from 1 on: the recurrence up to m + 6 and four terms of the asymptotic series there."""
+    m = m.cast("double")
+    x = m + 6
+    steps = sum(((F.lit(1.0) / (m + j)) for j in range(1, 6)), F.lit(1.0) / m)
+    return F.ln(x) - 1 / (2 * x) - 1 / (12 * x ** 2) + 1 / (120 * x ** 4) - 1 / (252 * x ** 6) - steps
+
+
+def nearest_mutual_info(df: DataFrame, features, label: str, id_col: str, k: int = 3, min_rows: int | None = None) -> DataFrame:
+    """Nearest-neighbour mutual information of each numeric feature and a class: feature, mi, total_correlation.
+
+    A row's radius is the distance to its k-th nearest row of the same class (fewer in smaller classes; classes of one
+    row are left out), and the rows of all classes nearer than that are counted, itself included; at radius 0 its
+    ties are. With one sorted dimension the neighbours are among k rows on either side, which lags and leads reach,
+    and the counts are running sums over rows and radius ends in one order. Both are ordered scans that split
+    large classes and features; no pairs are built. Negative estimates are 0. Null features are left out.
+    """
+    entries = F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_x")) for f in features])
+    long = df.select(F.col(id_col).alias("_id"), F.col(label).alias("_y"), F.explode(entries).alias("_e")).select("_id", "_y", "_e.*")
+    long = store(long.filter("_x IS NOT NULL AND NOT isnan(_x) AND _y IS NOT NULL"))
+    sizes = long.groupBy("_f", "_y").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    laid, track = lay_track(store(long.join(sizes, ["_f", "_y"])), ["_f", "_y"], ["_x", "_id"], min_rows=min_rows)
+    before = after = "_x"
+    sides = []
+    for j in range(1, k + 1):
+        laid = scan(laid, track, **{f"_b{j}": ("lag", before), f"_a{j}": ("lead", after)})
+        before, after = f"_b{j}", f"_a{j}"
+        sides += [before, after]
+    near = lift_off(laid).withColumn("_k", F.least(F.lit(k), F.col("_size") - 1).cast("int"))
+    distances = F.array_sort(F.filter(F.array(*[F.abs(F.col(c) - F.col("_x")) for c in sides]), lambda d: d.isNotNull()))
+    near = store(near.withColumn("_r", F.element_at(distances, F.col("_k"))).select("_f", "_id", "_x", "_r", "_k", "_size"))
+    # radius ends: open, so the lower one counts rows up to it and the upper one rows below it; closed at radius 0
+    ends = near.select("_f", "_id", "_x", F.explode(F.array(
+        F.struct((F.col("_x") - F.col("_r")).alias("_v"), F.when(F.col("_r") > 0, 2).otherwise(0).alias("_kind"), F.lit(-1).alias("_sign")),
+        F.struct((F.col("_x") + F.col("_r")).alias("_v"), F.when(F.col("_r") > 0, 0).otherwise(2).alias("_kind"), F.lit(1).alias("_sign")))).alias("_e"))
+    ends = ends.select("_f", "_id", "_e.*", F.lit(0).alias("_n"))
+    points = near.select("_f", "_id", F.col("_x").alias("_v"), F.lit(1).alias("_kind"), F.lit(0).alias("_sign"), F.lit(1).alias("_n"))
+    laid, track = lay_track(store(points.unionByName(ends)), ["_f"], ["_v", "_kind", "_id", "_sign"], min_rows=min_rows)
+    inside = lift_off(scan(laid, track, _below=("prior_sum", "_n"))).filter("_n = 0").groupBy("_f", "_id").agg(F.sum(F.col("_sign") * F.col("_below")).alias("_m"))
+    both = near.join(inside, ["_f", "_id"])
+    mi = _digamma(F.count(F.lit(1))) + F.avg(_digamma(F.col("_k")) - _digamma(F.col("_size")) - _digamma(F.col("_m")))
+    out = both.groupBy(F.col("_f").alias("feature")).agg(F.greatest(mi, F.lit(0.0)).alias("mi"))
+    return out.withColumn("total_correlation", F.sqrt(1 - F.exp(-2 * F.col("mi"))))

@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -166,6 +167,37 @@ def mean_term_weight(df: DataFrame, tokens: str, terms: int = 500) -> DataFrame:
     return top.select("term", (F.col("_tf") / docs * F.ln((docs + 1) / (F.col("_df") + 1))).alias("weight"))
 
 
+def vocabulary(df: DataFrame, id_col: str, tokens: str, terms: int = 500) -> DataFrame:
+    """The ``terms`` most frequent terms (ties by term): term, index from 0 on, documents with it."""
+    per = (df.select(F.col(id_col).alias("_d"), F.explode(tokens).alias("term")).groupBy("term")
+           .agg(F.count(F.lit(1)).alias("_tf"), F.countDistinct("_d").alias("docs")))
+    top = per.orderBy(F.desc("_tf"), "term").limit(terms)
+    return top.select("term", (F.row_number().over(W.orderBy(F.desc("_tf"), "term")) - 1).alias("index"), "docs")
+
+
+def document_vectors(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame, n_docs: int) -> DataFrame:
+    """Sparse tf-idf vectors as rows (id, term, index, weight), of Euclidean length 1 per document.
+
+    A weight is the term's count in the document times ln((1 + n_docs) / (1 + docs)) + 1, over the document's
+    length. Counts per (document, term) are aggregated before anything else, and the vocabulary is bounded, so it
+    is broadcast; a document has at most as many rows as the vocabulary. Ids must be unique.
+    """
+    counts = df.select(id_col, F.explode(tokens).alias("term")).join(F.broadcast(vocab), "term").groupBy(id_col, "term", "index", "docs").agg(F.count(F.lit(1)).alias("_tf"))
+    raw = F.col("_tf") * (F.ln(F.lit(1.0 + n_docs) / (1 + F.col("docs"))) + 1)
+    rows = counts.withColumn("_raw", raw)
+    length = F.sqrt(F.sum(F.col("_raw") ** 2).over(W.partitionBy(id_col)))
+    return rows.select(id_col, "term", "index", (F.col("_raw") / length).alias("weight"))
+
+
+def as_features(vectors: DataFrame, id_col: str, terms: int) -> DataFrame:
+    """One ``features`` vector per document from its (index, weight) rows, at most ``terms`` of them."""
+    from pyspark.ml.functions import array_to_vector
+
+    held = vectors.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("index", "weight"))).alias("_m"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(terms - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+    return held.select(id_col, array_to_vector(values).alias("features"))
+
+
 def cluster_vs_label(clustered: DataFrame, label: str) -> DataFrame:
     return clustered.groupBy(F.col("prediction").alias("cluster"), F.col(label).alias("label")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -154,6 +154,42 @@ def m12(t):
     return rounded(M.mean_term_weight(_tokens(t), "words", 500), "weight")
 
 
+TERMS = 500
+VECTORS = f"""d AS (SELECT doc_id, lang, string_split({_CLEAN}, ' ') AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS term FROM d),
+p AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY 1 ORDER BY count(*) DESC, term LIMIT {TERMS}),
+c AS (SELECT doc_id, term, count(*) * (ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1 + any_value(df))) + 1) AS raw FROM w JOIN p USING (term) GROUP BY 1, 2),
+tv AS (SELECT doc_id, term, raw / sqrt(sum(raw ** 2) OVER (PARTITION BY doc_id)) AS weight FROM c)"""
+
+
+def _vectors(t):
+    tokens = store(_tokens(t))
+    return store(M.document_vectors(tokens, "doc_id", "words", store(M.vocabulary(tokens, "doc_id", "words", TERMS)), tokens.count())), tokens
+
+
+@query("m12_document_vectors", f"WITH {VECTORS} SELECT doc_id, term, round(weight, 6) AS weight FROM tv")
+def m12_vectors(t):
+    return rounded(_vectors(t)[0].select("doc_id", "term", "weight"), "weight")
+
+
+@query("m12_mean_document_weight", f"WITH {VECTORS} SELECT term, round(sum(weight) / (SELECT count(*) FROM d), 7) AS weight FROM tv GROUP BY 1")
+def m12_mean_vectors(t):
+    """Mean of a term's weight over all documents, those without it included."""
+    vectors, tokens = _vectors(t)
+    return rounded(vectors.groupBy("term").agg((F.sum("weight") / tokens.count()).alias("weight")), "weight", digits=7)
+
+
+@query("m12_vector_classifier")
+def m12_classifier(t):
+    """Documents sorted by language from their vectors: learned on three quarters, counted on the rest."""
+    vectors, _ = _vectors(t)
+    rows = store(M.as_features(vectors, "doc_id", TERMS).join(t.documents.filter("lang IS NOT NULL").select("doc_id", "lang"), "doc_id"))
+    levels = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    rows = rows.withColumn("label", F.array_position(F.array(*[F.lit(v) for v in levels]), F.col("lang")).cast("double") - 1)
+    model = M.classifier("logistic", maxIter=50, regParam=0.001).fit(rows.filter("doc_id % 4 <> 0"))
+    named = F.element_at(F.array(*[F.lit(v) for v in levels]), (F.col("prediction") + 1).cast("int"))
+    return V.confusion(model.transform(rows.filter("doc_id % 4 = 0")).withColumn("prediction", named).withColumn("label", F.col("lang")), "label", "prediction")
+
+
 @query("m12_bag_of_touches", f"""WITH {LONG}, p AS (SELECT gid || '/' || CAST(conv_group AS VARCHAR) AS path, pos, trin FROM long),
 v AS (SELECT trin, row_number() OVER (ORDER BY count(*) DESC, trin) AS rn FROM p GROUP BY 1),
 k AS (SELECT path, pos, rn FROM p JOIN v USING (trin) WHERE rn <= 20), pids AS (SELECT DISTINCT path FROM p)
@@ -288,6 +324,29 @@ def m21(t):
 
 
 # ------------------------------------------------------------------ scoring, search, calibration
+_PSI = lambda m: (f"(ln({m} + 6.0) - 1 / (2 * ({m} + 6.0)) - 1 / (12 * ({m} + 6.0) ** 2) + 1 / (120 * ({m} + 6.0) ** 4) - 1 / (252 * ({m} + 6.0) ** 6)"
+                  f" - 1.0 / {m}" + "".join(f" - 1.0 / ({m} + {j})" for j in range(1, 6)) + ")")
+
+
+def _neighbours_sql(k: int) -> str:
+    """Brute force: every row against all rows of its feature."""
+    return f"""WITH {SCORED}, lo AS (SELECT o_orderkey AS id, label AS y, 'score' AS feature, round(score * 1000) AS x FROM sc UNION ALL SELECT o_orderkey, label, 'cents', CAST(price * 100 AS BIGINT)::DOUBLE FROM sc),
+sz AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS size FROM lo),
+la AS (SELECT *, {', '.join(f'lag(x, {j}) OVER o AS b{j}, lead(x, {j}) OVER o AS a{j}' for j in range(1, k + 1))} FROM sz WHERE size > 1 WINDOW o AS (PARTITION BY feature, y ORDER BY x, id)),
+ra AS (SELECT feature, id, x, size, least({k}, size - 1) AS k, list_sort(list_filter([{', '.join(f'abs(b{j} - x), abs(a{j} - x)' for j in range(1, k + 1))}], lambda d: d IS NOT NULL))[least({k}, size - 1)] AS r FROM la),
+vc AS (SELECT feature, x, count(*) AS n FROM ra GROUP BY 1, 2),
+rr AS (SELECT DISTINCT feature, x, r FROM ra),
+co AS (SELECT a.feature, a.x, a.r, CAST(sum(n) AS DOUBLE) AS m FROM rr a JOIN vc b ON a.feature = b.feature AND b.x BETWEEN a.x - a.r AND a.x + a.r AND (abs(b.x - a.x) < a.r OR a.r = 0) GROUP BY 1, 2, 3),
+mi AS (SELECT ra.feature, greatest(0, {_PSI('CAST(count(*) AS DOUBLE)')} + avg({_PSI('CAST(k AS DOUBLE)')} - {_PSI('CAST(size AS DOUBLE)')} - {_PSI('m')})) AS mi FROM ra JOIN co ON ra.feature = co.feature AND ra.x = co.x AND ra.r = co.r GROUP BY 1)
+SELECT feature, round(mi, 6) AS mi, round(sqrt(1 - exp(-2 * mi)), 6) AS total_correlation FROM mi"""
+
+
+@query("m21_nearest_neighbours", _neighbours_sql(3))
+def m21_neighbours(t):
+    df = scored(t).select("o_orderkey", "label", F.round(F.col("score") * 1000).alias("score"), F.round(F.col("price") * 100).alias("cents"))
+    return rounded(V.nearest_mutual_info(df, ["score", "cents"], "label", "o_orderkey"), "mi", "total_correlation")
+
+
 @query("m16_batch_score")
 def m16(t):
     df = training(t)
