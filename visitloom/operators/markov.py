@@ -7,6 +7,8 @@ computations, whose work is a power of the number of channels, start from that p
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,7 +124,7 @@ def _removals(edges: DataFrame, include_start: bool) -> tuple[DataFrame, DataFra
 
 
 def removal_effect(edges: DataFrame, mode: str = "drop", n: int = 0, digits: int = 3,
-                   cut_every: int = 4, tol: float = 1e-9, max_doublings: int = 30) -> DataFrame:
+                   cut_every: int = 4, tol: float = 1e-13, max_steps: int = 1_000_000) -> DataFrame:
     """What conversion loses when a channel disappears: ``channel, weight``.
 
     ``drop``: the channel's row and column go, without renormalising, and the (n+1)-step matrix is
@@ -132,7 +134,7 @@ def removal_effect(edges: DataFrame, mode: str = "drop", n: int = 0, digits: int
     """
     edges = settle(edges)
     if mode == "absorbing":
-        return _absorbing(edges, tol, max_doublings)
+        return _absorbing(edges, tol, max_steps)
     keyed, removed, reach = _first_reach(edges, mode)
     for step in range(n):
         reach = _one_step_back(reach, keyed)
@@ -192,46 +194,57 @@ def removal_sweep(edges: DataFrame, steps: int = 15, mode: str = "drop", digits:
     return out.select("channel", "step", "weight")
 
 
-def _square_until_absorbed(chain: DataFrame, keys: list[str], tol: float, max_doublings: int) -> DataFrame:
+def _reach_conversion(chain: DataFrame, keys: list[str], tol: float, max_steps: int) -> DataFrame:
     """Probability to ever reach CONVERSION from each state, per ``keys``.
 
-    ``chain`` holds the transient edges and the edges into CONVERSION; CONVERSION keeps its mass.
-    Squaring doubles the number of steps, so k joins cover 2^k steps; each square is written once.
+    ``chain`` holds the transient edges and the edges into CONVERSION. Value iteration: the probability to arrive within
+    n + 1 steps is that of the direct edge plus the edges' weighted probabilities within n. Each chain iterates
+    in one task, which holds its edge list and one vector, until no value grows by ``tol``; slow chains take
+    thousands of steps, so a step must not be a job. A chain's edges are those left after pruning (at most the square
+    of 100 / pct channels). States that cannot reach CONVERSION have no row.
     """
-    keep = chain.select(*keys).distinct() if keys else chain.sparkSession.range(1).select()
-    stay = keep.withColumns({"from_state": F.lit(CONVERSION), "to_state": F.lit(CONVERSION), "p": F.lit(1.0)})
-    m = settle(chain.select(*keys, "from_state", "to_state", "p").unionByName(stay))
-    for _ in range(max_doublings):
-        left = m.withColumnRenamed("to_state", "mid").withColumnRenamed("p", "p1")
-        right = m.withColumnRenamed("from_state", "mid").withColumnRenamed("p", "p2")
-        m = settle(left.join(right, [*keys, "mid"]).groupBy(*keys, "from_state", "to_state")
-                   .agg(F.sum(F.col("p1") * F.col("p2")).alias("p")))
-        left_over = m.filter(F.col("to_state") != CONVERSION).agg(F.max("p")).first()[0]
-        if left_over is None or left_over < tol:
-            break
-    else:
-        raise RuntimeError(f"{left_over} of a state's mass is not absorbed after 2^{max_doublings} steps")
-    return (m.filter((F.col("to_state") == CONVERSION) & (F.col("from_state") != CONVERSION))
-            .select(*keys, F.col("from_state").alias("channel"), F.col("p").alias("reach")))
-
-
-def _absorbing(edges: DataFrame, tol: float, max_doublings: int) -> DataFrame:
+    def iterate(pdf: pd.DataFrame) -> pd.DataFrame:
+        states, code = np.unique(pdf["from_state"], return_inverse=True)
+        to = pdf["to_state"].to_numpy()
+        p = pdf["p"].to_numpy(np.float64)
+        ends = to == CONVERSION
+        direct = np.bincount(code[ends], p[ends], len(states))
+        place = np.searchsorted(states, to[~ends])
+        held = (place < len(states)) & (states[np.minimum(place, len(states) - 1)] == to[~ends])
+        start, place, p = code[~ends][held], place[held], p[~ends][held]     # other targets have no way on
+        v = direct
+        for _ in range(max_steps):
+            new = direct + np.bincount(start, p * v[place], len(states))
+            grown, v = float((new - v).max()), new
+            if grown < tol:
+                break
+        else:
+            raise RuntimeError(f"a probability still grows by {grown} a step after {max_steps} steps")
+        out = pd.DataFrame({k: pdf[k].iloc[:1].repeat(len(states)).to_numpy() for k in keys} | {"channel": states, "reach": v})
+        return out[out["reach"] > 0]
+
+    types = dict(chain.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "channel string, reach double"])
+    return chain.select(*keys, "from_state", "to_state", "p").groupBy(*keys).applyInPandas(iterate, schema)
+
+
+def _absorbing(edges: DataFrame, tol: float, max_steps: int) -> DataFrame:
     keyed, removed = _removals(edges, include_start=False)
     chain = keyed.filter((F.col("from_state") != F.col("removed")) & (F.col("to_state") != F.col("removed"))
                          & ~F.col("from_state").isin(*TERMINAL) & (F.col("to_state") != END))
-    reach = _square_until_absorbed(chain, ["removed"], tol, max_doublings)
+    reach = _reach_conversion(chain, ["removed"], tol, max_steps)
     mass = reach.groupBy(F.col("removed").alias("channel")).agg(F.sum("reach").alias("mass"))
     full = removed.select(F.col("removed").alias("channel")).join(mass, "channel", "left").na.fill(0.0)
     return _share(full, "mass").select("channel", "weight")
 
 
-def eventual_conversion(edges: DataFrame, digits: int = 3, tol: float = 1e-9,
-                        max_doublings: int = 30) -> DataFrame:
+def eventual_conversion(edges: DataFrame, digits: int = 3, tol: float = 1e-13,
+                        max_steps: int = 1_000_000) -> DataFrame:
     """Probability to convert sooner or later from each channel, normalised over the channels."""
     edges = settle(edges)
     chain = (transition_probs(edges)
              .filter(~F.col("from_state").isin(*TERMINAL) & (F.col("to_state") != END)))
-    reach = _square_until_absorbed(chain, [], tol, max_doublings)
+    reach = _reach_conversion(chain, [], tol, max_steps)
     full = _channels(edges).join(reach, "channel", "left").na.fill(0.0, ["reach"])
     return _share(full, "reach", "w").select("channel", F.bround("w", digits).alias("weight"))
 

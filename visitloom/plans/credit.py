@@ -71,7 +71,7 @@ def d17(t):
     return M.removal_effect(pruned(t), "drop", digits=6)
 
 
-def _steps_sql(n: int, mode: str) -> str:
+def _steps_sql(n: int, mode: str, kept: str = "") -> str:
     """n further multiplications by the removal matrix, written out."""
     skip = "('END','CONVERSION')" if mode == "drop" else "('START','END','CONVERSION')"
     rewritten = ("SELECT channel, from_state, to_state, p FROM r, pp WHERE from_state <> channel AND to_state <> channel"
@@ -80,16 +80,19 @@ def _steps_sql(n: int, mode: str) -> str:
     sql = f"""r AS (SELECT DISTINCT from_state AS channel FROM pe WHERE from_state NOT IN {skip}), k AS ({rewritten}),
 s0 AS (SELECT channel, to_state AS target, from_state AS state, p AS v FROM k WHERE to_state IN ('END','CONVERSION'))"""
     for i in range(n):
-        sql += f""", s{i + 1} AS (SELECT s.channel, target, k.from_state AS state, sum(v * p) AS v FROM s{i} s JOIN k ON k.channel = s.channel AND k.to_state = s.state GROUP BY 1, 2, 3)"""
+        sql += f""", s{i + 1} AS {kept} (SELECT s.channel, target, k.from_state AS state, sum(v * p) AS v FROM s{i} s JOIN k ON k.channel = s.channel AND k.to_state = s.state GROUP BY 1, 2, 3)"""
     live = "WHERE state NOT IN ('END','CONVERSION')" if mode == "drop" else ""
     return sql + f""", rt AS (SELECT channel, coalesce(sum(CASE WHEN target = 'CONVERSION' THEN v END), 0) / sum(v) AS rate FROM s{n} {live} GROUP BY channel)"""
 
 
-@query("d17_removal_sweep", f"WITH {P1}, " + _steps_sql(2, "drop") + " SELECT channel, 3 AS step, round(rate / (SELECT rate FROM base) - 1, 6) AS weight FROM rt"
-       + " UNION ALL SELECT channel, 1, round(rate / (SELECT rate FROM base) - 1, 6) FROM (SELECT channel, coalesce(sum(CASE WHEN target = 'CONVERSION' THEN v END), 0) / sum(v) AS rate FROM s0 WHERE state NOT IN ('END','CONVERSION') GROUP BY channel)"
-       + " UNION ALL SELECT channel, 2, round(rate / (SELECT rate FROM base) - 1, 6) FROM (SELECT channel, coalesce(sum(CASE WHEN target = 'CONVERSION' THEN v END), 0) / sum(v) AS rate FROM s1 WHERE state NOT IN ('END','CONVERSION') GROUP BY channel)")
+SWEEP = 15
+
+
+@query("d17_removal_sweep", f"WITH {P1}, " + _steps_sql(SWEEP - 1, "drop", "MATERIALIZED") + " " + " UNION ALL ".join(
+    f"""SELECT channel, {i + 1} AS step, round(coalesce(sum(CASE WHEN target = 'CONVERSION' THEN v END), 0) / sum(v) / (SELECT rate FROM base) - 1, 6) AS weight
+FROM s{i} WHERE state NOT IN ('END','CONVERSION') GROUP BY 1""" for i in range(SWEEP)))
 def d17_sweep(t):
-    return M.removal_sweep(pruned(t), steps=3, digits=6)
+    return M.removal_sweep(pruned(t), steps=SWEEP, digits=6)
 
 
 @query("d18_removal_redirect", f"WITH {P1}, " + _steps_sql(0, "redirect") + """

@@ -9,11 +9,13 @@ from visitloom.functions import columns as X
 from visitloom.functions.ordered import lay_track, lift_off, quantiles, scan, spread, split_rank
 from visitloom.operators import catalog as C
 from visitloom.operators import markov as M
+from visitloom.operators import rollups as G
 from visitloom.operators.ml import evaluate as V
 from visitloom.plans import inputs as N
 from visitloom.plans.journeys import MEDIUM_EDGES, STATES, medium_edges
 from visitloom.plans.registry import as_text, query, rounded
 from visitloom.plans.retail import bf_sql, since_bf_sql
+from visitloom.session import store
 from visitloom.sources import readers as R
 from visitloom.sources import schemas as Z
 from visitloom.sources import writers as O
@@ -151,13 +153,17 @@ q("a02_flag_agg", "SELECT o_custkey, CASE WHEN sum(CASE WHEN o_orderpriority = '
   lambda t: t.orders.groupBy("o_custkey").agg(F.max(F.when(c("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("urgent")))
 
 
+TEXT_PART = 100_000                # pieces of one text value; a longer list continues in the next part
+
+
 def a03(t):
     laid, track = lay_track(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
-    placed = lift_off(scan(laid, track, rn=("row_number", None))).withColumn("part", F.floor((c("rn") - 1) / 100_000))
+    placed = lift_off(scan(laid, track, rn=("row_number", None))).withColumn("part", F.floor((c("rn") - 1) / TEXT_PART))
     return placed.groupBy("o_custkey", "part").agg(F.expr("listagg(o_orderstatus, ',') WITHIN GROUP (ORDER BY rn)").alias("statuses"))
 
 
-q("a03_string_agg", "SELECT o_custkey, 0 AS part, string_agg(o_orderstatus, ',' ORDER BY o_orderdate, o_orderkey) AS statuses FROM orders GROUP BY 1", a03)
+q("a03_string_agg", f"""SELECT o_custkey, CAST((rn - 1) // {TEXT_PART} AS BIGINT) AS part, string_agg(o_orderstatus, ',' ORDER BY rn) AS statuses
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) GROUP BY 1, 2""", a03)
 
 
 def a04(t):
@@ -170,6 +176,38 @@ q("a05_any_value", "SELECT o_custkey, min(o_orderpriority) AS any_priority, arg_
 q("a06_distinct", "SELECT DISTINCT o_custkey, o_orderstatus FROM orders", lambda t: t.orders.select("o_custkey", "o_orderstatus").distinct())
 q("a06_keep_first", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1", lambda t: t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey")))
 q("a07_distinct_count", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1", lambda t: t.orders.groupBy("o_orderstatus").agg(F.countDistinct("o_custkey").alias("customers")))
+
+
+_RANGE = "BETWEEN DATE '1995-03-10' AND DATE '1997-02-20'"
+
+
+def _daily(t):
+    o = t.orders.select(F.col("o_orderdate").cast("date").alias("day"), "o_orderpriority", "o_custkey", c("o_totalprice").cast("double").alias("price"))
+    return o, store(G.daily_sketches(o, "day", ["o_orderpriority"], "o_custkey", "price"))
+
+
+def a07_rollup(t):
+    """Distinct customers of a date range from daily sketches, with the exact count and whether the bound holds."""
+    o, sketches = _daily(t)
+    days = F.expr(f"day {_RANGE}")
+    both = G.roll_up(sketches, ["o_orderpriority"], days).join(G.exact(o.filter(days), ["o_orderpriority"], "o_custkey"), "o_orderpriority")
+    return both.select("o_orderpriority", "n", "distinct_exact", (F.abs(c("n_distinct") / c("distinct_exact") - 1) <= G.distinct_error()).alias("within"))
+
+
+q("a07_daily_rollup", f"SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS distinct_exact, true AS within FROM orders WHERE CAST(o_orderdate AS DATE) {_RANGE} GROUP BY 1", a07_rollup)
+
+
+def a10_rollup(t):
+    """Median of a date range from daily sketches; within: its exact rank lies within 2 % of the middle."""
+    o, sketches = _daily(t)
+    days = F.expr(f"day {_RANGE}")
+    found = F.broadcast(G.roll_up(sketches, ["o_orderpriority"], days).select("o_orderpriority", "q0"))     # one row per priority
+    ranks = o.filter(days).join(found, "o_orderpriority").groupBy("o_orderpriority").agg(
+        F.count(lit(1)).alias("n"), (F.abs(F.count_if(c("price") <= c("q0")) / F.count(lit(1)) - 0.5) <= 0.02).alias("within"))
+    return ranks
+
+
+q("a10_daily_rollup", f"SELECT o_orderpriority, count(*) AS n, true AS within FROM orders WHERE CAST(o_orderdate AS DATE) {_RANGE} GROUP BY 1", a10_rollup)
 q("a08_value_counts", "WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT p_brand, n, round(n / sum(n) OVER (), 6) AS share, round(sum(n) OVER (ORDER BY n DESC, p_brand) / sum(n) OVER (), 6) AS cum_share FROM n",
   lambda t: rounded(C.value_shares(t.part, "p_brand"), "share", "cum_share"))
 q("a09_stddev", "SELECT o_orderstatus, round(stddev_samp(o_custkey), 4) AS s FROM orders GROUP BY 1", lambda t: rounded(t.orders.groupBy("o_orderstatus").agg(F.stddev_samp("o_custkey").alias("s")), "s", digits=4))
