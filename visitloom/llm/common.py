@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,21 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def pieces(text: Column, seed: Column, chars: int, parts: int) -> Column:
+    """A text of up to ``chars`` characters as it is; of a longer one a random piece from each of ``parts`` even stretches."""
+    part = chars // parts
+    stretch = F.floor(F.length(text) / parts)
+    starts = [F.lit(i) * stretch + F.pmod(F.xxhash64(F.lit(i), seed), F.greatest(stretch - part, F.lit(0)) + 1) for i in range(parts)]
+    made = F.concat_ws("\n", *[F.substring(text, (at + 1).cast("int"), F.lit(part)) for at in starts])
+    return F.when(F.length(text) > chars, made).otherwise(text)
+
+
+def folded(pattern: re.Pattern, text: str) -> list[str]:
+    """The pattern's matches in lower case. A character whose lower case has another length does not move the others."""
+    low = text.lower()
+    return pattern.findall(low) if len(low) == len(text) else [w.lower() for w in pattern.findall(text)]
+
+
 def membership(keys: DataFrame, col: str, n: int) -> np.ndarray:
     """Bits of a set of 64-bit keys: bit ``key mod len`` is on for each key of ``keys``.
 

@@ -6,7 +6,7 @@ The language with the smallest total wins. A text is ``rejected`` if the runner-
 MARGIN more bytes per byte of text; the best guess is given all the same.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0. Ties go to the first language
-by name. Rows without lang are not learned from. Without any learned language all is ``und``. Repeated ids
+by name. Very long texts are taken whole; an empty table gives an empty result. Rows without lang are not learned from. Without any learned language all is ``und``. Repeated ids
 are judged row by row. Other columns are ignored.
 """
 
@@ -16,14 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import from_texts, held_out, uniform
+from visitloom.llm.common import from_texts, held_out, pieces, uniform
 
 SAMPLE_DOCS = 120              # expected documents sampled per language
-PER_DOC = 2048                 # characters one sampled document gives to a dictionary
+PER_DOC, PIECES = 2048, 4      # characters one sampled document gives to a dictionary, from so many random places
 DICTIONARY = 112 << 10         # bytes of a dictionary
 MAX_LANGUAGES = 500            # a table with more is refused, as each text is compressed once per language
 PIECE = 512
-SHORT, SHORT_LEVEL, LEVEL = 512, 12, 9
+LEVEL = 11
 MARGIN = 0.005
 SCALE = 300.0                  # bytes saved per byte of text to log-odds
 
@@ -31,16 +31,18 @@ SCALE = 300.0                  # bytes saved per byte of text to log-odds
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language, from a bounded random sample of the rows that may be learned from."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
-    counts = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    known = known.withColumn("h", F.xxhash64("text"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, SAMPLE_DOCS / r["count"])) for r in counts], "_lang string, rate double")
-    picked = (known.select("doc_id", "lang", "text").join(F.broadcast(rates), F.col("lang") == F.col("_lang"))
-              .withColumn("u", uniform(F.col("doc_id"), "lang")).filter(F.col("u") < F.col("rate"))
-              .select("lang", "u", F.substring("text", 1, PER_DOC).alias("text")).orderBy("lang", "u", "text")
-              .limit(4 * SAMPLE_DOCS * len(counts)))
+    # different texts are drawn, so repeated rows take no place; a language of few texts gives all of them
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, SAMPLE_DOCS / max(r["texts"], 1)) if r["texts"] > 2 * SAMPLE_DOCS else 1.0) for r in counts], "_lang string, rate double")
+    picked = (known.select("lang", "text", "h").join(F.broadcast(rates), F.col("lang") == F.col("_lang"))
+              .withColumn("u", uniform(F.col("h"), "lang")).filter(F.col("u") < F.col("rate"))
+              .select("lang", "u", "h", pieces(F.col("text"), F.col("h"), PER_DOC, PIECES).alias("text"))
+              .groupBy("lang", "u", "h").agg(F.min("text").alias("text")).orderBy("lang", "u", "h"))
     found: dict[str, bytes] = {}
     seen: set[str] = set()
     for r in picked.toLocalIterator():
@@ -56,23 +58,19 @@ class Coder:
         import zstandard
 
         self.names = list(dictionaries)
-        self.by_level = {}
-        for level in (SHORT_LEVEL, LEVEL):
-            made = []
-            for data in dictionaries.values():
-                d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                made.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False))
-            self.by_level[level] = made
+        self.coders = []
+        for data in dictionaries.values():
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False))
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether the margin is too narrow."""
         if not text or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         data = text.lower().encode()
-        coders = self.by_level[SHORT_LEVEL if len(data) <= SHORT else LEVEL]
         pieces = [data[i: i + PIECE] for i in range(0, len(data), PIECE)]
-        sizes = np.array([sum(len(c.compress(p)) for p in pieces) for c in coders], float)
+        sizes = np.array([sum(len(c.compress(p)) for p in pieces) for c in self.coders], float)
         best = int(sizes.argmin())
         saved = (np.delete(sizes, best).min() - sizes[best]) / len(data) if len(sizes) > 1 else 1.0
         weights = np.exp(-np.minimum((sizes - sizes[best]) / len(data) * SCALE, 700))

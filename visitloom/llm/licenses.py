@@ -6,6 +6,8 @@ the longest increasing subsequence of their places is kept, and the gaps between
 neighbouring anchors are aligned in the same way. A gap without such a word is aligned by equal words from its
 front and back. Coverage is the share of the template's words that are aligned. A region may
 be cut where the template's opening words come again; the cuts that align the most words in notices are taken.
+Regions too short by themselves whose aligned places in the template go on one after the other are fragments of
+one notice, whatever stands between them. Texts of any length are scanned whole.
 
 Defined cases: null and empty texts have no match. Ties go to the longer, then the first template by name.
 Repeated ids are scanned row by row. Other columns are kept out of the result.
@@ -14,18 +16,19 @@ Repeated ids are scanned row by row. Other columns are kept out of the result.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect, bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from visitloom.llm.common import from_texts
+from visitloom.llm.common import folded, from_texts
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)?")
 GAP = 6
 MIN_COVERAGE = 0.8
 MIN_WORDS = 3
+PIECE = 5                      # aligned words of a fragment
 
 # Wording of common license notices.
 TEMPLATES = {
@@ -62,7 +65,7 @@ TEMPLATES = {
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return folded(WORD, text)
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -114,6 +117,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str], min_coverage: float):
         self.templates = {n: words(t) for n, t in sorted(templates.items(), key=lambda x: (-len(words(x[1])), x[0]))}
         self.sets = {n: set(w) for n, w in self.templates.items()}
+        self.counts = {n: Counter(w) for n, w in self.templates.items()}
         self.all = set().union(*self.sets.values())
         self.min_coverage = min_coverage
 
@@ -161,31 +165,57 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coverage, first character, past character), no two overlapping."""
-        lowered = text.lower()
-        exact = len(lowered) == len(text)
-        spans = [m.span() for m in WORD.finditer(lowered)]
-        found = [lowered[s:e] for s, e in spans]
+        spans = [m.span() for m in WORD.finditer(text)]
+        found = words(text)
         if self.all.isdisjoint(found):
             return []
+        held = Counter(w for w in found if w in self.all)
         matches = []
         for name, template in self.templates.items():
             need = self.min_coverage * len(template)
-            for s, e in self._regions(found, self.sets[name]):
-                if e - s < max(MIN_WORDS, need):
-                    continue
-                region = found[s:e]
-                have, wanted = Counter(region), Counter(template)
-                if sum(min(have[w], n) for w, n in wanted.items()) < need:
-                    continue
-                for at, pairs in self._notices(region, template, need):
-                    matches.append((len(pairs), len(pairs) / len(template), name, s + at + pairs[0][0], s + at + pairs[-1][0] + 1))
+            if sum(min(held[w], n) for w, n in self.counts[name].items()) < need:
+                continue
+            for places in self._matches(found, name, template, need):
+                matches.append((len(places), len(places) / len(template), name, places[0], places[-1] + 1))
         out, taken = [], []
         for n, coverage, name, s, e in sorted(matches, key=lambda m: (-m[1] * m[0], -m[0], m[2], m[3])):
-            if all(e <= x or s >= y for x, y in taken):
-                taken.append((s, e))
-                out.append((name, coverage, spans[s][0] if exact else -1, spans[e - 1][1] if exact else -1, s))
+            i = bisect(taken, (s, e))
+            if (i == 0 or taken[i - 1][1] <= s) and (i == len(taken) or taken[i][0] >= e):
+                taken.insert(i, (s, e))
+                out.append((name, coverage, spans[s][0], spans[e - 1][1], s))
         return [m[:4] for m in sorted(out, key=lambda m: m[4])]
 
+    def _matches(self, found: list[str], name: str, template: list[str], need: float) -> Iterator[list[int]]:
+        """The aligned word places of each notice of one template.
+
+        A region that is too short by itself is a fragment if PIECE of its words align. Fragments whose places in the
+        template go on one after the other make one notice, however many foreign words stand between them.
+        """
+        chain: list[tuple[int, int]] = []             # (place in the text, place in the template)
+        for s, e in self._regions(found, self.sets[name]):
+            region = found[s:e]
+            if e - s < MIN_WORDS:
+                continue
+            have, whole = Counter(region), False
+            common = sum(min(have[w], n) for w, n in self.counts[name].items())
+            if e - s >= max(MIN_WORDS, need) and common >= need:
+                for at, pairs in self._notices(region, template, need):
+                    whole = True
+                    yield [s + at + x for x, _ in pairs]
+            if whole:
+                chain = []
+            elif common >= PIECE:
+                last = chain[-1][1] + 1 if chain else 0
+                rest = [(s + x, last + y) for x, y in align(region, template[last:])] if chain else []
+                fresh = [(s + x, y) for x, y in align(region, template)]
+                if len(rest) >= PIECE:
+                    chain = chain + rest
+                elif len(fresh) >= PIECE:
+                    chain = fresh
+                if len(chain) >= max(MIN_WORDS, need):
+                    yield [x for x, _ in chain]
+                    chain = []
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """doc_id, n_notices, license and coverage of the best match, and all notices with their characters."""

@@ -15,7 +15,7 @@ own ratio, gives the score.
 
 Defined cases: null and empty texts have no span and get the curve's lowest score. Repeated ids are
 scored row by row. Labels that are null are ignored, conflicting labels of an id count as toxic. Without labels of both kinds
-everything scores 0. Inputs of a score are the text alone.
+everything gets the score of no evidence, near 0. Inputs of a score are the text alone.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import from_texts, held_out
+from visitloom.llm.common import folded, from_texts, held_out, pieces
 from visitloom.llm.words import grams, mix
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 800, 2600       # labelled documents a model is fitted on, at most
@@ -95,29 +95,24 @@ def features(word: str) -> list[str]:
     return [word, *(f"^{word[:n]}" if len(word) >= n else "" for n in (4, 5))]
 
 
-def _pieces(text: Column, seed: Column) -> Column:
-    """A text of up to DOC_CHARS characters as it is; of a longer one a random piece from each of PIECES even stretches."""
-    part = DOC_CHARS // PIECES
-    stretch = F.floor(F.length(text) / PIECES)
-    starts = [F.lit(i) * stretch + F.pmod(F.xxhash64(F.lit(i), seed), F.greatest(stretch - part, F.lit(0)) + 1) for i in range(PIECES)]
-    pieces = F.concat_ws("\n", *[F.substring(text, (at + 1).cast("int"), F.lit(part)) for at in starts])
-    return F.when(F.length(text) > DOC_CHARS, pieces).otherwise(text)
-
-
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """(text, toxic) of a bounded random sample of the labelled documents that may be learned from."""
+    """(text, toxic) of a bounded random sample of the labelled documents that may be learned from.
+
+    The labelled ids that ``docs`` has are drawn, each class by itself, and an id gives one of its texts (the one of
+    smallest hash), so rows that repeat an id, or an id's many texts, take no place from others.
+    """
     named = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     named = named.filter("toxic IN (0, 1)").withColumn("_r", F.xxhash64(F.lit("crf"), "doc_id"))
     picked = [named.filter(F.col("toxic") == t).orderBy("_r", "doc_id").limit(n) for t, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     picked = F.broadcast(picked[0].unionByName(picked[1]))                # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
     rows = (docs.select("doc_id", "text").join(picked, "doc_id").filter(F.col("text").isNotNull())
-            .select("_r", "doc_id", _pieces(F.col("text"), F.col("_r")).alias("text"), "toxic").orderBy("_r", "doc_id", "text").limit(SAMPLE_TOXIC + SAMPLE_CLEAN))
+            .select("_r", "doc_id", F.struct(F.xxhash64("text").alias("h"), pieces(F.col("text"), F.col("_r"), DOC_CHARS, PIECES).alias("text")).alias("t"), "toxic")
+            .groupBy("_r", "doc_id", "toxic").agg(F.min("t").alias("t")).select("_r", "doc_id", "toxic", F.col("t.text").alias("text")).orderBy("_r", "doc_id"))
     out, chars = [], 0
     for r in rows.toLocalIterator():
-        chars += len(r.text)
-        if chars > SAMPLE_CHARS and out:
-            break
-        out.append((r.text, int(r.toxic)))
+        if chars + len(r.text) <= SAMPLE_CHARS or not out:
+            chars += len(r.text)
+            out.append((r.text, int(r.toxic)))
     return out
 
 
@@ -128,7 +123,7 @@ def prior(labels: DataFrame) -> float:
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    return folded(TOKEN, text)
 
 
 def _near_copies(docs: list[np.ndarray]) -> np.ndarray:
@@ -344,11 +339,9 @@ def score_texts(model: Model, texts: list[str | None]) -> list[tuple[float, int,
         d = int(owner[hot[a]])
         spans.setdefault(d, []).append((int(hot[a] - owner_first[d]), int(hot[b - 1] - owner_first[d]), float(p[hot[a:b]].max())))
     for d, found in spans.items():
-        # lower-casing may change lengths, so offsets are looked up in the text as it is
         places = [m.span() for m in TOKEN.finditer(texts[d]) if m.group() not in STOPS]
         evidence = -float(np.log1p(-np.minimum([q for _, _, q in found], 0.98)).sum())
-        whole = len(places) == sizes[d]
-        out[d] = (min(evidence, MOST), sizes[d], [(places[a][0], places[b][1], q) for a, b, q in found] if whole else [(-1, -1, q) for *_, q in found])
+        out[d] = (min(evidence, MOST), sizes[d], [(places[a][0], places[b][1], q) for a, b, q in found])
     return out
 
 
