@@ -377,7 +377,7 @@ def m18(t):
 @query("m18_folds", f"WITH {LW} SELECT label, count(*) AS n FROM tr GROUP BY 1")
 def m18_folds(t):
     """Every training row is scored out of fold once."""
-    folds = M.out_of_fold(training(t).filter(TRAIN), M.feature_stages(NUM, CAT, scale=True), "logistic", "fk_customer", maxIter=5)
+    folds = M.out_of_fold(training(t).filter(TRAIN), M.feature_stages(NUM, CAT, scale=True), "logistic", "fk_customer")
     return folds.groupBy("label").agg(F.count("score").alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,9 +41,11 @@ q("s07_conform", "SELECT CAST(n_nationkey AS VARCHAR) AS id, TRY_CAST(n_name AS
 
 
 def s11(t):
-    t.orders.filter(c("o_orderstatus") == "F").createOrReplaceTempView("visitloom_paid")
-    t.spark.sql("SELECT o_custkey, count(*) AS n FROM visitloom_paid GROUP BY o_custkey").createOrReplaceTempView("visitloom_per_customer")
-    return t.spark.sql("SELECT p.o_orderkey, c.n FROM visitloom_paid p JOIN visitloom_per_customer c ON c.o_custkey = p.o_custkey WHERE c.n > 3")
+    """Temporary tables by names of their own, so that several runs of one session do not replace each other's."""
+    paid, per = (f"visitloom_{uuid.uuid4().hex}" for _ in range(2))
+    t.orders.filter(c("o_orderstatus") == "F").createOrReplaceTempView(paid)
+    t.spark.sql(f"SELECT o_custkey, count(*) AS n FROM {paid} GROUP BY o_custkey").createOrReplaceTempView(per)
+    return t.spark.sql(f"SELECT p.o_orderkey, c.n FROM {paid} p JOIN {per} c ON c.o_custkey = p.o_custkey WHERE c.n > 3")
 
 
 q("s11_temp_tables", "WITH paid AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), per AS (SELECT o_custkey, count(*) AS n FROM paid GROUP BY 1) SELECT o_orderkey, n FROM paid JOIN per USING (o_custkey) WHERE n > 3", s11)
@@ -219,8 +223,16 @@ q("a12_pivot", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS
 q("a13_multi_agg", "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS size_sum, count(p_size) AS size_count, max(p_size) AS size_max FROM part GROUP BY 1", lambda t: t.part.groupBy("p_brand").agg(F.sum("p_size").alias("size_sum"), F.count("p_size").alias("size_count"), F.max("p_size").alias("size_max")))
 q("a14_inverted_map", "SELECT p_type, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY 1",
   lambda t: t.part.select("p_type", "p_brand").distinct().groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_list("p_brand")), ",").alias("brands")))
-q("a15_group_in_array", "SELECT event_id AS visit_id, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS n6, 1 AS n0 FROM events",
-  lambda t: N.sessions_in(t).select("visit_id", X.count_where("hits", lambda h: h["eCommerceAction"]["action_type"] == "6").alias("n6"), X.count_where("hits", lambda h: h["eCommerceAction"]["action_type"] == "0").alias("n0")))
+
+
+def a15(t):
+    """The hits of each session by action type, as one array of (type, number), ordered by type."""
+    types = F.transform("hits", lambda h: h["eCommerceAction"]["action_type"])
+    groups = F.transform(F.array_sort(F.array_distinct(F.filter(types, lambda x: x.isNotNull()))), lambda k: F.concat(k, F.lit(":"), F.size(F.filter(types, lambda x: x == k)).cast("string")))
+    return N.sessions_in(t).select("visit_id", F.array_join(groups, ",").alias("actions"))
+
+
+q("a15_group_in_array", """SELECT event_id AS visit_id, '0:1,' || CASE event_type WHEN 'purchase' THEN '6' WHEN 'view' THEN '2' WHEN 'click' THEN '1' WHEN 'signup' THEN '3' ELSE '4' END || ':1' AS actions FROM events""", a15)
 q("a16_share_of_total", "WITH s AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1) SELECT c_mktsegment, round(n / sum(n) OVER (), 6) AS share FROM s",
   lambda t: t.customer.groupBy("c_mktsegment").agg(F.count(lit(1)).alias("n")).select("c_mktsegment", F.round(c("n") / F.sum("n").over(W.partitionBy()), 6).alias("share")))
 q("a17_top_categories", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 5", lambda t: t.part.groupBy("p_brand").agg(F.count(lit(1)).alias("n")).orderBy(c("n").desc(), "p_brand").limit(5))
