@@ -203,3 +203,23 @@ def test_imatch_near_copies_of_a_third(spark):
     assert len(got) == 3 and all(0.1 < r.e < 0.7 and r.n < 0.05 for r in got), got
     copied = df.unionByName(df.filter("doc_id = 2").crossJoin(spark.range(500)).select("doc_id", "text"))
     assert sorted(imatch.lexicon(copied).collect()) == sorted(imatch.lexicon(df).collect())
+
+
+def test_imatch_hashes_every_kept_term(spark, monkeypatch):
+    """Any one term changes the fingerprint; order and repetition do not; a shuffled lexicon gives the same."""
+    base = [f"t{n}" for n in range(40)]
+    texts = [" ".join(base), " ".join(reversed(base)) + " T3, t4"] + [" ".join(base[:i] + [f"new{i}"] + base[i + 1:]) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for known in ([], base):
+        words = spark.createDataFrame([(w,) for w in known], "w string").select(F.xxhash64("w").alias("term"))
+        got = imatch.fingerprints(df, words, ["doc_id"], "text")
+        prints = {r.doc_id: bytes(r.text_print) for r in got.collect()}
+        assert prints[0] == prints[1] and len(set(prints.values())) == 41
+        own = F.lit(bytearray(prints[0]))
+        near = {r.doc_id: r.near for r in got.select("doc_id", imatch.likeness(F.col("text_print"), own).alias("near")).collect()}
+        # one term less and one more differ in one or two of at most 32 hashes
+        assert near[0] == near[1] == 1.0 and all(0.85 <= near[i] < 1 for i in range(2, 42)), near
+        with monkeypatch.context() as m:
+            m.setattr(imatch, "BROADCAST_TERMS", -1)
+            shuffled = {r.doc_id: bytes(r.text_print) for r in imatch.fingerprints(df, words, ["doc_id"], "text").collect()}
+        assert shuffled == prints

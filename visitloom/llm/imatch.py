@@ -3,13 +3,17 @@
 The lexicon is the terms inside a band of inverse document frequency over distinct texts: texts whose SKETCH
 smallest hashes of terms agree (copies, and most near copies) count once together, if they are more than a
 ten-thousandth of the rows; there are fewer than 10,000 such groups. A document
-frequency of at least ``low`` of the texts leaves at most (mean distinct terms) / low terms, a bound
-that does not grow with the corpus, so the lexicon can be broadcast. Each of R randomised
-lexicons orders all terms at random, with those of the band 2 ** AHEAD times likelier to come first, and falls into
-two random halves; a text uses of each half the
-shortest initial part that holds one of its terms. The terms kept, distinct and sorted, are hashed. Two
-texts' likeness is the share of equal hashes, so it falls gradually with the terms they do not share, also for
-texts with few or no terms of the band.
+frequency of at least ``low`` of the texts leaves at most (mean distinct terms) / low terms. Its size is counted: it
+is broadcast up to BROADCAST_TERMS terms and joined by a shuffle beyond.
+
+LEXICONS randomised lexicons share out the terms: a hash gives each term one lexicon. They exist in levels: level
+1 holds the whole band and a random 1 / 2 ** AHEAD of the other terms, every further level a random
+half of the one before, level 0 all terms. A text takes the finest level that is expected to keep TARGET of its
+terms, or level 1 from FEWEST terms on, and the level before it. For either, and each lexicon, the text's distinct terms
+in that lexicon, sorted, are hashed. Two texts are compared on the finest level both have: their likeness is the share of
+equal hashes among the lexicons in which either has a term, so it falls gradually with the terms they do not
+share, for short, long and common texts alike. Texts without a common level, whose numbers of terms differ at least
+twofold and mostly more, have likeness 0.
 
 Defined cases: a null text counts as empty; two fingerprints of texts without any term are equal. Repeated
 ids are ordered by text. An empty table gives an empty result. Other columns are ignored.
@@ -24,13 +28,20 @@ from visitloom.functions.ordered import lay_track, lift_off, scan
 from visitloom.session import store
 
 LEXICONS = 32
+TARGET = 24                    # terms a text keeps at its level, expected at least
+FEWEST = 8                     # terms expected at level 1 for which that level is taken
+BROADCAST_TERMS = 2_000_000
+DEEPEST = 63
 LOW, HIGH = 0.0005, 0.1        # of the distinct texts
 SKETCH = 4
 GROUPS = 10_000                # of copies that count once, at most
 ONE = 1 << 30                  # weight of a row; whole numbers add up to the same in any order
 AHEAD = 5
+BAND = 4                       # flag of a term inside the band; 1 and 2: in the first, in the second text
+NOTHING = "00000000"
 ROWS_PER_BLOCK = 20_000        # of the global order of ids, laid out in blocks
 LARGEST = (1 << 63) - 1
+LARGEST_TEXT = (1 << 31) - 1
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -56,45 +67,83 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return df.filter((F.col("df") >= max(2.0, low * n) - 0.001) & (F.col("df") <= max(2.0, high * n))).select("term")
 
 
-def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], named: dict[str, str], carry: dict[str, Column] | None = None) -> DataFrame:
-    """``keys`` and one fingerprint column per text column of ``named`` (text column to output column).
+def _prints(found: DataFrame, names: dict[str, int]) -> DataFrame:
+    """Adds fingerprints, as binary, of the texts whose flag is given: the level and both levels' hashes.
 
-    ``carry`` adds long columns computed from the texts, so that these are not needed a second time.
+    Each step's columns are read more than once in the next, so that Spark keeps the steps apart.
+    """
+    flagged = lambda column, flag: F.filter(column, lambda e: e.bitwiseAND(flag) != 0)
+    found = found.withColumns({f"_own{w}": flagged("_found", w) for w in names.values()})
+    levels = {}
+    for w in names.values():
+        band, size = F.size(flagged(f"_own{w}", BAND)), F.size(f"_own{w}")
+        levels[f"_expected{w}"] = band * (1 << AHEAD) + size - band        # at level 1, in units of 1 / 2 ** AHEAD
+    found = found.withColumns(levels)
+    for w in names.values():
+        expected = F.col(f"_expected{w}")
+        halvings = F.length(F.bin(F.floor(expected / F.lit(TARGET << AHEAD)).cast("long"))) - 1
+        level = F.when(expected < (FEWEST << AHEAD), 0).when(expected < (TARGET << AHEAD), 1).otherwise(F.least(1 + halvings, F.lit(DEEPEST)))
+        found = found.withColumn(f"_level{w}", level)
+    marks = F.array(*[F.lit(i << 49) for i in range(LEXICONS)]).cast("array<bigint>")
+
+    def hashes(own: str, at: Column) -> Column:
+        kept = F.transform(F.filter(own, lambda e: F.shiftright(e, 3).bitwiseAND(DEEPEST) >= at), lambda e: F.shiftright(e, 9))
+        # a mark before each lexicon's terms: in sorted order they stand apart
+        ordered = F.sort_array(F.concat(kept, marks))
+        text = F.array_join(F.transform(ordered, lambda x: F.when(x.bitwiseAND((1 << 49) - 1) == 0, "|").otherwise(x.cast("string"))), "")
+        each = F.split(F.substring(text, 2, LARGEST_TEXT), "[|]")
+        return F.array_join(F.transform(each, lambda x: F.when(x == "", NOTHING).otherwise(F.lpad(F.hex(F.xxhash64(x).bitwiseAND((1 << 32) - 1)), 8, "0"))), "")
+
+    for n, w in names.items():
+        level = F.col(f"_level{w}")
+        found = found.withColumn(n, F.unhex(F.concat(F.lpad(F.hex(level), 2, "0"), hashes(f"_own{w}", level), hashes(f"_own{w}", F.greatest(level - 1, F.lit(0))))))
+    return found
+
+
+def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], first: str, second: str | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
+    """``keys`` and the binary fingerprints ``first_print`` and ``second_print`` of one or two text columns.
+
+    ``carry`` adds columns computed from the row, so that the texts are not needed a second time.
 
     ``texts`` should be partitioned by some of ``keys``, which identify a row: then exploding, the
-    broadcast join and the aggregations run in place, without another exchange.
+    broadcast join and the aggregation run in place, without another exchange. ``lexicon`` should be stored.
     """
     carry = carry or {}
-    none = [F.lit(None).cast("long").alias(n) for n in carry]
-    each = [F.struct(F.lit(i).alias("which"), terms(F.col(c)).alias("terms"), *none) for i, c in enumerate(named)]
-    each.append(F.struct(F.lit(-1).alias("which"), F.lit(None).cast("array<bigint>").alias("terms"), *[c.alias(n) for n, c in carry.items()]))
-    long = (texts.select(*keys, F.explode(F.array(*each)).alias("e"))
-            .select(*keys, "e.which", *[f"e.{n}" for n in carry], F.explode_outer("e.terms").alias("term"))
-            .join(F.broadcast(lexicon.select("term", F.lit(True).alias("known"))), "term", "left"))
-    long = long.withColumn("_shift", F.when(F.col("term").isNotNull(), F.when(F.col("known"), 1 + AHEAD).otherwise(1)))
-    aggs = [F.max(n).alias(n) for n in carry]
-    for r in range(LEXICONS):
-        # the hash's last bit is the half, the others the rank, which is divided for a term of the band
-        hashed = F.xxhash64(F.lit(r), F.col("term"))
-        rank = F.call_function("shiftrightunsigned", hashed, F.col("_shift"))
-        first_half = hashed.bitwiseAND(1) == 0
-        aggs += [F.min(F.when(first_half, rank)).alias(f"_a{r}"), F.min(F.when(~first_half, rank)).alias(f"_b{r}")]
-    parts = []
-    for r in range(LEXICONS):
-        a, b = F.col(f"_a{r}"), F.col(f"_b{r}")
-        h = F.xxhash64(F.lit(r), F.least(a, b), F.greatest(a, b))
-        parts.append(F.lpad(F.lower(F.hex(h.bitwiseAND((1 << 32) - 1))), 8, "0"))
-    found = long.groupBy(*keys, "which").agg(*aggs).select(*keys, "which", *carry, F.concat(*parts).alias("_print"))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("which") == i, F.col("_print"))).alias(n) for i, n in enumerate(named.values())], *[F.max(n).alias(n) for n in carry])
+    a = terms(F.col(first))
+    b = terms(F.col(second)) if second else F.array().cast("array<bigint>")
+    mark = lambda found, which: F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(which).cast("long").alias("which")))
+    rows = texts.select(*keys, *[v.alias(n) for n, v in carry.items()], a.alias("_a"), b.alias("_b"))
+    found = F.concat(mark(F.array_intersect("_a", "_b"), 3), mark(F.array_except("_a", "_b"), 1), mark(F.array_except("_b", "_a"), 2))
+    rows = rows.select(*keys, *carry, F.explode_outer(found).alias("_e")).select(*keys, *carry, F.col("_e.term").alias("term"), F.col("_e.which").alias("_which"))
+    words = lexicon.select("term", F.lit(True).alias("_known"))
+    small = lexicon.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    rows = rows.join(F.broadcast(words) if small else words.hint("merge"), "term", "left")
+    # of a term's hash: how many levels it outlives, its lexicon, and its name in sorted order
+    drawn = F.xxhash64(F.lit(0), F.col("term"))
+    outlives = F.floor(-F.log2((F.call_function("shiftrightunsigned", drawn, F.lit(11)) + 1) / float(1 << 53))).cast("long")
+    depth = F.when(F.col("_known"), 1 + outlives).otherwise(F.greatest(1 + outlives - AHEAD, F.lit(0)))
+    name = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(1), F.col("term")), F.lit(1))     # lexicon above 49 bits, then flags
+    name = F.shiftleft(F.call_function("shiftrightunsigned", name, F.lit(9)), 9)
+    packed = name + F.shiftleft(F.least(depth, F.lit(DEEPEST)), 3) + F.when(F.col("_known"), BAND).otherwise(0) + F.col("_which")
+    one = rows.select(*keys, *carry, F.when(F.col("term").isNotNull(), packed).alias("_packed"))
+    one = one.groupBy(*keys).agg(*[F.max(n).alias(n) for n in carry], F.collect_list("_packed").alias("_found"))
+    prints = {f"{first}_print": 1} | ({f"{second}_print": 2} if second else {})
+    return _prints(one, prints).select(*keys, *carry, *prints)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the lexicons whose hashes agree."""
-    same = [F.when(F.substring(a, 8 * r + 1, 8) == F.substring(b, 8 * r + 1, 8), 1).otherwise(0) for r in range(LEXICONS)]
-    total = same[0]
-    for s in same[1:]:
-        total = total + s
-    return total / float(LEXICONS)
+    """Share of equal hashes on the finest common level of two binary fingerprints, among the lexicons in which either has a term."""
+    level = lambda x: F.conv(F.hex(F.substring(x, 1, 1)), 16, 10).cast("int")
+    ahead = level(a) - level(b)
+    # the finer half starts at the second byte; of the text with the finer level, the other half is compared
+    half = lambda x, later: F.when(later, F.substring(x, 2 + 4 * LEXICONS, 4 * LEXICONS)).otherwise(F.substring(x, 2, 4 * LEXICONS))
+    pieces = lambda x: F.regexp_extract_all(F.hex(x), F.lit("[0-9A-F]{8}"), F.lit(0))
+    pairs = F.arrays_zip(pieces(half(a, ahead == 1)).alias("a"), pieces(half(b, ahead == -1)).alias("b"))
+    held = F.filter(pairs, lambda p: (p["a"] != NOTHING) | (p["b"] != NOTHING))
+    share = F.aggregate(held, F.struct(F.lit(0).alias("same"), F.lit(0).alias("held")),
+                        lambda t, p: F.struct((t["same"] + (p["a"] == p["b"]).cast("int")).alias("same"), (t["held"] + 1).alias("held")),
+                        lambda t: F.coalesce(F.try_divide(t["same"], t["held"]), F.lit(0.0)))
+    return F.when(a == b, 1.0).when(F.abs(ahead) > 1, 0.0).otherwise(share)
 
 
 def edited_likeness(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -107,7 +156,7 @@ def edited_likeness(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Da
     # largest, and a hash of the text and of whether there is an id
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LARGEST)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("_h"), F.col("doc_id").isNull().alias("_no_id"))
-    words = lexicon(base, low, high)
+    words = store(lexicon(base, low, high))
     ids = base.groupBy("_id", "_h", "_no_id").agg(F.count(F.lit(1)).alias("_copies"), F.max(F.length("text")).alias("n_chars"))
     ids = store(ids)
     order = ["_id", "_no_id", "_h"]
@@ -132,11 +181,13 @@ def edited_likeness(docs: DataFrame, low: float = LOW, high: float = HIGH) -> Da
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.col("_start"))
     both = both.select(*keys, "text", edited.alias("edited"))
     digest = F.sha2("edited", 256)
-    quarters = {f"_s{i}": F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)}
-    found = store(fingerprints(both, words, keys, {"text": "fingerprint", "edited": "edited_fingerprint"}, quarters))
-    after = found.filter("_k = 1").select(F.col("_id").alias("_aid"), F.col("_h").alias("_ah"), F.col("fingerprint").alias("_after"))
-    sha = F.lower(F.concat(*[F.lpad(F.hex(q), 16, "0") for q in quarters]))
+    carry = {n: F.col(n) for n in keys[3:]}
+    carry |= {f"_s{i}": F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)}
+    found = store(fingerprints(both, words, keys[:3], "text", "edited", carry))
+    after = found.filter("_k = 1").select(F.col("_id").alias("_aid"), F.col("_h").alias("_ah"), F.col("text_print").alias("_after"))
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"_s{i}"), 16, "0") for i in range(4)]))
     return (found.join(after, (F.col("_nid") == F.col("_aid")) & (F.col("_nh") == F.col("_ah")))
-            .select(F.when(~F.col("_no_id"), F.col("_id")).alias("doc_id"), "n_chars", sha.alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-                    likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-                    likeness(F.col("fingerprint"), F.col("_after")).alias("near_next")))
+            .select(F.when(~F.col("_no_id"), F.col("_id")).alias("doc_id"), "n_chars", sha.alias("edited_sha256"),
+                    F.lower(F.hex("text_print")).alias("fingerprint"), F.lower(F.hex("edited_print")).alias("edited_fingerprint"),
+                    likeness(F.col("text_print"), F.col("edited_print")).alias("near_edited"),
+                    likeness(F.col("text_print"), F.col("_after")).alias("near_next")))
