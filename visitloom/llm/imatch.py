@@ -70,15 +70,10 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
 def _prints(found: DataFrame, names: dict[str, int]) -> DataFrame:
     """Adds fingerprints, as binary, of the texts whose flag is given: the level and both levels' hashes.
 
+    ``_expected1`` and ``_expected2`` are the terms expected at level 1, in units of 1 / 2 ** AHEAD.
+
     Each step's columns are read more than once in the next, so that Spark keeps the steps apart.
     """
-    flagged = lambda column, flag: F.filter(column, lambda e: e.bitwiseAND(flag) != 0)
-    found = found.withColumns({f"_own{w}": flagged("_found", w) for w in names.values()})
-    levels = {}
-    for w in names.values():
-        band, size = F.size(flagged(f"_own{w}", BAND)), F.size(f"_own{w}")
-        levels[f"_expected{w}"] = band * (1 << AHEAD) + size - band        # at level 1, in units of 1 / 2 ** AHEAD
-    found = found.withColumns(levels)
     for w in names.values():
         expected = F.col(f"_expected{w}")
         halvings = F.length(F.bin(F.floor(expected / F.lit(TARGET << AHEAD)).cast("long"))) - 1
@@ -86,17 +81,23 @@ def _prints(found: DataFrame, names: dict[str, int]) -> DataFrame:
         found = found.withColumn(f"_level{w}", level)
     marks = F.array(*[F.lit(i << 49) for i in range(LEXICONS)]).cast("array<bigint>")
 
-    def hashes(own: str, at: Column) -> Column:
-        kept = F.transform(F.filter(own, lambda e: F.shiftright(e, 3).bitwiseAND(DEEPEST) >= at), lambda e: F.shiftright(e, 9))
+    outlives = lambda e, level: F.shiftright(e, 3).bitwiseAND(DEEPEST) >= level
+
+    def hashes(found: str) -> Column:
+        kept = F.transform(found, lambda e: F.shiftright(e, 9))
         # a mark before each lexicon's terms: in sorted order they stand apart
         ordered = F.sort_array(F.concat(kept, marks))
         text = F.array_join(F.transform(ordered, lambda x: F.when(x.bitwiseAND((1 << 49) - 1) == 0, "|").otherwise(x.cast("string"))), "")
         each = F.split(F.substring(text, 2, LARGEST_TEXT), "[|]")
         return F.array_join(F.transform(each, lambda x: F.when(x == "", NOTHING).otherwise(F.lpad(F.hex(F.xxhash64(x).bitwiseAND((1 << 32) - 1)), 8, "0"))), "")
 
+    own = lambda w, level: F.filter("_found", lambda e: (e.bitwiseAND(w) != 0) & outlives(e, level))
+    fine = lambda w, level: F.filter(f"_coarse{w}", lambda e: outlives(e, level))
+    found = found.withColumns({f"_coarse{w}": own(w, F.col(f"_level{w}") - 1) for w in names.values()})
     for n, w in names.items():
         level = F.col(f"_level{w}")
-        found = found.withColumn(n, F.unhex(F.concat(F.lpad(F.hex(level), 2, "0"), hashes(f"_own{w}", level), hashes(f"_own{w}", F.greatest(level - 1, F.lit(0))))))
+        found = found.withColumn(f"_fine{w}", fine(w, level))
+        found = found.withColumn(n, F.unhex(F.concat(F.lpad(F.hex(level), 2, "0"), hashes(f"_fine{w}"), hashes(f"_coarse{w}"))))
     return found
 
 
@@ -126,7 +127,9 @@ def fingerprints(texts: DataFrame, lexicon: DataFrame, keys: list[str], first: s
     name = F.shiftleft(F.call_function("shiftrightunsigned", name, F.lit(9)), 9)
     packed = name + F.shiftleft(F.least(depth, F.lit(DEEPEST)), 3) + F.when(F.col("_known"), BAND).otherwise(0) + F.col("_which")
     one = rows.select(*keys, *carry, F.when(F.col("term").isNotNull(), packed).alias("_packed"))
-    one = one.groupBy(*keys).agg(*[F.max(n).alias(n) for n in carry], F.collect_list("_packed").alias("_found"))
+    held = lambda w: F.when(F.col("_packed").bitwiseAND(w) != 0, F.when(F.col("_packed").bitwiseAND(BAND) != 0, 1 << AHEAD).otherwise(1)).otherwise(0)
+    one = one.groupBy(*keys).agg(*[F.max(n).alias(n) for n in carry], F.collect_list("_packed").alias("_found"),
+                                 *[F.coalesce(F.sum(held(w)), F.lit(0)).alias(f"_expected{w}") for w in (1, 2)])
     prints = {f"{first}_print": 1} | ({f"{second}_print": 2} if second else {})
     return _prints(one, prints).select(*keys, *carry, *prints)
 
