@@ -239,16 +239,17 @@ def spread(df: DataFrame, keys, min_rows: int | None = None, sized_by: DataFrame
 ALL = "_all"
 
 
-def quantiles(df: DataFrame, value: str, probs, by=(), min_rows: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, value: str, probs, by=(), min_rows: int | None = None, n: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles, one column ``q0..qn`` per probability.
 
-    Works on value counts and an ordered scan, so no group is held in one task's memory.
+    Works on value counts and an ordered scan, so no group is held in one task's memory. ``n`` names a column
+    that says how often a row counts.
     """
     by = list(by) or [ALL]
     base = df.withColumn(ALL, F.lit(0)) if by == [ALL] else df
     counts = (base.filter(F.col(value).isNotNull())
               .groupBy(*by, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
+              .agg((F.sum(n) if n else F.count(F.lit(1))).alias("_n")))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     laid, track = lay_track(counts, by, ["_v"], min_rows=min_rows)
     ranked = lift_off(scan(laid, track, _to=("running_sum", "_n"))).join(totals, by)

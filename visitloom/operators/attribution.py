@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.functions.ordered import lay_track, lift_off, quantiles, scan, spread
-from visitloom.session import settle
+from visitloom.session import settle, store
 
 PATH = ("gid", "conv_group")
 
@@ -193,10 +193,37 @@ def model_removal_effect(paths: DataFrame, model, min_occ: int = 20, by=(), toke
     return effect.select("medium", *by, "n_occ", "rm_eff", (F.col("n_occ") * F.col("rm_eff")).alias("scaled_rm_eff"))
 
 
-def removal_rollup(effect: DataFrame, mapping: DataFrame, min_occ: int = 20) -> DataFrame:
-    """Model removal effects summed by the first trinomial of each utm, rarely seen media left out."""
+def rate_removal_effect(touches: DataFrame, min_occ: int = 20, by=(), medium: str = "utm_hash") -> DataFrame:
+    """Median change of a path's score when a medium is masked out, without a fitted model.
+
+    A path scores the mean conversion rate of its touches' media; a path of which nothing is left scores the rate of all
+    touches. ``touches`` are path rows; ``by`` must be constant in a path. Media with at most ``min_occ`` touches are
+    not masked. Works on one row per path and medium, never on a path as an array.
+    """
+    by = list(by)
+    won = F.col("cv_marker") > 0
+    per = touches.groupBy(*PATH, *by, F.col(medium).alias("medium")).agg(F.count(F.lit(1)).alias("_k"), F.max(won).alias("_won"))
+    per = store(per)
+    rates = per.groupBy("medium").agg(F.sum("_k").alias("_occ"), (F.sum(F.when(F.col("_won"), F.col("_k")).otherwise(0)) / F.sum("_k")).alias("_rate"))
+    base = per.agg(F.try_divide(F.sum(F.when(F.col("_won"), F.col("_k")).otherwise(0)), F.sum("_k")).alias("b"))
+    scored = per.join(rates, per["medium"].eqNullSafe(rates["medium"])).drop(rates["medium"])
+    scored = spread(scored, [*PATH, *by], sized_by=per, _n=F.sum("_k"), _s=F.sum(F.col("_k") * F.col("_rate")))
+    left = F.col("_n") - F.col("_k")
+    scored = scored.filter(F.col("_occ") > min_occ).select(
+        "medium", *by, "_won", (F.col("_s") / F.col("_n")).alias("_orig"),
+        F.when(left > 0, (F.col("_s") - F.col("_k") * F.col("_rate")) / left).otherwise(base.scalar()).alias("_masked"))
+    scored = store(scored)
+    n_occ = scored.groupBy("medium", *by).agg(F.count(F.lit(1)).alias("n_occ"))
+    med = lambda c: quantiles(scored.filter("_won"), c, [0.5], ["medium", *by]).withColumnRenamed("q0", f"med{c}")
+    effect = (n_occ.join(med("_orig"), ["medium", *by], "left").join(med("_masked"), ["medium", *by], "left")
+              .withColumn("rm_eff", F.try_divide(F.col("med_masked") - F.col("med_orig"), F.col("med_orig"))))
+    return effect.select("medium", *by, "n_occ", "rm_eff", (F.col("n_occ") * F.col("rm_eff")).alias("scaled_rm_eff"))
+
+
+def removal_rollup(effect: DataFrame, mapping: DataFrame, min_occ: int = 20, by=()) -> DataFrame:
+    """Model removal effects summed by the first trinomial of each utm (and ``by``), rarely seen media left out."""
     tri = mapping.select(F.col("utm_hash").alias("medium"), F.col("first_trinomial").alias("trinomial")).distinct()
     return (effect.filter(F.col("rm_eff").isNotNull() & (F.col("n_occ") > min_occ)).join(tri, "medium")
-            .groupBy("trinomial").agg(F.sum("n_occ").alias("n_occ_sum"), F.count("n_occ").alias("n_occ_count"),
+            .groupBy("trinomial", *by).agg(F.sum("n_occ").alias("n_occ_sum"), F.count("n_occ").alias("n_occ_count"),
                                       F.sum("rm_eff").alias("rm_eff"), F.sum("scaled_rm_eff").alias("scaled_rm_eff"))
             .withColumn("m_rm_eff", F.col("rm_eff") / F.col("n_occ_count")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions.columns import snap_price, title_words, uniform
 from visitloom.functions.ordered import lay_track, lift_off, quantiles, scan, split_rank
+from visitloom.session import store
 
 # Share of missing values put into each box measure.
 MISSING_RATES = {"box_weight": 0.10, "box_length": 0.15, "box_height": 0.08, "box_width": 0.12}
@@ -155,28 +158,32 @@ def value_shares(df: DataFrame, c: str) -> DataFrame:
 def profile_columns(df: DataFrame, numeric, text, few: int = 50) -> DataFrame:
     """One row per column: counts, moments, quartiles, distinct values, top value, few-values flag.
 
-    Columns are stacked once and reduced to value counts, which all order statistics come from.
+    Counts and moments of all columns are one pass of partial aggregation. Distinct and top values and quartiles
+    come from each column's own value counts, which keep its type; no row is spread over columns. Of equally
+    frequent values the first by its text is the top value.
     """
     cols = [*numeric, *text]
-    pairs = ", ".join(f"'{c}', cast(`{c}` as string)" for c in cols)
-    long = df.select(F.expr(f"stack({len(cols)}, {pairs}) as (column, value)"))
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    known = counts.filter(F.col("value").isNotNull())
-    base = counts.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-        F.count("value").alias("n_distinct"),
-        F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(-F.col("n"), F.col("value")))).alias("top_value"))
-    is_num = F.col("column").isin(*numeric)
-    v = F.col("value").cast("double")
-    num = known.filter(is_num)
-    mean = F.sum(v * F.col("n")) / F.sum("n")
-    moments = num.groupBy("column").agg(mean.alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
-    spread2 = (num.join(F.broadcast(moments.select("column", "mean")), "column").groupBy("column")
-               .agg(F.sqrt(F.sum(F.col("n") * (v - F.col("mean")) ** 2) / (F.sum("n") - 1)).alias("std")))
-    stacked = df.select(F.expr("stack({}, {}) as (column, value)".format(
-        len(numeric), ", ".join(f"'{c}', cast(`{c}` as double)" for c in numeric))))
-    q = quantiles(stacked, "value", [0.25, 0.5, 0.75], ["column"]).toDF("column", "q25", "q50", "q75")
-    out = base.join(moments, "column", "left").join(spread2, "column", "left").join(q, "column", "left")
+    nothing = F.lit(None).cast("double")
+    moments = lambda c: [F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), F.max(c).cast("double")]
+    measures = []
+    for c in cols:
+        four = moments(F.col(f"`{c}`").cast("double")) if c in numeric else [nothing] * 4
+        measures.append(F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count(f"`{c}`").alias("non_null"),
+                                 *[m.alias(n) for m, n in zip(four, ("mean", "std", "min", "max"))]))
+    flat = df.agg(F.array(*measures).alias("_m")).select(F.inline("_m"))
+    counts = {c: df.select(F.col(f"`{c}`").alias("value")).filter(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n")) for c in cols}
+    counts |= {c: store(counts[c]) for c in numeric}          # read twice
+    name = lambda c: F.lit(c).alias("column")
+    tops = reduce(DataFrame.unionByName, [
+        counts[c].agg(F.count(F.lit(1)).alias("n_distinct"), F.min(F.struct(-F.col("n"), F.col("value").cast("string").alias("v")))["v"].alias("top_value"))
+        .select(name(c), "n_distinct", "top_value") for c in cols])
+    out = flat.join(tops, "column", "left")
+    if numeric:
+        values = reduce(DataFrame.unionByName, [counts[c].select(name(c), F.col("value").cast("double").alias("value"), "n") for c in numeric])
+        q = quantiles(values, "value", [0.25, 0.5, 0.75], ["column"], n="n").toDF("column", "q25", "q50", "q75")
+        out = out.join(q, "column", "left")
+    else:
+        out = out.withColumns({q: nothing for q in ("q25", "q50", "q75")})
     return out.withColumn("few_values", F.col("n_distinct") <= few)
 
 

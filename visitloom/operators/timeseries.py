@@ -49,11 +49,16 @@ def hourly_event_share(sales: DataFrame, as_of_year: int, years: int = 4, days=(
         out("p").alias("norm_purchases"), F.col("s_p").alias("std_purchases"))
 
 
-def hourly_share_by_year(sales: DataFrame, first_year: int, days=(-1, 5)) -> DataFrame:
-    """Each year's own hourly share, for checking the pooled profile."""
+def hourly_share_by_year(sales: DataFrame, first_year: int, days=(-1, 5), last_year: int | None = None) -> DataFrame:
+    """Each year's own hourly share, for checking the pooled profile.
+
+    The scan gets one date range per year up to ``last_year`` (by default the current one); all later dates pass it.
+    """
+    last_year = max(first_year, last_year or dt.date.today().year)
+    near = _around_black_friday(F.col("sale_date"), first_year, last_year, days) | (F.col("sale_date") >= F.lit(dt.date(last_year + 1, 1, 1)))
     year = F.year("sale_date")
     d = F.datediff("sale_date", black_friday(year))
-    g = (sales.filter(d.between(*days) & (year >= first_year))
+    g = (sales.filter(near).filter(d.between(*days) & (year >= first_year))
          .groupBy(year.alias("y"), d.alias("d"), F.col("sale_hour").alias("h"))
          .agg(F.round(F.sum("gtv_after"), 2).alias("gtv"), F.sum((F.col("gtv_after") != 0).cast("int")).alias("p")))
     total = F.sum("gtv").over(W.partitionBy("y")).cast("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from visitloom.functions.ordered import spread
 from visitloom.operators import attribution as A
 from visitloom.operators import costs as C
 from visitloom.operators import markov as M
@@ -275,14 +276,34 @@ def d34_positions(t):
     return rounded(A.average_without_suffix(out, "_[01]", *_PCOLS, "weight_sum"), *_PCOLS, "weight_sum")
 
 
-@query("d31_removal_rollup", f"""WITH {LONG}, {UTM_MAP}, ft AS (SELECT utm_hash, min(trinomial) AS trinomial FROM um GROUP BY 1), e AS (SELECT utm_hash, count(*) AS n, avg(pos) AS r FROM long GROUP BY 1)
-SELECT trinomial, CAST(sum(n) AS BIGINT) AS n_occ_sum, count(n) AS n_occ_count, round(sum(r), 6) AS rm_eff, round(sum(n * r), 6) AS scaled_rm_eff, round(sum(r) / count(n), 6) AS m_rm_eff
-FROM e JOIN ft USING (utm_hash) WHERE n > 5 GROUP BY 1""")
+def _effect_sql(group: str = "") -> str:
+    """Removal effects ``ef`` on mean conversion rates, by medium (and source of the path), and first trinomials ``ft``."""
+    g = f", {group}" if group else ""
+    return f"""{LONG}, {UTM_MAP}, ft AS (SELECT utm_hash, min(trinomial) AS trinomial FROM um GROUP BY 1),
+tok AS (SELECT utm_hash, count(*) AS occ, sum(CASE WHEN cv_marker > 0 THEN 1 ELSE 0 END) / count(*) AS rate FROM long GROUP BY 1),
+al AS (SELECT sum(CASE WHEN cv_marker > 0 THEN 1 ELSE 0 END) / count(*) AS base FROM long),
+dl AS (SELECT gid, conv_group, utm_hash, cv_marker, min(datasource) OVER (PARTITION BY gid, conv_group) AS path_source FROM long),
+pm AS (SELECT gid, conv_group, path_source, utm_hash, max(cv_marker) AS cv, count(*) AS k FROM dl GROUP BY 1, 2, 3, 4),
+ps AS (SELECT *, sum(k) OVER (PARTITION BY gid, conv_group) AS n, sum(k * rate) OVER (PARTITION BY gid, conv_group) AS s FROM pm JOIN tok USING (utm_hash)),
+sc AS (SELECT *, s / n AS orig, CASE WHEN n > k THEN (s - k * rate) / (n - k) ELSE base END AS masked FROM ps, al WHERE occ > 5),
+em AS (SELECT utm_hash{g}, count(*) AS n_occ, quantile_cont(orig, 0.5) FILTER (WHERE cv > 0) AS mo, quantile_cont(masked, 0.5) FILTER (WHERE cv > 0) AS mm FROM sc GROUP BY ALL),
+ef AS (SELECT utm_hash{g}, n_occ, (mm - mo) / nullif(mo, 0) AS rm_eff, n_occ * (mm - mo) / nullif(mo, 0) AS scaled_rm_eff FROM em),
+ro AS (SELECT trinomial{g}, CAST(sum(n_occ) AS BIGINT) AS n_occ_sum, count(*) AS n_occ_count, sum(rm_eff) AS rm_eff, sum(scaled_rm_eff) AS scaled_rm_eff
+  FROM ef JOIN ft USING (utm_hash) WHERE rm_eff IS NOT NULL AND n_occ > 5 GROUP BY ALL)"""
+
+
+@query("d31_rate_removal_effect", f"WITH {_effect_sql()} SELECT utm_hash AS medium, n_occ, round(rm_eff, 6) AS rm_eff, round(scaled_rm_eff, 4) AS scaled_rm_eff FROM ef")
+def d31_rate(t):
+    out = A.rate_removal_effect(store(path_rows(t)), min_occ=5)
+    return rounded(rounded(out, "rm_eff"), "scaled_rm_eff", digits=4)
+
+
+@query("d31_removal_rollup", f"""WITH {_effect_sql()} SELECT trinomial, n_occ_sum, n_occ_count, round(rm_eff, 6) AS rm_eff, round(scaled_rm_eff, 4) AS scaled_rm_eff,
+  round(rm_eff / n_occ_count, 6) AS m_rm_eff FROM ro""")
 def d31_rollup(t):
     rows = store(path_rows(t))
-    effect = (rows.groupBy(F.col("utm_hash").alias("medium")).agg(F.count(F.lit(1)).alias("n_occ"), F.avg("pos").alias("rm_eff"))
-              .withColumn("scaled_rm_eff", F.col("n_occ") * F.col("rm_eff")))
-    return rounded(A.removal_rollup(effect, A.utm_map(rows), min_occ=5), "rm_eff", "scaled_rm_eff", "m_rm_eff")
+    out = A.removal_rollup(A.rate_removal_effect(rows, min_occ=5), A.utm_map(rows), min_occ=5)
+    return rounded(rounded(out, "rm_eff", "m_rm_eff"), "scaled_rm_eff", digits=4)
 
 
 @query("d38_match_on_value", """SELECT a.o_custkey AS utm_hash, a.o_orderkey AS left_key, b.o_orderkey AS right_key FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
@@ -293,14 +314,16 @@ def d38_match(t):
         "utm_hash", "left_key", "right_key")
 
 
-@query("d32_group_difference", f"""WITH tt AS ({N.TOUCHES}), e AS (SELECT medium, datasource, count(*) AS n_occ, avg(sess_end - sess) AS rm_eff FROM tt GROUP BY 1, 2),
-j AS (SELECT a.medium AS trinomial, a.rm_eff AS ra, b.rm_eff * a.n_occ / b.n_occ AS rb FROM e a JOIN e b ON a.medium = b.medium AND a.datasource = 'app' AND b.datasource = 'site')
-SELECT trinomial, round((ra - rb) / (ra + rb), 6) AS dif_rm_eff FROM j""")
+@query("d32_group_difference", f"""WITH {_effect_sql('path_source')}, j AS (SELECT a.trinomial, a.rm_eff AS ra, b.rm_eff * a.n_occ_sum / b.n_occ_sum AS rb, a.scaled_rm_eff AS sa, b.scaled_rm_eff * a.n_occ_sum / b.n_occ_sum AS sb
+  FROM ro a JOIN ro b ON a.trinomial = b.trinomial AND a.path_source = 'app' AND b.path_source = 'site')
+SELECT trinomial, round((ra - rb) / nullif(ra + rb, 0), 4) AS dif_rm_eff, round((sa - sb) / nullif(sa + sb, 0), 4) AS dif_scaled_rm_eff FROM j""")
 def d32_difference(t):
-    rows = N.touches_in(t)
-    effect = rows.groupBy(F.col("medium").alias("trinomial"), "datasource").agg(
-        F.count(F.lit(1)).alias("n_occ"), F.avg(F.col("sess_end") - F.col("sess")).alias("rm_eff"))
-    return rounded(A.group_difference(effect, "datasource", "app", "site", ["rm_eff"]), "dif_rm_eff")
+    """Paths that touched the app against those of the site alone."""
+    rows = store(path_rows(t))
+    split = spread(rows, A.PATH, path_source=F.min("datasource"))
+    effect = A.removal_rollup(A.rate_removal_effect(split, 5, ["path_source"]), A.utm_map(rows), 5, ["path_source"])
+    out = A.group_difference(effect, "path_source", "app", "site", ["rm_eff", "scaled_rm_eff"], n="n_occ_sum")
+    return rounded(out, "dif_rm_eff", "dif_scaled_rm_eff", digits=4)
 
 
 @query("d62_class_token_share", f"""WITH {MEDIUM_KEPT}, s AS (SELECT medium, sum(CASE WHEN cv_marker = 1 THEN 1 ELSE 0 END) AS y, sum(CASE WHEN cv_marker = 0 THEN 1 ELSE 0 END) AS n FROM kept GROUP BY 1)

@@ -74,12 +74,12 @@ def sessions_in(t: Tables) -> DataFrame:
         F.struct(act.alias("action_type")).alias("eCommerceAction"),
         F.struct(page.alias("pagePath")).alias("page"), prods.alias("product"))
     no_product = F.array(F.struct(F.lit(True).alias("isImpression")))
-    two = F.array(F.struct(F.lit(True).alias("isImpression")),
-                  F.struct(F.lit(False).alias("isImpression")))
+    shown = lambda flag: F.struct(F.lit(flag).alias("isImpression"))
+    several = F.concat(F.array_repeat(shown(True), (1 + i % 3).cast("int")), F.array_repeat(shown(False), (i % 4).cast("int")))
     hits = F.array(
         hit(F.lit("0"), F.when(i % 2 == 1, F.when(i % 3 == 1, "/").otherwise("/home")).otherwise("/"),
             no_product),
-        hit(action, F.concat(F.lit("/p/"), (i % 9).cast("string")), two))
+        hit(action, F.concat(F.lit("/p/"), (i % 9).cast("string")), several))
     return e.select(
         i.alias("visit_id"),
         F.when(i % 2 == 0, "app").otherwise("site").alias("datasource"),
@@ -141,8 +141,8 @@ def gmv() -> F.Column:
             ).cast("decimal(18,4)")
 
 
-def items_in(t: Tables) -> DataFrame:
-    """One row per sold item with its order, customer and product attributes.
+def items_in(t: Tables, *more: F.Column) -> DataFrame:
+    """One row per sold item with its order, customer and product attributes, and ``more`` columns of the joined tables.
 
     ``nation`` is the only side with a fixed size; the other joins are left to the planner,
     which splits a hot order or part key at run time.
@@ -168,12 +168,13 @@ def items_in(t: Tables) -> DataFrame:
                 F.when(F.col("p_size") % 2 == 0, 1).otherwise(0).alias("is_market_place"),
                 F.to_date("l_shipdate").alias("delivered_date"),
                 F.col("l_linenumber").alias("line_no"),
-                gmv().alias("gmv")))
+                gmv().alias("gmv"), *more))
 
 
 GMV = ("CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * (CAST(1 AS DECIMAL(4,2)) - CAST(l.l_discount AS DECIMAL(4,2)))"
        " AS DECIMAL(18,4))")
-ITEMS = f"""
+def items_sql(more: str = "") -> str:
+    return f"""
 SELECT o.o_custkey AS fk_customer, o.o_orderkey AS sale_order_store_number,
   CAST(o.o_orderdate AS DATE) AS sale_date, CAST(o.o_orderkey % 24 AS INT) AS sale_hour,
   CASE WHEN o.o_orderstatus <> 'P' THEN 1 ELSE 0 END AS is_paid,
@@ -181,12 +182,15 @@ SELECT o.o_custkey AS fk_customer, o.o_orderkey AS sale_order_store_number,
   o.o_orderpriority AS device, c.c_mktsegment AS channel, n.n_name AS state,
   p.p_partkey AS product_id, p.p_brand AS brand, p.p_type AS category,
   CASE WHEN p.p_size % 2 = 0 THEN 1 ELSE 0 END AS is_market_place,
-  CAST(l.l_shipdate AS DATE) AS delivered_date, l.l_linenumber AS line_no, {GMV} AS gmv
+  CAST(l.l_shipdate AS DATE) AS delivered_date, l.l_linenumber AS line_no, {GMV} AS gmv{more}
 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
 JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey
 JOIN part p ON p.p_partkey = l.l_partkey"""
 
 
+ITEMS = items_sql()
+
+
 def customers_in(t: Tables) -> DataFrame:
     c, n = t.customer, t.nation
     return (c.join(F.broadcast(n), n.n_nationkey == c.c_nationkey, "left").select(

@@ -134,7 +134,7 @@ q("j13_scalar_subquery", "SELECT o_orderkey FROM orders WHERE CAST(o_totalprice
   lambda t: t.orders.filter(money("o_totalprice") > t.orders.agg(F.max(money("o_totalprice"))).scalar() * lit(0.9).cast("decimal(2,1)")).select("o_orderkey"))
 q("j14_array_subquery", "SELECT event_id AS visit_id, CASE WHEN event_id % 3 = 0 THEN md5(CAST(user_id AS VARCHAR)) WHEN event_id % 7 = 0 THEN CAST(user_id AS VARCHAR) WHEN event_id % 5 = 0 THEN 'guest' END AS v, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS n FROM events",
   lambda t: N.sessions_in(t).select("visit_id", X.keyed("customDimensions", 8).alias("v"), X.count_where("hits", lambda h: h["eCommerceAction"]["action_type"] == "6").alias("n")))
-q("j15_two_level_unnest", "SELECT event_id AS visit_id, 2 AS products, 3 AS shown FROM events",
+q("j15_two_level_unnest", "SELECT event_id AS visit_id, 2 + event_id % 3 AS products, 2 + event_id % 3 + event_id % 4 AS shown FROM events",
   lambda t: N.sessions_in(t).select("visit_id", F.explode("hits").alias("h")).select("visit_id", F.explode("h.product").alias("p")).groupBy("visit_id").agg(F.count_if(c("p.isImpression")).alias("products"), F.count(lit(1)).alias("shown")))
 q("j16_unnest_offset", "SELECT doc_id, i - 1 AS off, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(lang || ' ' || source, ' ') AS w FROM documents))",
   lambda t: t.documents.select("doc_id", F.posexplode(F.split(F.concat_ws(" ", "lang", "source"), " ")).alias("off", "word")))
@@ -347,7 +347,7 @@ q("f17_coalesce", f"SELECT o_orderkey, coalesce(CAST(a AS VARCHAR), b, 'x') AS v
 q("f18_array_lookup", "SELECT event_id AS visit_id, CASE WHEN event_id % 11 <> 0 THEN 1 ELSE 0 END AS has_device FROM events", lambda t: N.sessions_in(t).select("visit_id", F.when(X.keyed("customDimensions", 23).isNotNull(), 1).otherwise(0).alias("has_device")))
 q("f19_array_exists", "SELECT event_id AS visit_id, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS n2, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS bought FROM events",
   lambda t: N.sessions_in(t).select("visit_id", X.count_where("hits", lambda h: h["eCommerceAction"]["action_type"] == "2").alias("n2"), F.exists("hits", lambda h: h["eCommerceAction"]["action_type"] == "6").cast("int").alias("bought")))
-q("f20_flatten", "SELECT event_id AS visit_id, 3 AS n, 2 AS shown FROM events", lambda t: N.sessions_in(t).select("visit_id", F.flatten(F.transform("hits", lambda h: h["product"])).alias("p")).select("visit_id", F.size("p").alias("n"), F.size(F.filter("p", lambda x: x["isImpression"])).alias("shown")))
+q("f20_flatten", "SELECT event_id AS visit_id, 2 + event_id % 3 + event_id % 4 AS n, 2 + event_id % 3 AS shown FROM events", lambda t: N.sessions_in(t).select("visit_id", F.flatten(F.transform("hits", lambda h: h["product"])).alias("p")).select("visit_id", F.size("p").alias("n"), F.size(F.filter("p", lambda x: x["isImpression"])).alias("shown")))
 _words = lambda t: t.documents.select("doc_id", F.array("lang", "source", "lang").alias("a"))
 q("f21_array_utils", "SELECT doc_id, 3 AS n, CASE WHEN lang = 'en' THEN 2 ELSE 0 END AS n_en, CASE WHEN lang = 'en' THEN '0,2' ELSE '' END AS at, lang AS last, 2 AS uniq, lang || ',' || source || ',' || lang || ',-,-' AS padded FROM documents",
   lambda t: _words(t).select("doc_id", F.size("a").alias("n"), F.size(F.filter("a", lambda x: x == "en")).alias("n_en"), F.array_join(F.filter(F.transform("a", lambda x, i: F.when(x == "en", i)), lambda i: i.isNotNull()).cast("array<string>"), ",").alias("at"), F.element_at("a", -1).alias("last"), F.size(F.array_distinct("a")).alias("uniq"), F.array_join(F.slice(F.concat("a", F.array_repeat(lit("-"), 5)), 1, 5), ",").alias("padded")))
@@ -358,6 +358,6 @@ q("f23_map_replace", "SELECT c_custkey, coalesce(r_name, 'none') AS region FROM
 q("f24_cut", "SELECT p_partkey, CASE WHEN p_size <= 18 THEN '<18' WHEN p_size <= 35 THEN '18-35' ELSE '35+' END AS bin FROM part", lambda t: t.part.select("p_partkey", X.cut("p_size", [float("-inf"), 18, 35, float("inf")], ["<18", "18-35", "35+"]).alias("bin")))
 _urls = lambda t: t.part.select("p_partkey", F.concat(F.when(c("p_size") % 3 == 0, "http://").when(c("p_size") % 3 == 1, "/").otherwise(""), lit("img/"), c("p_partkey").cast("string"), lit("/1-z.jpg")).alias("url"))
 q("f25_url_normalise", "SELECT p_partkey, 'http://img/' || CAST(p_partkey AS VARCHAR) || '/1-z.jpg' AS url FROM part", lambda t: _urls(t).select("p_partkey", O.image_url("url").alias("url")))
-q("f25_url_views", "SELECT p_partkey, 'http://img/x/' || CAST(i AS VARCHAR) || '-z.jpg' AS view_url FROM part, (SELECT unnest([1, 2, 3, 4]) AS i)",
-  lambda t: O.image_views(t.part.select("p_partkey", lit("http://img/x/1-z.jpg").alias("url")), "url").select("p_partkey", "view_url"))
+q("f25_url_views", "SELECT p_partkey, 'http://img/' || CAST(p_partkey AS VARCHAR) || '/' || CAST(i AS VARCHAR) || '-z.jpg' AS view_url FROM part, (SELECT unnest([1, 2, 3, 4]) AS i)",
+  lambda t: O.image_views(_urls(t).select("p_partkey", O.image_url("url").alias("url")), "url").select("p_partkey", "view_url"))
 q("f26_from_json", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events", lambda t: t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k")))

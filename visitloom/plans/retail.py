@@ -243,40 +243,92 @@ def d48(t):
 # ------------------------------------------------------------------ D49-D52
 def planning(t):
     return t.part.groupBy(F.col("p_type").alias("category"), F.col("p_brand").alias("brand")).agg(
-        F.max(F.when(F.col("p_size") > 25, " ").otherwise("core")).alias("cluster"), F.min("p_size").cast("string").alias("plan_age"))
+        F.max(F.when(F.col("p_size") > 25, " ").otherwise("core")).alias("cluster"),
+        F.max(F.when(F.col("p_retailprice") < 950, " ").otherwise(F.col("p_size").cast("string"))).alias("age"))
 
 
 def repeat_fact(t):
-    items = N.items_in(t).withColumn("sku_config", F.concat(F.lit("sku"), F.col("product_id").cast("string")))
-    feed = t.part.filter(F.col("p_partkey") % 4 != 0).select(
-        F.col("p_partkey").alias("product_id"), F.concat(F.lit("g/"), F.col("p_name")).alias("google_product_category"))
-    dim = N.customers_in(t).select(F.col("src_fk_customer").alias("fk_customer"), "gender", "birthday", "cust_created_year")
-    ext = t.part.groupBy(F.col("p_type").alias("category"), F.col("p_brand").alias("brand"), (F.col("p_size") % 2 == 0).cast("int").alias("is_market_place")).agg(
-        F.max(F.floor(F.col("p_retailprice") / 100)).alias("ticketrange"))
-    fact = C.repeat_buyer_fact(items, [(dim, ["fk_customer"], "inner"), (planning(t), ["category", "brand"], "inner"),
-                                       (ext, ["category", "brand", "is_market_place"], "inner"), (feed, ["product_id"], "left")], "1995-06-01")
+    """Sold items of repeat buyers with nine dimensions and two planning tables, 37 columns.
+
+    The tables have no ids of campaigns, coupons, payments or deliveries; these stem from tax, discount, priority and line status.
+    """
+    c = F.col
+    word = lambda i: F.element_at(F.split("p_name", " "), i)
+    items = N.items_in(
+        t, c("l_suppkey").alias("fk_channel_partner"), c("c_nationkey").alias("fk_address"), F.concat(F.lit("sku"), c("p_partkey").cast("string")).alias("sku_config"),
+        (c("l_tax") > 0.04).cast("int").alias("is_campaign"), (c("l_discount") > 0.05).cast("int").alias("is_coupon"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("fk_payment"), c("l_linestatus").alias("fk_delivery"),
+        (c("l_extendedprice").cast("decimal(18,2)") * c("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)").alias("product_discount"),
+        (c("l_extendedprice").cast("decimal(18,2)") * c("l_tax").cast("decimal(4,2)")).cast("decimal(18,4)").alias("shipping_discount")).drop("state", "category", "brand", "is_market_place")
+    dim = N.customers_in(t).select(c("src_fk_customer").alias("fk_customer"), "gender", "birthday", "cust_created_year")
+    paid = N.items_in(t).filter("is_paid = 1").groupBy("fk_customer").agg(F.min("sale_date").alias("first_order_paid"))
+    partner = t.supplier.select(c("s_suppkey").alias("fk_channel_partner"), c("s_name").alias("channel_partner_name"))
+    product = t.part.select(
+        c("p_partkey").alias("product_id"), c("p_name").alias("product_name"), c("p_brand").alias("brand"), c("p_type").alias("category"),
+        word(-1).alias("division"), (c("p_size") % 3).cast("int").alias("business_unit"), word(1).alias("product_color"),
+        F.when(c("p_size") % 2 == 0, "unisex").otherwise("adult").alias("product_gender"),
+        F.concat(F.lit("img/"), c("p_partkey").cast("string"), F.lit("/1-z.jpg")).alias("product_image_url"),
+        c("p_retailprice").alias("product_original_price"), (c("p_size") % 2 == 0).cast("int").alias("is_market_place"))
+    payment = t.orders.select("o_orderpriority").distinct().select(
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("fk_payment"), F.lower(F.substring_index("o_orderpriority", "-", -1)).alias("payment_method_name"))
+    delivery = t.lineitem.select(c("l_linestatus").alias("fk_delivery")).distinct().withColumn(
+        "shipping_condition", F.when(c("fk_delivery") == "O", "express").otherwise("regular"))
+    address = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey")).select(
+        c("n_nationkey").alias("fk_address"), c("n_name").alias("delivery_city"), F.upper(F.right("n_name", F.lit(2))).alias("delivery_state_code"),
+        c("r_name").alias("delivery_country_region"))
+    feed = t.part.filter(c("p_partkey") % 4 != 0).select(
+        F.concat(F.lit("sku"), c("p_partkey").cast("string")).alias("sku_config"), F.concat(F.lit("g/"), c("p_name")).alias("google_product_category"))
+    ext = t.part.groupBy(c("p_type").alias("category"), c("p_brand").alias("brand"), (c("p_size") % 2 == 0).cast("int").alias("is_market_place")).agg(
+        F.max(F.floor(c("p_retailprice") / 100)).alias("ticketrange"), F.max(F.floor(c("p_retailprice") / 500)).alias("originalpricerange"))
+    fact = C.repeat_buyer_fact(items, [
+        (dim, ["fk_customer"], "inner"), (paid, ["fk_customer"], "left"), (partner, ["fk_channel_partner"], "inner"), (product, ["product_id"], "inner"),
+        (payment, ["fk_payment"], "inner"), (delivery, ["fk_delivery"], "inner"), (address, ["fk_address"], "inner"),
+        (planning(t), ["category", "brand"], "inner"), (ext, ["category", "brand", "is_market_place"], "inner"), (feed, ["sku_config"], "left")], "1995-06-01")
+    known = lambda n: F.when(c(n) == " ", "Unknown").otherwise(c(n))
     return fact.withColumns({
-        "customer_age": F.year("sale_date") - F.col("birthday"),
+        "customer_age": F.year("sale_date") - c("birthday"),
         "google_product_category": F.coalesce("google_product_category", F.lit("Unknown")),
-        "planning_cluster": F.when(F.col("cluster") == " ", "Unknown").otherwise(F.col("cluster"))})
+        "platform_name": F.when(c("fk_payment") <= 2, "mobile").otherwise("desktop"),
+        "planning_cluster": known("cluster"), "planning_age": known("age")})
 
 
-_FACT_COLS = ("fk_customer, sale_order_store_number, line_no, sku_config, n_orders, gender, customer_age, cust_created_year, channel, device, state, brand, "
-              "category, google_product_category, planning_cluster, plan_age, ticketrange")
+_FACT_COLS = ("fk_customer, sale_order_store_number, line_no, n_orders, gender, customer_age, cust_created_year, channel, channel_partner_name, sku_config, is_campaign, "
+              "product_name, product_gender, product_color, brand, product_image_url, category, division, business_unit, google_product_category, payment_method_name, "
+              "shipping_condition, is_coupon, device, platform_name, delivery_city, delivery_state_code, delivery_country_region, planning_cluster, planning_age, "
+              "ticketrange, originalpricerange")
+_FACT_MORE = f""", l.l_suppkey AS fk_channel_partner, c.c_nationkey AS fk_address, 'sku' || CAST(p.p_partkey AS VARCHAR) AS sku_config, CASE WHEN l.l_tax > 0.04 THEN 1 ELSE 0 END AS is_campaign,
+  CASE WHEN l.l_discount > 0.05 THEN 1 ELSE 0 END AS is_coupon, CAST(substr(o.o_orderpriority, 1, 1) AS INT) AS fk_payment, l.l_linestatus AS fk_delivery,
+  CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(l.l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS product_discount,
+  CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(l.l_tax AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS shipping_discount"""
 
 
-@query("d49_repeat_buyer_fact", f"""WITH {ITEMS}, {DIM}, lv AS (SELECT *, 'sku' || CAST(product_id AS VARCHAR) AS sku_config FROM items WHERE is_canceled = 0 AND sale_date > DATE '1995-06-01'),
+@query("d49_repeat_buyer_fact", f"""WITH items AS ({N.items_sql(_FACT_MORE)}), {DIM}, lv AS (SELECT * EXCLUDE (state, category, brand, is_market_place) FROM items WHERE is_canceled = 0 AND sale_date > DATE '1995-06-01'),
 no AS (SELECT fk_customer, count(DISTINCT sale_date) AS n_orders FROM lv GROUP BY 1 HAVING count(DISTINCT sale_date) > 1),
-pl AS (SELECT p_type AS category, p_brand AS brand, max(CASE WHEN p_size > 25 THEN ' ' ELSE 'core' END) AS cluster, CAST(min(p_size) AS VARCHAR) AS plan_age FROM part GROUP BY 1, 2),
-ex AS (SELECT p_type AS category, p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS is_market_place, CAST(max(floor(p_retailprice / 100)) AS BIGINT) AS ticketrange FROM part GROUP BY 1, 2, 3),
-fd AS (SELECT p_partkey AS product_id, 'g/' || p_name AS gpc FROM part WHERE p_partkey % 4 <> 0),
-fact AS (SELECT lv.*, n_orders, gender, year(sale_date) - birthday AS customer_age, cust_created_year, coalesce(gpc, 'Unknown') AS google_product_category,
-  CASE WHEN cluster = ' ' THEN 'Unknown' ELSE cluster END AS planning_cluster, plan_age, ticketrange FROM lv JOIN no USING (fk_customer) JOIN dim ON src_fk_customer = lv.fk_customer
-  JOIN pl USING (category, brand) JOIN ex USING (category, brand, is_market_place) LEFT JOIN fd USING (product_id))
-SELECT {_FACT_COLS}, count(*) AS n, round(CAST(sum(gmv) AS DOUBLE), 4) AS sale_value FROM fact GROUP BY ALL""")
+pd AS (SELECT fk_customer, min(sale_date) AS first_order_paid FROM items WHERE is_paid = 1 GROUP BY 1),
+pr AS (SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS brand, p_type AS category, string_split(p_name, ' ')[-1] AS division, p_size % 3 AS business_unit,
+  string_split(p_name, ' ')[1] AS product_color, CASE WHEN p_size % 2 = 0 THEN 'unisex' ELSE 'adult' END AS product_gender, 'img/' || CAST(p_partkey AS VARCHAR) || '/1-z.jpg' AS product_image_url,
+  p_retailprice AS product_original_price, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS is_market_place FROM part),
+pay AS (SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS INT) AS fk_payment, lower(split_part(o_orderpriority, '-', -1)) AS payment_method_name FROM orders),
+ad AS (SELECT n_nationkey AS fk_address, n_name AS delivery_city, upper(right(n_name, 2)) AS delivery_state_code, r_name AS delivery_country_region FROM nation JOIN region ON r_regionkey = n_regionkey),
+pl AS (SELECT p_type AS category, p_brand AS brand, max(CASE WHEN p_size > 25 THEN ' ' ELSE 'core' END) AS cluster,
+  max(CASE WHEN p_retailprice < 950 THEN ' ' ELSE CAST(p_size AS VARCHAR) END) AS age FROM part GROUP BY 1, 2),
+ex AS (SELECT p_type AS category, p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS is_market_place, CAST(max(floor(p_retailprice / 100)) AS BIGINT) AS ticketrange,
+  CAST(max(floor(p_retailprice / 500)) AS BIGINT) AS originalpricerange FROM part GROUP BY 1, 2, 3),
+fd AS (SELECT 'sku' || CAST(p_partkey AS VARCHAR) AS sku_config, 'g/' || p_name AS gpc FROM part WHERE p_partkey % 4 <> 0),
+fact AS (SELECT lv.*, n_orders, gender, year(sale_date) - birthday AS customer_age, cust_created_year, first_order_paid, s_name AS channel_partner_name, pr.* EXCLUDE (product_id),
+  coalesce(gpc, 'Unknown') AS google_product_category, payment_method_name, CASE WHEN fk_delivery = 'O' THEN 'express' ELSE 'regular' END AS shipping_condition,
+  CASE WHEN fk_payment <= 2 THEN 'mobile' ELSE 'desktop' END AS platform_name, delivery_city, delivery_state_code, delivery_country_region,
+  CASE WHEN cluster = ' ' THEN 'Unknown' ELSE cluster END AS planning_cluster, CASE WHEN age = ' ' THEN 'Unknown' ELSE age END AS planning_age, ticketrange, originalpricerange
+  FROM lv JOIN no USING (fk_customer) JOIN dim ON src_fk_customer = lv.fk_customer LEFT JOIN pd ON pd.fk_customer = lv.fk_customer JOIN supplier ON s_suppkey = fk_channel_partner
+  JOIN pr USING (product_id) JOIN pay USING (fk_payment) JOIN ad USING (fk_address) JOIN pl USING (category, brand) JOIN ex USING (category, brand, is_market_place) LEFT JOIN fd USING (sku_config))
+SELECT {_FACT_COLS}, CAST(sale_date AS VARCHAR) AS sale_date, CAST(first_order_paid AS VARCHAR) AS first_order_paid, count(*) AS n, round(CAST(sum(gmv) AS DOUBLE), 4) AS sale_value,
+  round(CAST(sum(product_discount) AS DOUBLE), 4) AS product_discount, round(CAST(sum(shipping_discount) AS DOUBLE), 4) AS shipping_discount, round(max(product_original_price), 4) AS product_original_price
+FROM fact GROUP BY ALL""")
 def d49(t):
-    return rounded(repeat_fact(t).groupBy(*_FACT_COLS.split(", ")).agg(F.count(F.lit(1)).alias("n"), F.sum("gmv").alias("sale_value")),
-                   "sale_value", digits=4)
+    out = repeat_fact(t).groupBy(*_FACT_COLS.split(", "), F.col("sale_date").cast("string").alias("sale_date"), F.col("first_order_paid").cast("string").alias("first_order_paid")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("gmv").alias("sale_value"), F.sum("product_discount").alias("product_discount"),
+        F.sum("shipping_discount").alias("shipping_discount"), F.max("product_original_price").alias("product_original_price"))
+    return rounded(out, "sale_value", "product_discount", "shipping_discount", "product_original_price", digits=4)
 
 
 @query("d49_sku_urls", "SELECT DISTINCT 'sku' || CAST(l_partkey AS VARCHAR) AS sku_config, 'http://img/' || CAST(l_partkey % 97 AS VARCHAR) || '/1-x.jpg' AS url FROM lineitem")
