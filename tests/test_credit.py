@@ -142,3 +142,37 @@ def test_lift(spark):
 def test_category_groups(spark):
     df = spark.createDataFrame([("Canais x",), ("B2B Services",), ("Other",)], "category_name string")
     assert [r[0] for r in df.select(C.category_group()).collect()] == ["PERFORMANCE", "B2B", "Other"]
+
+
+def test_rate_removal_effect_equals_plain_python(spark):
+    import random
+    from collections import Counter, defaultdict
+
+    rnd, rows = random.Random(3), []
+    for g in range(60):
+        won = rnd.randint(0, 1)
+        rows += [(g, 0, rnd.choice("aabcd") if g else "z", won) for _ in range(rnd.randint(1, 6))]
+    df = spark.createDataFrame(rows, "gid long, conv_group long, utm_hash string, cv_marker int").withColumn("half", F.col("gid") % 2)
+    seen, hit, paths = Counter(r[2] for r in rows), Counter(r[2] for r in rows if r[3]), defaultdict(list)
+    for g, _, m, won in rows:
+        paths[g].append(m)
+    rate, base = {m: hit[m] / n for m, n in seen.items()}, sum(hit.values()) / len(rows)
+    won = {r[0]: r[3] for r in rows}
+    score = lambda ms: sum(rate[m] for m in ms) / len(ms) if ms else base
+
+    def median(v):
+        v = sorted(v)
+        return (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+
+    for by in ([], ["half"]):
+        want = {}
+        for m in seen:
+            for k in ({0, 1} if by else {None}):
+                mine = [g for g in paths if m in paths[g] and k in (None, g % 2)]
+                if seen[m] > 6 and mine:
+                    good = [g for g in mine if won[g]]
+                    a, b = median([score(paths[g]) for g in good]), median([score([x for x in paths[g] if x != m]) for g in good])
+                    want[(m, k) if by else m] = (len(mine), (b - a) / a)
+        got = {((r["medium"], r["half"]) if by else r["medium"]): (r["n_occ"], r["rm_eff"]) for r in A.rate_removal_effect(df, 6, by).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], abs_tol=1e-9) for k in want)

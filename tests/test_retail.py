@@ -119,3 +119,42 @@ def test_perturb_rates(spark):
     df = spark.range(20000).select("id", F.lit(1.0).alias("price"), F.lit(1.0).alias("box_width"))
     out = K.perturb(df, 5, "id", missing={"box_width": 0.12}).agg(F.avg((F.col("price") > 1).cast("int")), F.avg(F.col("box_width").isNull().cast("int"))).first()
     assert abs(out[0] - 0.05) < 0.01 and abs(out[1] - 0.12) < 0.01
+
+
+def test_first_order_keeps_unpaid_items_and_skips_customers_of_old(spark):
+    day = lambda s: dt.date.fromisoformat(s)
+    base = dict(brand_partner="p", device="d", birth_year=1980, gender="f", state="SP", is_crossdocking=0, is_private_label=0, is_brand=0,
+                expected_delivery_date=day("2020-01-05"), delivered_date=day("2020-01-04"))
+    item = lambda who, number, date, paid, channel, market, gmv: dict(
+        base, fk_customer=who, sale_order_store_number=number, sale_date=day(date), is_paid=paid, channel=channel, is_market_place=market, gmv=gmv)
+    df = spark.createDataFrame([
+        item(1, 5, "2019-12-01", 0, "a", 1, 9.0),                                                # never paid: not the first order
+        item(1, 7, "2020-01-01", 1, "m", 0, 1.0), item(1, 7, "2020-01-01", 1, "m", 0, 2.0),      # equal rows are one
+        item(1, 7, "2020-01-01", 0, "b", 1, 4.0),
+        item(1, 8, "2020-01-01", 1, "z", 0, 8.0),                                                # same day, next order
+        item(2, 1, "2018-01-01", 1, "m", 0, 1.0), item(2, 2, "2020-01-01", 1, "m", 0, 1.0)])
+    for by_order in (False, True):
+        (r,) = C.first_order_features(df, "2019-01-01", "2021-01-01", by_order).collect()
+        assert (r["fk_customer"], r["first_sale_number"], r["first_sale_date"], r["second_sale_date"]) == (1, 7, "20200101", "20200101")
+        assert (r["channel"], r["has_marketplace"], r["gmv"], r["age"]) == ("m", 1, 7.0, 41)
+    assert C.first_order_features(df.filter("false"), "2019-01-01", "2021-01-01").count() == 0
+
+
+def test_profile_keeps_types_and_counts_blanks(spark):
+    df = spark.createDataFrame([(10, "b"), (9, "a"), (9, "b"), (10, None), (None, "a"), (100, "c")], "n int, t string")
+    got = {r["column"]: r for r in K.profile_columns(df, ["n"], ["t"], few=3).collect()}
+    n, t = got["n"], got["t"]
+    assert (n["rows"], n["non_null"], n["n_distinct"], n["top_value"], n["min"], n["q25"], n["q50"], n["max"]) == (6, 5, 3, "10", 9, 9, 10, 100)
+    assert (t["rows"], t["non_null"], t["n_distinct"], t["top_value"], t["mean"], t["q50"]) == (6, 5, 3, "a", None, None)
+    assert n["few_values"] and n["mean"] == 27.6
+    (only,) = K.profile_columns(df.filter("t = 'none'"), [], ["t"]).collect()
+    assert (only["rows"], only["n_distinct"], only["top_value"], only["q25"]) == (0, 0, None, None)
+
+
+def test_share_by_year_keeps_dates_after_the_last_range(spark):
+    from visitloom.operators import timeseries as S
+
+    rows = [(dt.date(y, 11, 27), 10, 5.0, 5.0) for y in (2019, 2020, 2026)] + [(dt.date(2020, 6, 1), 1, 1.0, 1.0), (dt.date(2026, 6, 1), 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "sale_date date, sale_hour int, gtv_after double, gtv_before double")
+    got = {(r["y"], r["n_gtv"]) for r in S.hourly_share_by_year(df, 2020, last_year=2021).collect()}
+    assert got == {(2020, 1.0), (2026, 1.0)}

@@ -87,39 +87,31 @@ def first_order_features(items: DataFrame, since: str, as_of: str, by_order: boo
     """
     attrs = ["channel", "brand_partner", "device", "birth_year", "gender", "state", "expected_delivery_date",
              "delivered_date"]
-    # read four times below; the joins behind it run once
-    items = store(items.select("fk_customer", "sale_date", "sale_order_store_number", *attrs, "is_paid", "is_market_place",
-                               "is_crossdocking", "is_private_label", "is_brand", "gmv"))
-    paid = items.filter(F.col("is_paid") == 1)
-    first = (paid.groupBy("fk_customer")
-             .agg(F.min(F.struct("sale_date", "sale_order_store_number")).alias("f"))
-             .filter(F.col("f.sale_date") >= F.to_date(F.lit(since)))
-             .select("fk_customer", F.col("f.sale_date").alias("first_sale_date"),
-                     F.col("f.sale_order_store_number").alias("first_sale_number")))
-    rows = paid.join(first, "fk_customer", "left_semi")
-    if by_order:
-        rows = rows.groupBy("fk_customer", "sale_date", "sale_order_store_number").agg(*[F.min(a).alias(a) for a in attrs])
-    else:
-        rows = rows.select("fk_customer", "sale_date", "sale_order_store_number", *attrs).distinct()
-    laid, track = lay_track(rows, ["fk_customer"], ["sale_date", "sale_order_store_number", *attrs], sized_by=paid)
-    ranked = lift_off(scan(laid, track, rn=("row_number", None)))
-    per = ranked.groupBy("fk_customer").agg(
-        F.min("channel").alias("channel"), F.min("brand_partner").alias("partner"), F.min("device").alias("device"),
-        F.min(F.year(F.to_date(F.lit(as_of))) - F.col("birth_year")).alias("age"),
-        F.min("gender").alias("gender"), F.min(F.lower("state")).alias("state"),
-        F.date_format(F.min("expected_delivery_date"), "yyyyMMdd").alias("expected_delivery_date"),
-        F.date_format(F.min("delivered_date"), "yyyyMMdd").alias("delivered_date"),
-        F.date_format(F.min(F.when(F.col("rn") == 2, F.col("sale_date"))), "yyyyMMdd").alias("second_sale_date"))
-    flag = lambda c: F.max(F.when(F.col(c) > 0, 1).otherwise(0))
-    targets = (items.join(first.select("first_sale_number", F.col("fk_customer").alias("_c")),
-                          (F.col("sale_order_store_number") == F.col("first_sale_number"))
-                          & (F.col("fk_customer") == F.col("_c")))
-               .groupBy("fk_customer", "first_sale_number")
-               .agg(flag("is_market_place").alias("has_marketplace"), flag("is_crossdocking").alias("has_crossdocking"),
-                    flag("is_private_label").alias("has_private_label"), flag("is_brand").alias("has_brands"),
-                    F.sum("gmv").cast("double").alias("gmv")))
-    return (per.join(first, "fk_customer").join(targets, ["fk_customer", "first_sale_number"])
-            .withColumn("first_sale_date", F.date_format("first_sale_date", "yyyyMMdd")))
+    paid = F.col("is_paid") == 1
+    flags = {"has_marketplace": "is_market_place", "has_crossdocking": "is_crossdocking", "has_private_label": "is_private_label", "has_brands": "is_brand"}
+    own = F.when(paid, F.struct(*attrs))
+    age = F.year(F.to_date(F.lit(as_of))) - F.col("birth_year")
+    kept = {"channel": F.col("channel"), "partner": F.col("brand_partner"), "device": F.col("device"), "age": age, "gender": F.col("gender"),
+            "state": F.lower("state"), "expected_delivery_date": F.col("expected_delivery_date"), "delivered_date": F.col("delivered_date")}
+    # one row per order, which all below is computed from; the joins behind ``items`` run once
+    orders = store(items.groupBy("fk_customer", "sale_date", "sale_order_store_number").agg(
+        F.max(paid).alias("_paid"), (~F.min(own).eqNullSafe(F.max(own))).alias("_differ"),
+        *[F.min(F.when(paid, v)).alias(n) for n, v in kept.items()],
+        *[F.max(F.when(F.col(c) > 0, 1).otherwise(0)).alias(n) for n, c in flags.items()], F.sum("gmv").alias("gmv")))
+    place = F.struct("sale_date", "sale_order_store_number", "_differ")
+    per = (orders.filter("_paid").groupBy("fk_customer").agg(F.min(place).alias("_f"), *[F.min(n).alias(n) for n in kept])
+           .filter((F.col("_f.sale_date") >= F.to_date(F.lit(since))) & F.col("_f.sale_order_store_number").isNotNull()))
+    date = lambda c: F.date_format(c, "yyyyMMdd")
+    rest = orders.select("fk_customer", "sale_date", "sale_order_store_number", "_paid", *flags, "gmv").join(per.select("fk_customer", "_f"), "fk_customer")
+    same = F.col("sale_order_store_number") == F.col("_f.sale_order_store_number")
+    later = F.col("_paid") & (F.struct("sale_date", "sale_order_store_number") > F.struct("_f.sale_date", "_f.sale_order_store_number"))
+    targets = rest.groupBy("fk_customer").agg(
+        F.min(F.when(later, F.col("sale_date"))).alias("_second"), *[F.max(F.when(same, F.col(n))).alias(n) for n in flags],
+        F.sum(F.when(same, F.col("gmv"))).cast("double").alias("gmv"))
+    second = F.col("_second") if by_order else F.when(F.col("_f._differ"), F.col("_f.sale_date")).otherwise(F.col("_second"))
+    return per.join(targets, "fk_customer").select(
+        "fk_customer", *[(date(n) if n.endswith("_date") else F.col(n)).alias(n) for n in kept], date(second).alias("second_sale_date"),
+        date(F.col("_f.sale_date")).alias("first_sale_date"), F.col("_f.sale_order_store_number").alias("first_sale_number"), *flags, "gmv")
 
 
 def second_order_labels(features: DataFrame, as_of: str, cutoffs=(15, 30, 90, 180)) -> DataFrame:
