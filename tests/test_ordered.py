@@ -51,6 +51,35 @@ def test_chained_scans_reuse_the_layout(rows):
     assert chain(None) == chain(40)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("min_rows", [None, 40])
+def test_no_frame_is_evaluated_anew_for_every_row(rows, min_rows):
+    laid, track = O.lay_track(rows, ["k"], ["ts", "id"], min_rows=min_rows)
+    plan = plan_of(O.scan(laid, track, **KINDS))
+    assert "currentrow$(), unboundedfollowing$()" not in plan and "1, unboundedfollowing$()" not in plan
+
+
+@pytest.mark.parametrize("min_rows", [None, 20])
+@pytest.mark.parametrize("descending", [[], ["ts"], ["ts", "id"]])
+def test_next_known_reads_the_order_from_the_end(spark, descending, min_rows):
+    rng = random.Random(5)
+    data = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(9)]), i, rng.choice([None, None, "a", "b"])) for i in range(200)]
+    df = spark.createDataFrame(data, "k int, ts int, id int, s string")
+    laid, track = O.lay_track(df, ["k"], ["ts", "id"], descending, min_rows=min_rows)
+    got = {r["id"]: r["nx"] for r in O.scan(laid, track, nx=("next_known", "s")).collect()}
+    sign = lambda c, v: -v if c in descending else v
+    place = lambda r: (r[1] is None, sign("ts", r[1] or 0), sign("id", r[2]))
+    want = {}
+    for key in {r[0] for r in data}:
+        known = None
+        for r in sorted((r for r in data if r[0] == key), key=place, reverse=True):
+            known = want[r[2]] = r[3] if r[3] is not None else known
+    assert got == want
+
+
 def test_spread(rows):
     agg = dict(m=F.max("s"), n=F.count(F.lit(1)))
     one = O.spread(rows, ["k"], **agg)
