@@ -120,6 +120,27 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(docs, {}).collect()} == {"und"}
 
 
+def test_language_dictionaries_take_turns_over_many_texts(monkeypatch):
+    coder = language.Coder({"aa": b"alpha beta gamma " * 50, "bb": b"uno dos tres cuatro " * 50})
+    texts = ["alpha beta gamma alpha", None, "uno dos tres cuatro uno", "", "12", "gamma alpha beta " * 100, "tres cuatro uno"]
+    alone = [coder.judge(t) for t in texts]
+    turns = []
+
+    class Noted:
+        def __init__(self, name, inner):
+            self.name, self.inner = name, inner
+
+        def compress(self, data):
+            turns.append(self.name)
+            return self.inner.compress(data)
+    coder.coders = [Noted(n, c) for n, c in zip(coder.names, coder.coders)]
+    assert coder.judge_all(texts) == alone
+    assert [a[0] for a in alone] == ["aa", "und", "bb", "und", "und", "aa", "bb"]
+    assert sum(a != b for a, b in zip(turns, turns[1:])) == 1          # each dictionary once, not once a text
+    monkeypatch.setattr(language, "ROUND", 12)
+    assert coder.judge_all(texts) == alone
+
+
 def test_decontamination(spark):
     docs = documents(spark)
     rows = {r.doc_id: r for r in decontaminate.report(docs, benchmark(spark)).collect()}

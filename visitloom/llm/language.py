@@ -26,6 +26,7 @@ PIECE = 512
 LEVEL = 11
 MARGIN = 0.005
 SCALE = 300.0                  # bytes saved per byte of text to log-odds
+ROUND = 1 << 20                # bytes of texts compressed with one dictionary before the next one's turn
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
@@ -66,15 +67,31 @@ class Coder:
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether the margin is too narrow."""
-        if not text or not self.names or not any(map(str.isalpha, text)):
-            return "und", 0.0, True
-        data = text.lower().encode()
-        pieces = [data[i: i + PIECE] for i in range(0, len(data), PIECE)]
-        sizes = np.array([sum(len(c.compress(p)) for p in pieces) for c in self.coders], float)
-        best = int(sizes.argmin())
-        saved = (np.delete(sizes, best).min() - sizes[best]) / len(data) if len(sizes) > 1 else 1.0
-        weights = np.exp(-np.minimum((sizes - sizes[best]) / len(data) * SCALE, 700))
-        return self.names[best], float(1 / weights.sum()), bool(saved < MARGIN)
+        return self.judge_all([text])[0]
+
+    def judge_all(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """``judge`` of every text. A dictionary's tables fill a processor's cache, so each takes its turn over
+        ROUND bytes of texts rather than over every text."""
+        out, data, places, held = [("und", 0.0, True)] * len(texts), [], [], 0
+        for i, text in enumerate(texts):
+            if not text or not self.names or not any(map(str.isalpha, text)):
+                continue
+            data.append(text.lower().encode())
+            places.append(i)
+            held += len(data[-1])
+            if held >= ROUND:
+                self._round(data, places, out)
+                data, places, held = [], [], 0
+        self._round(data, places, out)
+        return out
+
+    def _round(self, data: list[bytes], places: list[int], out: list[tuple[str, float, bool]]) -> None:
+        by_language = [[sum(len(c.compress(d[i: i + PIECE])) for i in range(0, len(d), PIECE)) for d in data] for c in self.coders]
+        for d, place, sizes in zip(data, places, np.array(by_language, float).T):
+            best = int(sizes.argmin())
+            saved = (np.delete(sizes, best).min() - sizes[best]) / len(d) if len(sizes) > 1 else 1.0
+            weights = np.exp(-np.minimum((sizes - sizes[best]) / len(d) * SCALE, 700))
+            out[place] = self.names[best], float(1 / weights.sum()), bool(saved < MARGIN)
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
@@ -82,7 +99,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)      # at most MAX_LANGUAGES x DICTIONARY bytes
 
     def make():
-        coder = Coder(shared.value)
-        return lambda texts: [coder.judge(t) for t in texts]
+        return Coder(shared.value).judge_all
     marked = docs.select("doc_id", held_out().alias("held_out"), "text")
     return from_texts(marked, ["doc_id", "held_out"], make, "lang_pred string, score double, rejected boolean")
