@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from visitloom.operators import attribution as A
 from visitloom.operators import costs as C
 from visitloom.operators import markov as M
+from visitloom.plans import RUN
+from visitloom.plans import inputs as N
+from visitloom import session
 
 
 @pytest.fixture(scope="module")
@@ -131,6 +134,48 @@ def test_month_spread_and_missing_rate(spark):
     assert agg["o"]["n"] == 31 and str(agg["o"]["last"]) == "2021-12-31"
 
 
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_cost_by_utm_stores_no_row_per_day(spark):
+    t = N.Tables(spark, FOLDER)
+    app, most = spark.sparkContext.applicationId, t.lineitem.count()
+    before = set(session._stored.get(app, []))
+    rows = RUN["d38_cost_by_utm"](t).count()
+    stored = [spark.read.parquet(p) for p in set(session._stored[app]) - before]
+    assert rows and not [d.columns for d in stored if {"id_date", "exchanged_value"} & set(d.columns)]
+    assert max(d.count() for d in stored if "fx_date" not in d.columns) <= most
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_repeated_costs_count_once(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "MAX_REPEATS", most)
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), ("c", 3), (None, 4), (None, 4)], "id string, v int")
+    out = C.drop_repeats(df, "id")
+    assert out.columns == ["id", "v"] and sorted(r["v"] for r in out.collect()) == [1, 2, 3, 4]
+    once = df.filter("id IN ('a', 'c')")
+    assert C.drop_repeats(once, "id") is once and C.drop_repeats(df.limit(0), "id").count() == 0
+
+
+def test_ledger_rows_do_not_depend_on_the_layout(spark, monkeypatch):
+    t = N.Tables(spark, FOLDER)
+    few = N.costs_in(t)
+    monkeypatch.setattr(N, "LEDGER_ROWS", 300)      # more ranges than shuffle partitions
+    many = N.costs_in(t)
+    assert few.count() == t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct().count()
+    assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty()
+    # rows of one supplier lie side by side, and a supplier with many rows is split
+    places = many.withColumn("p", F.spark_partition_id()).groupBy("supplier_name").agg(F.countDistinct("p").alias("n")).agg(F.max("n"), F.min("n")).first()
+    assert 1 < places[0] <= 4 and places[1] <= 3
+
+
+def test_ledger_of_empty_tables(spark, tmp_path):
+    source = N.Tables(spark, FOLDER)
+    for name in ("lineitem", "orders", "supplier"):
+        getattr(source, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert RUN["d38_cost_by_utm"](N.Tables(spark, str(tmp_path))).count() == 0
+
+
 def test_lift(spark):
     df = spark.createDataFrame([(0, 10.0, "A")] * 4 + [(1, 5.0, "A")] * 2, "is_control int, v double, os string")
     r = C.lift(df, ["v"]).first()

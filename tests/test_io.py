@@ -143,3 +143,18 @@ def test_stored_intermediates_can_be_released(spark):
     assert session.store_once(spark, "five", lambda: spark.range(9)) is once and glob.glob(f"{folder}/part-*")
     assert session.release(spark) >= 2 and not glob.glob(f"{folder}/part-*")
     assert session.store_once(spark, "five", lambda: spark.range(9)).count() == 9
+
+
+def test_store_leaves_no_shuffle_files(spark):
+    import time
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        names = (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files))
+        return {n for n in names if n.startswith("shuffle_")}
+    setting, before = spark.conf.get(session.SHUFFLE_CLEANUP, None), shuffles()
+    df = session.store(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and df.count() == 7
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, None) == setting

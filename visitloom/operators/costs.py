@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions.columns import digest, recode
+from visitloom.session import store
 
 # Source-system ids and the warehouse ids they map to (all others map to 0, companies to 1).
 STORE_IDS = {1: 352, 3: 219, 5: 21, 7: 50, 11: 66, 13: 158, 14: 4, 15: 67, 16: 30, 17: 18, 19: 37,
@@ -40,15 +41,38 @@ def category_group(c: str = "category_name"):
             .when(v == "B2B Services", "B2B").otherwise(v))
 
 
+MAX_REPEATS = 1_000_000     # repeated keys that are broadcast
+
+
+def drop_repeats(df: DataFrame, key: str) -> DataFrame:
+    """One row per value of ``key``, like ``dropDuplicates``, for keys that seldom repeat.
+
+    Only hashes of the key are shuffled. Rows whose hash occurs once stay where they are, the others
+    (repeats, and the rare equal hashes of different keys) are deduplicated by the key itself.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(key))
+    repeats = store(hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash"))
+    n = repeats.count()
+    if n == 0:
+        return df
+    if n > MAX_REPEATS:
+        return df.dropDuplicates([key])
+    repeats = F.broadcast(repeats)
+    once = hashed.join(repeats, "_hash", "left_anti")
+    again = hashed.join(repeats, "_hash", "left_semi").dropDuplicates([key])
+    return once.unionByName(again).drop("_hash")
+
+
 def allocate_costs(costs: DataFrame, fx: DataFrame) -> DataFrame:
     """Daily costs stay on their day; all others are spread evenly over the days of their month.
 
     ``fx``: ``id_currency, fx_date, id_company, rate``; a missing rate counts as 1. Rows are
-    deduplicated on the ledger key before the spread, so the shuffle carries ledger rows and not days. The rate is
-    the one of the cost's own date.
+    deduplicated on the ledger key before the spread. The rate is the one of the cost's own date.
+    ``costs`` is read twice and should be a stored table. Rows per day are many times the ledger: sum them up
+    where they arise rather than store them.
     """
     daily = F.col("cost_allocation") == 1
-    base = recode_costs(costs).dropDuplicates(["id_cost"])
+    base = recode_costs(drop_repeats(costs, "id_cost"))
     rated = base.join(
         fx, (base["id_currency"] == fx["fx_currency"]) & (base["cost_date"] == fx["fx_date"])
         & (base["id_company"] == fx["fx_company"]), "left")

@@ -12,7 +12,7 @@ from visitloom.operators import paths as P
 from visitloom.plans import inputs as N
 from visitloom.plans.journeys import LONG, MEDIUM_EDGES, MEDIUM_KEPT, medium_edges, medium_kept, path_rows
 from visitloom.plans.registry import as_int, as_text, query, rounded
-from visitloom.session import store
+from visitloom.session import store, store_once
 
 # ------------------------------------------------------------------ D13-D22
 PRUNED = f"""{MEDIUM_EDGES}, outn AS (SELECT from_state AS s, sum(cnt) AS n FROM edges WHERE from_state NOT IN ('END','CONVERSION') GROUP BY 1),
@@ -371,7 +371,9 @@ def exact(c):
 
 
 def allocated(t):
-    return C.allocate_costs(N.costs_in(t), fx_rates(t))
+    """Rows per cost and day; the ledger is written once for all queries of an application over one folder."""
+    ledger = store_once(t.spark, f"costs {t.folder}", lambda: N.costs_in(t))
+    return C.allocate_costs(ledger, store(fx_rates(t)))
 
 
 @query("d35_allocate_costs", f"""WITH {ALLOC} SELECT CAST(id_date AS VARCHAR) AS id_date, id_company, id_store, id_currency, cost_allocation, count(*) AS n,
@@ -446,8 +448,10 @@ UTMS = """utms AS (SELECT utm_hash, min(supplier_name) AS source, min(channel_na
 @query("d38_cost_by_utm", f"""WITH {ALLOC}, {UTMS}, c AS (SELECT utm_hash, count(*) AS cnt, sum(CAST(exchanged_value AS DECIMAL(18,6))) AS a, sum(CAST(original_value AS DECIMAL(18,6))) AS o FROM alloc GROUP BY 1)
 SELECT utm_hash, cnt, CAST(a AS DOUBLE) AS avg_cost_times_cnt, CAST(o AS DOUBLE) AS avg_original_cost_times_cnt, source, channel FROM c JOIN utms USING (utm_hash)""")
 def d38(t):
-    rows = store(allocated(t))
-    utms = rows.filter(F.col("id_store") > 0).groupBy("utm_hash").agg(
+    rows = allocated(t)
+    # a minimum of texts sorts its rows, and a cost has one per day; unless stored, the optimizer drops the distinct
+    names = store(rows.filter(F.col("id_store") > 0).select("utm_hash", "supplier_name", "channel_name").distinct())
+    utms = names.groupBy("utm_hash").agg(
         F.min("supplier_name").alias("source"), F.min("channel_name").alias("channel"))
     fixed = rows.withColumns({c: F.col(c).cast("decimal(18,6)") for c in ("exchanged_value", "original_value")})
     out = C.cost_by_utm(fixed, utms)
