@@ -372,7 +372,7 @@ def exact(c):
 
 def allocated(t):
     """Rows per cost and day; the ledger is written once for all queries of an application over one folder."""
-    ledger = store_once(t.spark, f"costs {t.folder}", lambda: N.costs_in(t))
+    ledger = store_once(t.spark, f"costs {t.folder}", lambda: N.costs_in(t), codec="zstd")
     return C.allocate_costs(ledger, store(fx_rates(t)))
 
 
